@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import langid, packing, quality, simhash
 
 
 def queries() -> dict:
     return {
+        "op2_best_fit_packing": packing.query,
+        "op3_quality_rules": quality.query,
         "op4_simhash_near_dedup": simhash.query,
+        "op9_language_id": langid.query,
     }
 
 
