@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from . import langid, packing, quality, simhash
+from . import langid, licenses, packing, quality, simhash, topk, warc
 
 
 def queries() -> dict:
     return {
+        "op1_license_scan": licenses.query,
         "op2_best_fit_packing": packing.query,
         "op3_quality_rules": quality.query,
         "op4_simhash_near_dedup": simhash.query,
+        "op6_exact_top_k": topk.query,
+        "op7_warc": warc.query,
         "op9_language_id": langid.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_license_scan": licenses.sql(),
+        "op6_exact_top_k": topk.SQL,
+    }
