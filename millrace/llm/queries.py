@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, packing, quality, simhash, topk, warc
+from . import langid, licenses, packing, quality, simhash, suffix, topk, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_simhash_near_dedup": simhash.query,
         "op6_exact_top_k": topk.query,
         "op7_warc": warc.query,
+        "op8_suffix_dedup": suffix.query,
         "op9_language_id": langid.query,
     }
 
