@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, packing, quality, simhash, suffix, topk, warc
+from . import langid, licenses, lm, packing, quality, simhash, suffix, topk, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_best_fit_packing": packing.query,
         "op3_quality_rules": quality.query,
         "op4_simhash_near_dedup": simhash.query,
+        "op5_lm_scoring": lm.query,
         "op6_exact_top_k": topk.query,
         "op7_warc": warc.query,
         "op8_suffix_dedup": suffix.query,
@@ -21,5 +22,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": licenses.sql(),
+        "op5_lm_scoring": lm.query,
         "op6_exact_top_k": topk.SQL,
     }
