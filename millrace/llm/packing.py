@@ -12,6 +12,8 @@ round saves a bin.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +29,8 @@ CAPACITY = 4096
 END_ID = 1
 _CACHE: dict[str, dict[bytes, bytes]] = {}
 _TOKENIZERS: dict = {}
-CACHE_WORDS, LONG_WORD, CHUNK_BYTES = 400_000, 64, 4 << 20
+CACHE_WORDS, LONG_WORD, CHUNK_BYTES = 800_000, 64, 4 << 20
+_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
 
 def default_tokenizer() -> str:
@@ -39,8 +42,10 @@ def default_tokenizer() -> str:
 def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text.
 
-    The tokenizer drops white space and never joins across it, so words between ASCII white
-    space are encoded once and looked up after that; long words are not kept.
+    The tokenizer lower-cases, drops white space and never joins across it, nor a letter with
+    the full stop or comma after it. So the ids of lower-cased words between ASCII white space,
+    such a mark apart, are encoded once and looked up after that; long words are not kept. A
+    text that may hold a special token, which is matched in its exact case, is not lower-cased.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _TOKENIZERS:
@@ -48,7 +53,7 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
 
         _TOKENIZERS[path], _CACHE[path] = Tokenizer.from_file(path), {}
     known = _CACHE[path]
-    split = [t.split() for t in texts]
+    split = [(t if b"<|" in t else _MARK.sub(rb" \1", t.lower())).split() for t in texts]
     new = list(set().union(*split).difference(known)) if split else []
     if new:
         if len(known) + len(new) > CACHE_WORDS:
@@ -57,7 +62,8 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]
             for w, e in zip(part, _TOKENIZERS[path].encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+                ids = e.ids
+                known[w] = struct.pack(f"<{len(ids)}I", *ids)
     out = [b"".join(map(known.__getitem__, words)) for words in split]
     for w in new:
         if len(w) > LONG_WORD:
