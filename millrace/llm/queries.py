@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, lm, packing, quality, simhash, suffix, topk, warc
+from . import langid, licenses, lm, packing, pieces, quality, simhash, suffix, topk, warc
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": licenses.query,
+        "op10_sentencepiece": pieces.query,
         "op2_best_fit_packing": packing.query,
         "op3_quality_rules": quality.query,
         "op4_simhash_near_dedup": simhash.query,
