@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+_PLANS = ("business",)
+
+
+def _all(name: str) -> dict:
+    out: dict = {}
+    for plan in _PLANS:
+        out |= getattr(import_module(f"millrace.plans.{plan}"), name)
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return _all("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("SQL")
