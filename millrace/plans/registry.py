@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PLANS = ("business",)
+_PLANS = ("business", "retrieval")
 
 
 def _all(name: str) -> dict:
