@@ -16,9 +16,13 @@ def terms(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     ascii_terms = F.filter(F.regexp_extract_all(low, F.lit(ASCII_TERM), F.lit(0)), lambda t: F.length(t) >= 2)
     cjk = F.regexp_extract_all(low, F.lit(CJK_TERM), F.lit(0))
-    grams = [F.flatten(F.transform(cjk, lambda r, n=n: F.when(F.length(r) >= n, F.transform(F.sequence(F.lit(1), F.length(r) - (n - 1)), lambda i: F.substr(r, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))) for n in (2, 3, 4)]
+    none = F.array().cast("array<string>")
+
+    def grams(n: int) -> Column:
+        return F.flatten(F.transform(cjk, lambda r: F.when(F.length(r) >= n, F.transform(F.sequence(F.lit(1), F.length(r) - (n - 1)), lambda i: F.substr(r, i, F.lit(n)))).otherwise(none)))
+
     whole = F.filter(cjk, lambda r: (F.length(r) <= 8) & (F.length(r) >= 2))
-    return F.array_distinct(F.concat(ascii_terms, whole, *grams))
+    return F.array_distinct(F.concat(ascii_terms, whole, grams(2), grams(3), grams(4)))
 
 
 def numbers(text: Column) -> Column:
