@@ -21,6 +21,10 @@ from pyspark.sql.window import Window
 from .common import stash
 
 
+#: Over any sum of impacts; SEEN times the number of dimensions stays exact in a double.
+SEEN = float(1 << 40)
+
+
 class Block:
     """Impact-ordered postings of a block of integer vectors."""
 
@@ -41,27 +45,33 @@ class Block:
     def search(self, q: np.ndarray, k: int) -> np.ndarray:
         """Rows that may be among the k best for q, ties included: all that can't be ruled out."""
         n, dims = self.v.shape
-        if n <= 4 * k:
+        if n <= 4 * k or int(np.abs(q).max(initial=0)) * int(np.abs(self.value).max(initial=0)) * 2 * dims >= SEEN or dims >= 1 << 12:
             return np.arange(n)
-        impact = q[self.dim] * self.value
+        impact = (q[self.dim] * self.value).astype(float)
         impact -= np.minimum(impact[self.first], impact[self.last])[self.dim]
-        order = np.argsort(-impact, kind="stable")
+        order = np.argsort(-impact)
         done = np.cumsum(self.size[order])
-        acc, seen, at = np.zeros(n), np.zeros(n), 0
-        for share in (0.45, 0.6, 0.7, 0.8, 0.9):
-            to = int(np.searchsorted(done, share * done[-1])) + 1
-            part = order[at:to]
-            at = to
-            if at >= len(order):
+        acc, had = np.zeros(n), np.zeros(dims, np.int64)
+        for share in (0.6, 0.72, 0.82, 0.9, 0.95):
+            to = int(np.searchsorted(done, share * done[-1]))
+            if to >= len(order):
                 break
-            sizes = self.size[part]
-            into = np.repeat(self.start[part] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-            rows = self.rows[into]
-            acc += np.bincount(rows, np.repeat(impact[part], sizes), n)
-            seen += np.bincount(rows, minlength=n)
-            rest = impact[order[at]]
-            kth = np.partition(acc, n - k)[n - k]
-            may = np.flatnonzero(acc + rest * (dims - seen) >= kth)
+            rest = impact[order[to]]
+            # a dimension's segments above the bound lie at one end of its row order
+            upto = np.add.reduceat((impact > rest).astype(np.int64), self.first)
+            segs, rows = [], []
+            for d in np.flatnonzero(upto > had).tolist():
+                lo, hi = (self.last[d] - upto[d] + 1, self.last[d] - had[d] + 1) if q[d] > 0 else (self.first[d] + had[d], self.first[d] + upto[d])
+                segs.append(np.arange(lo, hi))
+                rows.append(self.rows[self.start[lo] : self.start[hi - 1] + self.size[hi - 1]])
+            had = upto
+            if segs:  # dimensions seen are counted in the same sum, far above any score
+                seg = np.concatenate(segs)
+                acc += np.bincount(np.concatenate(rows), np.repeat(impact[seg] + SEEN, self.size[seg]), n)
+            seen = np.floor(acc / SEEN)
+            least = acc - seen * SEEN
+            kth = np.partition(least, n - k)[n - k]
+            may = np.flatnonzero(least + rest * (dims - seen) >= kth)
             if len(may) <= max(4 * k, n // 16):
                 return may
         return np.arange(n)
