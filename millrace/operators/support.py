@@ -65,7 +65,9 @@ def verify_facts(facts: DataFrame, segments: DataFrame) -> DataFrame:
     """
     named = facts.select("answer_id", "fact_id", "fact_type", "value_text", "sku", F.explode_outer("citation_ids").alias("citation_id"))
     both = named.join(segments, ["answer_id", "citation_id"], "left")
-    same = values_equal(typed_value(F.col("value_text"), F.col("fact_type")), typed_value(F.col("segment"), F.col("fact_type")))
+    # digits of the SKU are no value
+    plain = F.coalesce(F.call_function("regexp_replace", F.col("segment"), F.concat(F.lit(r"(?i)\Q"), F.col("sku"), F.lit(r"\E")), F.lit(" ")), F.col("segment"))
+    same = values_equal(typed_value(F.col("value_text"), F.col("fact_type")), typed_value(plain, F.col("fact_type")))
     sku = F.col("sku").isNull() | F.upper("segment").contains(F.upper("sku"))
     got = both.groupBy("answer_id", "fact_id").agg(F.coalesce(F.bool_or(F.col("segment").isNotNull()), F.lit(False)).alias("known"), F.coalesce(F.bool_or(same & sku), F.lit(False)).alias("supported"))
     return got.select("answer_id", "fact_id", F.array_compact(F.array(F.when(~F.col("known"), "unknown_citation"), F.when(~F.col("supported"), "unsupported_fact"))).alias("errors"))
