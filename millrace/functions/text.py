@@ -48,3 +48,16 @@ def sha_key(*parts: Column) -> Column:
 def candidate_id(**fields: Column) -> Column:
     """SHA-256 of the compact JSON of the fields in sorted order, nulls included."""
     return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
+
+
+def cut_bytes(text: Column, most: int) -> Column:
+    """The longest prefix of whole characters that takes at most `most` UTF-8 bytes, by halving."""
+    steps = [1 << i for i in range(most.bit_length() - 1, -1, -1)]
+    n = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda k, s: F.when(F.octet_length(F.substr(text, F.lit(1), k + s)) <= most, k + s).otherwise(k))
+    return F.substr(text, F.lit(1), n)
+
+
+def within_budget(text: Column, most: int) -> Column:
+    """struct(text, omitted, chars, bytes, sha256): the text if it fits its byte budget, else its prefix and what identifies the whole."""
+    over = F.octet_length(text) > most
+    return F.struct(F.when(over, cut_bytes(text, most)).otherwise(text).alias("text"), over.alias("omitted"), F.when(over, F.length(text)).cast("long").alias("chars"), F.when(over, F.octet_length(text)).cast("long").alias("bytes"), F.when(over, F.sha2(text, 256)).alias("sha256"))

@@ -80,3 +80,11 @@ def page_route(capped: DataFrame, layers: DataFrame) -> DataFrame:
     """
     rows = capped.join(layers, ["doc", "page_number"], "left")
     return rows.withColumn("route", F.when(F.col("dropped_by_cap"), "dropped").when(F.col("ok"), "tables").otherwise("degraded"))
+
+
+def stable_projection(rows: DataFrame, unstable: str = r"(?i)(_at|_path|_ms)$|^(runtime|timestamp|elapsed)") -> DataFrame:
+    """rows without columns that change from run to run, and a hash of what is left, fields in sorted order."""
+    import re
+
+    kept = sorted(c for c in rows.columns if not re.search(unstable, c))
+    return rows.select(*kept, F.sha2(F.to_json(F.struct(*kept), {"ignoreNullFields": "false"}), 256).alias("row_sha256"))

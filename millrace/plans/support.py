@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import text
 from millrace.operators import answers, pages, routing, support
 from millrace.sources import facts
 from millrace.sources.facts import table
@@ -90,7 +91,18 @@ def rag_eval(s, d):
     return answers.rag_eval(rows, "lang", ["retrieval_hit", "keyword_match"])
 
 
+def metadata_budget(s, d):
+    b = text.within_budget(F.col("text"), 100)
+    return table(s, d, "documents").select("doc_id", b.alias("b")).select("doc_id", "b.text", "b.omitted", "b.chars", "b.bytes", "b.sha256")
+
+
+def stable_projection(s, d):
+    rows = table(s, d, "documents").select("doc_id", "lang", F.current_timestamp().alias("built_at"), F.lit("/x").alias("file_path"), F.lit(3).alias("elapsed_ms"))
+    return support.stable_projection(rows)
+
+
 QUERIES = {
+    "p10_metadata_budget": metadata_budget, "p15_stable_projection": stable_projection,
     "r04_catalog_answer_join": catalog_answer_join, "r11_render_answers": render_answers, "r03_catalog_filters": catalog_filters, "r02_address_cancel_flags": address_cancel_flags, "r10_advice_guard": advice_guard, "x23_extract_financial_values": financial_values, "x25_row_strict_match": row_strict_match,
     "v04_verify_facts": verify_facts, "v08_render_verified": render_verified, "x18_page_route": page_route, "a33_rag_eval": rag_eval,
 }
@@ -99,6 +111,8 @@ _REQ = _PRODUCTS + """, q AS (SELECT conv_id * 1000 + turn AS request_id, (conv_
 a AS (SELECT request_id, sku, name, row_number() OVER (PARTITION BY request_id ORDER BY price, id) AS position FROM q JOIN products p ON q.shop_id = p.shop_id AND is_active AND stock > 0 AND price <= max_price AND (power_w IS NULL OR power_w = p_size) QUALIFY position <= 5)"""
 _LN = "k AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey, l_linenumber % 4 AS k, l_quantity::INT AS q FROM lineitem)"
 SQL = {
+    "p10_metadata_budget": "SELECT doc_id, CASE WHEN strlen(text) > 100 THEN substr(text, 1, list_max(list_filter(range(0, 101), lambda k: strlen(substr(text, 1, k)) <= 100))) ELSE text END AS text, strlen(text) > 100 AS omitted, CASE WHEN strlen(text) > 100 THEN len(text) END AS chars, CASE WHEN strlen(text) > 100 THEN strlen(text) END AS bytes, CASE WHEN strlen(text) > 100 THEN sha256(text) END AS sha256 FROM documents",
+    "p15_stable_projection": """SELECT doc_id, lang, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '"}') AS row_sha256 FROM documents""",
     "r04_catalog_answer_join": f"WITH {_REQ} SELECT request_id, sku, position FROM a",
     "r11_render_answers": f"WITH {_REQ} SELECT q.request_id, coalesce(string_agg(position || '. ' || name || ' (' || sku || ')', chr(10) ORDER BY position), 'no product fits') AS reply FROM q LEFT JOIN a ON q.request_id = a.request_id GROUP BY 1",
     "r03_catalog_filters": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'cable' WHEN 1 THEN 'power_bank' END AS category, p_size + 0.5::DOUBLE AS max_price, 'USD' AS budget_currency, p_size::BIGINT AS power_w FROM part",
