@@ -10,6 +10,7 @@ picked by a hash of doc_id; every text of the table is read whole.
 from __future__ import annotations
 
 import itertools
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -54,22 +55,26 @@ def has_letter(raw: bytes) -> bool:
     return any(c.isalpha() for c in raw[:200].decode(errors="ignore")) or any(c.isalpha() for c in raw.decode(errors="ignore"))
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 12) -> np.ndarray:
-    """Weights of a linear machine (hinge loss, dual coordinate descent); y is +1 or -1. Bias is the last weight."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    w, a, norm = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(1)
+def fit_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 12) -> np.ndarray:
+    """Weights of a linear machine (hinge loss, dual coordinate descent) on the given rows of x, which are unit vectors; y is +1 or -1.
+
+    Bias is the last weight. Works on x in place of a copy: the sample is the largest thing the driver holds.
+    """
+    w, bias, a = np.zeros(x.shape[1]), 0.0, np.zeros(len(rows))
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(len(x)):
-            new = min(max(a[i] - (y[i] * (w @ x[i]) - 1) / norm[i], 0.0), c)
+        for i in rng.permutation(len(rows)):
+            v = x[rows[i]]
+            new = min(max(a[i] - (y[i] * (w @ v + bias) - 1) / 2.0, 0.0), c)
             if new != a[i]:
-                w += (new - a[i]) * y[i] * x[i]
+                w += (new - a[i]) * y[i] * v
+                bias += (new - a[i]) * y[i]
                 moved += abs(new - a[i])
                 a[i] = new
         if moved < 1e-3:
             break
-    return w
+    return np.append(w, bias)
 
 
 def fit_hierarchy(x: np.ndarray, langs: list[str]) -> dict:
@@ -83,7 +88,7 @@ def fit_hierarchy(x: np.ndarray, langs: list[str]) -> dict:
         out = []
         for i, j in itertools.combinations(range(len(names)), 2):
             rows = np.flatnonzero((of == names[i]) | (of == names[j]))
-            out.append((i, j, fit_svm(x[rows], np.where(of[rows] == names[i], 1.0, -1.0))))
+            out.append((i, j, fit_svm(x, rows, np.where(of[rows] == names[i], 1.0, -1.0))))
         return out
 
     families = sorted(langs_of)
@@ -123,7 +128,7 @@ def predict(model: dict, raw: list[bytes | None]) -> tuple[list[str], np.ndarray
     return langs, score
 
 
-def fit(docs: DataFrame, folds: int = 5, max_per_language: int = 1500, width: int = 4096) -> dict:
+def fit(docs: DataFrame, folds: int = 5, max_per_language: int = 1000, width: int = 4096) -> dict:
     """Learn from text and lang of rows whose crc32(doc_id as text) mod folds is not 0.
 
     The sample holds at most about max_per_language texts of each language (a null doc_id
@@ -143,10 +148,14 @@ def fit(docs: DataFrame, folds: int = 5, max_per_language: int = 1500, width: in
             keep = [i for i, x in enumerate(raw) if has_letter(x)]
             yield pa.RecordBatch.from_arrays([pa.array([features(raw[i], width).astype(np.float16).tobytes() for i in keep], pa.binary()), pa.array([langs[i] for i in keep], pa.string())], ["x", "lang"])
 
-    got = picked.select("text", "lang").mapInArrow(run, "x binary, lang string").limit(2 * max_per_language * len(counts)).collect()
-    got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, width), np.float32)
-    return fit_hierarchy(x, [r["lang"] for r in got]) | {"width": width}
+    got = picked.select("text", "lang").mapInArrow(run, "x binary, lang string").limit(2 * max_per_language * len(counts)).toArrow()
+    langs, x = got["lang"].to_pylist(), np.zeros((got.num_rows, width), np.float32)
+    for i, row in enumerate(v for part in got["x"].chunks for v in part):
+        x[i] = np.frombuffer(row.as_buffer(), np.float16)
+    del got
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], zlib.crc32(x[i])))  # whatever order tasks end in
+    x, langs = x[order], [langs[i] for i in order]
+    return fit_hierarchy(x, langs) | {"width": width}
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
