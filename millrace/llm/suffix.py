@@ -232,7 +232,7 @@ def _halved(hot: DataFrame, min_len: int) -> DataFrame:
     return hot.mapInArrow(run, _SEGMENT)
 
 
-def _segment_spans(segments: DataFrame, min_len: int, first_only: bool, chunk_bytes: int = 2 << 20) -> DataFrame:
+def _segment_spans(segments: DataFrame, min_len: int, first_only: bool, chunk_bytes: int = 1 << 20) -> DataFrame:
     """(a, c, f, t) from suffix order; groups of one key stay together in a chunk."""
 
     def run(batches):
@@ -271,7 +271,7 @@ def _single_windows(segments: DataFrame, min_len: int, first_only: bool) -> Data
     return got.select("a", "c", f.alias("f"), (f + min_len).alias("t"))
 
 
-def repeated_spans(docs: DataFrame, min_len: int = 400, gram: int = 120, first_only: bool = False, segment_limit: int = 4000) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_len: int = 400, gram: int = 120, first_only: bool = False, segment_limit: int = 1000) -> DataFrame:
     """(doc_id, th, spans): byte ranges, by document and hash of its text, that are covered by strings of
     min_len bytes found elsewhere too; first_only: found earlier, in the order of (doc_id, th, place).
     """
