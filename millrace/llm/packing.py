@@ -29,7 +29,7 @@ CAPACITY = 4096
 END_ID = 1
 _CACHE: dict[str, dict[bytes, bytes]] = {}
 _TOKENIZERS: dict = {}
-CACHE_WORDS, LONG_WORD, CHUNK_BYTES = 800_000, 64, 4 << 20
+CACHE_WORDS, LONG_WORD, CHUNK_BYTES = 500_000, 64, 4 << 20
 _MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
 
@@ -101,6 +101,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
                         got.append((ids[at], k, lo // 4, len(cut) // 4, zlib.crc32(cut), row * 131 + k))
                     at += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))] if got else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+        _CACHE.get(tokenizer, {}).clear()  # idle workers hold no words
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, salt long")
