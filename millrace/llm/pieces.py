@@ -1,12 +1,14 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 Texts fall into units no piece crosses (runs of blanks with what follows, up to the next blank
-or line end). Each distinct unit is encoded once: its substrings of bounded length are exploded
+or line end). A unit's substrings of bounded length are exploded
 and equi-joined to the piece table, the edges found are grouped by unit, and a fold over the
 lattice with the SQL function aggregate picks the pieces. For a unigram model the fold is
 Viterbi. The scores of a BPE model are merge ranks, on which Viterbi gives other pieces than
 the model's; there the fold merges, step by step, the adjacent pair with the best-scored edge.
-Frequent units (at most `max_units`) reach the texts by broadcast, the rest by a join.
+Frequent units (at most `max_units`) are encoded once and reach the texts by broadcast. The others
+are encoded per document: dealt by document first, so that edges and pieces are grouped where they are made
+and only the units and the compressed texts are shuffled.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import partitions, stash
 
 BLANK = "▁"
 UNIT = re.compile(f"{BLANK}+[^{BLANK}\\n]*|[^{BLANK}\\n]+|\\n")
@@ -69,14 +71,19 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """unit, n (characters) and edges: map from start * 65536 + end to (score, id). The pieces are few; Spark may broadcast them."""
-    n = F.length("unit")
-    starts = words.select("unit", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = starts.select("unit", "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, "n"))).alias("e"))
-    spans = spans.select("unit", "n", "s", "e", F.expr("substring(unit, s + 1, e - s)").alias("piece"))
-    # units stay where they are: the partitioning by unit holds through explode and broadcast join
-    hits = spans.join(F.broadcast(table), "piece").select("unit", "n", F.struct((F.col("s") * 65536 + F.col("e")).alias("k"), "score", "id").alias("x"))
-    return hits.groupBy("unit", "n").agg(F.map_from_arrays(F.transform(F.collect_list("x"), lambda x: x["k"]), F.transform(F.collect_list("x"), lambda x: F.struct(x["score"], x["id"]))).alias("edges"))
+    """words(unit, ...) with n (characters) and edges: map from start * 65536 + end to (score, id).
+
+    The pieces are few and broadcast, so units stay where they are: a partitioning of words by
+    any of its columns holds through the grouping, and edges are not shuffled.
+    """
+    keys, n = words.columns, F.length("unit")
+    starts = words.select(*keys, n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    spans = starts.select(*keys, "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, "n"))).alias("e"))
+    spans = spans.withColumn("piece", F.expr("substring(unit, s + 1, e - s)"))
+    # one row of each unit stays even where no piece fits
+    hits = spans.join(F.broadcast(table), "piece", "left").where("id is not null or (s = 0 and e = 1)").select(*keys, "n", F.struct((F.col("s") * 65536 + F.col("e")).alias("k"), "score", "id").alias("x"))
+    got = hits.groupBy(*keys, "n").agg(F.collect_list("x").alias("xs")).withColumn("xs", F.filter("xs", lambda x: x["id"].isNotNull()))
+    return got.select(*keys, "n", F.map_from_arrays(F.transform("xs", lambda x: x["k"]), F.transform("xs", lambda x: F.struct(x["score"], x["id"]))).alias("edges"))
 
 
 def _merge_fold(edges, n):
@@ -114,14 +121,9 @@ def _viterbi_fold(edges, n, longest: int, unknown_score: float):
 
 
 def encode_units(words: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
-    """unit and ids (array<int>) of distinct units. Characters outside the vocabulary fall back to their bytes."""
+    """words(unit, ...) with ids (array<int>). Characters outside the vocabulary fall back to their bytes."""
     v = vocabulary(path)
-    spark = words.sparkSession
-    table = piece_table(spark, path)
-    found = _lattice(words, table, v["longest"])
-    whole = words.select("unit", F.length("unit").alias("n")).join(found.drop("n"), "unit", "left")
-    empty = F.create_map().cast("map<int,struct<score:double,id:int>>")
-    whole = whole.withColumn("edges", F.coalesce("edges", empty))
+    whole = _lattice(words, piece_table(words.sparkSession, path), v["longest"])
     worst = min((s for _, s in v["pieces"].values()), default=0.0) - 10
     cuts = _merge_fold(F.col("edges"), F.col("n")) if kind == "bpe" else _viterbi_fold(F.col("edges"), F.col("n"), v["longest"], worst)
     whole = whole.withColumn("cuts", cuts)
@@ -134,17 +136,19 @@ def encode_units(words: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
         fallback = F.transform(F.sequence(F.lit(0), F.shiftright(F.length(hexed), 1) - 1), lambda j: F.get(byte_ids, F.conv(F.substr(hexed, (j * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
         return F.when(known.isNotNull(), F.array(known)).otherwise(fallback)
 
-    return whole.select("unit", F.flatten(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), ids)).alias("ids"))
+    return whole.select(*words.columns, F.flatten(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), ids)).alias("ids"))
 
 
-def unit_counts(docs: DataFrame, flush: int = 300_000) -> DataFrame:
-    """(word, n): distinct units of all texts and how often they occur, counted per task first."""
+def frequent_units(docs: DataFrame, most: int, least_here: int = 4, flush: int = 300_000) -> DataFrame:
+    """At most `most` units that are worth a place in the dictionary. Which they are changes the cost and no result,
+    so units that a task sees less than least_here times are not counted."""
 
     def run(batches):
         seen: Counter = Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            kept = {u: n for u, n in seen.items() if n >= least_here}
+            return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], ["unit", "n"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -155,27 +159,30 @@ def unit_counts(docs: DataFrame, flush: int = 300_000) -> DataFrame:
         if seen:
             yield out()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = stash(docs.select(F.col("text").cast("string")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")), "units")
+    band, least, total = F.floor(F.log2("n") * 32), None, 0
+    for r in sorted(counts.groupBy(band.alias("band")).count().collect(), key=lambda r: -r["band"]):
+        if total + r["count"] > most:
+            break
+        least, total = r["band"], total + r["count"]
+    return counts.where(band >= least if least is not None else F.lit(False)).select("unit")
+
+
+def _packed(coded: DataFrame) -> DataFrame:
+    """ids as bytes, four to an id, the highest first."""
+    return coded.withColumn("ids", F.unhex(F.array_join(F.transform("ids", lambda x: F.lpad(F.hex(x), 8, "0")), "")))
 
 
 def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_units: int = 400_000) -> DataFrame:
     """doc_id, text_bytes and ids of every row.
 
     ids is what the model's own encoder gives for the text. A null or empty text has no ids.
-    Repeated rows are encoded each for itself; other columns are not read.
+    Repeated rows are encoded each for itself; other columns are not read. docs is read twice and
+    must give its rows in the same order both times, as a table does.
     """
     path = path or default_model()
     spark = docs.sparkSession
-    counts = stash(unit_counts(docs), "units")
-    coded = stash(encode_units(counts.select(F.col("word").alias("unit")), path, kind).select("unit", F.transform("ids", lambda x: F.lpad(F.hex(x), 8, "0")).alias("h")).select("unit", F.unhex(F.array_join("h", "")).alias("ids")), "coded")
-    ranked = counts.join(coded, counts["word"] == coded["unit"]).select("word", "ids", "n")
-    band = F.floor(F.log2("n") * 32)
-    least, total = None, 0
-    for r in sorted(counts.groupBy(band.alias("band")).count().collect(), key=lambda r: -r["band"]):
-        if total + r["count"] > max_units:
-            break
-        least, total = r["band"], total + r["count"]
-    frequent = ranked.where(band >= least).select("word", "ids").toArrow() if least is not None else pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.binary())})
+    frequent = _packed(encode_units(frequent_units(docs, max_units).repartition("unit"), path, kind)).toArrow()
     sent = spark.sparkContext.broadcast(frequent)
     name = xxhash.xxh64_intdigest(repr((sent._jbroadcast.id(), spark.sparkContext.applicationId)))
 
@@ -183,7 +190,7 @@ def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_unit
         if name not in _TABLES:
             _TABLES.clear()
             t = sent.value
-            _TABLES[name] = dict(zip(t["word"].to_pylist(), t["ids"].to_pylist()))
+            _TABLES[name] = dict(zip(t["unit"].to_pylist(), t["ids"].to_pylist()))
         return _TABLES[name]
 
     def uids(task_row, n):
@@ -199,7 +206,8 @@ def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_unit
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([u for _, u in out], pa.string())], ["uid", "unit"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rest = source.mapInArrow(rare, "uid long, unit string").join(coded, "unit").groupBy("uid").agg(F.collect_list(F.struct("unit", "ids")).alias("more"))
+    others = source.mapInArrow(rare, "uid long, unit string").repartition(partitions(spark), "uid")
+    rest = _packed(encode_units(others, path, kind)).groupBy("uid").agg(F.collect_list(F.struct("unit", "ids")).alias("more"))
 
     def number(batches):
         import zstandard
