@@ -139,7 +139,7 @@ def encode_units(words: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
     return whole.select(*words.columns, F.flatten(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), ids)).alias("ids"))
 
 
-def frequent_units(docs: DataFrame, most: int, least_here: int = 4, flush: int = 300_000) -> DataFrame:
+def frequent_units(docs: DataFrame, most: int, least_here: int = 4, flush: int = 150_000) -> DataFrame:
     """At most `most` units that are worth a place in the dictionary. Which they are changes the cost and no result,
     so units that a task sees less than least_here times are not counted."""
 
@@ -198,12 +198,16 @@ def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_unit
 
     def rare(batches):
         table, row = known(), 0
+        rows = lambda out: pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([u for _, u in out], pa.string())], ["uid", "unit"])
         for b in batches:
             out = []
-            for uid, t in zip(uids(row, b.num_rows).tolist(), b.column(1).to_pylist()):
-                out += [(uid, u) for u in set(units(t or "")) if u not in table]
+            for uid, t in zip(uids(row, b.num_rows).tolist(), b.column(1)):
+                out += [(uid, u) for u in set(units(t.as_py() or "")) if u not in table]
+                if len(out) > 50_000:
+                    yield rows(out)
+                    out = []
             row += b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([u for _, u in out], pa.string())], ["uid", "unit"])
+            yield rows(out)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     others = source.mapInArrow(rare, "uid long, unit string").repartition(partitions(spark), "uid")
@@ -224,9 +228,9 @@ def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_unit
         unpack, table = zstandard.ZstdDecompressor(), known()
         for b in batches:
             ids, sizes = [], []
-            for z, more in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                raw = b"" if z is None else unpack.decompress(z)
-                own = {x["unit"]: x["ids"] for x in more or ()}
+            for z, more in zip(b.column(1), b.column(2)):
+                raw = unpack.decompress(z.as_py()) if z.is_valid else b""
+                own = {x["unit"]: x["ids"] for x in more.as_py() or ()}
                 ids.append(b"".join([table[u] if u in table else own[u] for u in units(raw.decode())]))
                 sizes.append(len(raw))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array([np.frombuffer(x, ">u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["doc_id", "text_bytes", "ids"])
