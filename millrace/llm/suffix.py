@@ -284,7 +284,10 @@ def repeated_spans(docs: DataFrame, min_len: int = 400, gram: int = 120, first_o
     # anchors with several contents: their representatives go through suffix order
     mixed = contents.groupBy("a").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1" if first_only else "m > 1 and least = 1")
     reps = contents.join(mixed.select(F.bitwise_not("a").alias("k")), F.bitwise_not(contents["a"]) == F.col("k"), "left_semi").select("first.doc_id", "first.th", "a", "c", "first.p")
-    level, found = stash(_segments(docs, reps, min_len, gram), "segments"), []
+    segments = _segments(docs, reps, min_len, gram)
+    if first_only:  # rows that repeat a doc_id and text are one document: each content has one segment, that is no copy of itself
+        segments = segments.dropDuplicates(["a", "c"])
+    level, found = stash(segments, "segments"), []
     while True:
         hot = level.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > segment_limit).select(F.bitwise_not("key").alias("k"))
         hot = stash(hot, "hot")

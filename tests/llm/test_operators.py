@@ -301,6 +301,17 @@ def test_suffix_keeps_the_first(spark):
     assert shared[50:] not in got[1].text and got[1].text.startswith("début") and got[1].text.endswith("fin") and got[1].n_chars == len(got[1].text)
 
 
+@pytest.mark.parametrize("limit", [2, 1000])
+@pytest.mark.parametrize("repeated", [None, 1])
+def test_suffix_keeps_the_first_of_repeated_rows(spark, repeated, limit):
+    r = random.Random(13)
+    shared = prose(120, r)
+    twice, third = prose(60, r) + " " + shared + " " + prose(60, r), prose(50, r) + " " + shared + " " + prose(50, r)
+    df = spark.createDataFrame([(repeated, twice), (repeated, twice), (7, third)], "doc_id long, text string")
+    got = sorted((x.doc_id == 7, x.text) for x in suffix.without_later_copies(df, segment_limit=limit).collect())
+    assert got[:2] == [(False, twice)] * 2 and shared[50:] not in got[2][1] and len(got[2][1]) > 400
+
+
 def test_langid(docs, empty, spark):
     r = random.Random(1)
     words = {"en": ["the", "and", "with", "house"], "de": ["der", "und", "mit", "haus"], "fr": ["les", "et", "avec", "maison"]}
