@@ -8,11 +8,14 @@ Viterbi. The scores of a BPE model are merge ranks, on which Viterbi gives other
 the model's; there the fold merges, step by step, the adjacent pair with the best-scored edge.
 Frequent units (at most `max_units`) are encoded once and reach the texts by broadcast. The others
 are encoded per document: dealt by document first, so that edges and pieces are grouped where they are made
-and only the units and the compressed texts are shuffled.
+and only the units and the compressed texts are shuffled. A fold over the lattice grows with the cube of a unit's
+length, so units over `max_fold` characters (texts without blanks) take the same steps from a heap, where the
+texts are put together.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections import Counter
@@ -29,6 +32,7 @@ from .common import partitions, stash
 
 BLANK = "▁"
 UNIT = re.compile(f"{BLANK}+[^{BLANK}\\n]*|[^{BLANK}\\n]+|\\n")
+WIDE = 1 << 32  # start * WIDE + end is a long
 _TABLES: dict[int, dict] = {}
 
 
@@ -71,7 +75,7 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """words(unit, ...) with n (characters) and edges: map from start * 65536 + end to (score, id).
+    """words(unit, ...) with n (characters) and edges: map from start * WIDE + end to (score, id).
 
     The pieces are few and broadcast, so units stay where they are: a partitioning of words by
     any of its columns holds through the grouping, and edges are not shuffled.
@@ -81,14 +85,14 @@ def _lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     spans = starts.select(*keys, "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, "n"))).alias("e"))
     spans = spans.withColumn("piece", F.expr("substring(unit, s + 1, e - s)"))
     # one row of each unit stays even where no piece fits
-    hits = spans.join(F.broadcast(table), "piece", "left").where("id is not null or (s = 0 and e = 1)").select(*keys, "n", F.struct((F.col("s") * 65536 + F.col("e")).alias("k"), "score", "id").alias("x"))
+    hits = spans.join(F.broadcast(table), "piece", "left").where("id is not null or (s = 0 and e = 1)").select(*keys, "n", F.struct((F.col("s") * WIDE + F.col("e")).alias("k"), "score", "id").alias("x"))
     got = hits.groupBy(*keys, "n").agg(F.collect_list("x").alias("xs")).withColumn("xs", F.filter("xs", lambda x: x["id"].isNotNull()))
     return got.select(*keys, "n", F.map_from_arrays(F.transform("xs", lambda x: x["k"]), F.transform("xs", lambda x: F.struct(x["score"], x["id"]))).alias("edges"))
 
 
 def _merge_fold(edges, n):
     """Ends of the pieces of a unit under a BPE model: n - 1 steps, each merging the best pair of neighbours, leftmost first."""
-    edge = lambda a, b: F.try_element_at(edges, a * 65536 + b)["score"]
+    edge = lambda a, b: F.try_element_at(edges, a * WIDE + b)["score"]
     # cuts 0..n; cut i goes when cuts i-1 and i+1 span an edge
     best = lambda c: F.array_max(
         F.transform(F.sequence(F.lit(1), F.size(c) - 2), lambda i: F.struct(edge(F.get(c, i - 1), F.get(c, i + 1)).alias("score"), (-i).alias("i")))
@@ -111,7 +115,7 @@ def _viterbi_fold(edges, n, longest: int, unknown_score: float):
 
     def step(state, e):
         s = F.sequence(F.greatest(e - longest, F.lit(0)), e - 1)
-        cand = F.transform(s, lambda a: F.struct((F.get(state["best"], a) + F.coalesce(F.try_element_at(edges, a * 65536 + e)["score"], F.when(a == e - 1, F.lit(unknown_score)))).alias("score"), a.alias("a")))
+        cand = F.transform(s, lambda a: F.struct((F.get(state["best"], a) + F.coalesce(F.try_element_at(edges, a * WIDE + e)["score"], F.when(a == e - 1, F.lit(unknown_score)))).alias("score"), a.alias("a")))
         return F.transform(F.array(F.array_max(F.filter(cand, lambda x: x["score"].isNotNull()))), lambda p: F.struct(F.concat(state["best"], F.array(p["score"])).alias("best"), F.concat(state["back"], F.array(p["a"])).alias("back")))[0].cast(kind)
 
     kind = "struct<best:array<double>,back:array<int>>"
@@ -124,14 +128,14 @@ def encode_units(words: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
     """words(unit, ...) with ids (array<int>). Characters outside the vocabulary fall back to their bytes."""
     v = vocabulary(path)
     whole = _lattice(words, piece_table(words.sparkSession, path), v["longest"])
-    worst = min((s for _, s in v["pieces"].values()), default=0.0) - 10
+    worst = _worst(v)
     cuts = _merge_fold(F.col("edges"), F.col("n")) if kind == "bpe" else _viterbi_fold(F.col("edges"), F.col("n"), v["longest"], worst)
     whole = whole.withColumn("cuts", cuts)
     byte_ids = F.array(*map(F.lit, v["bytes"]))
 
     def ids(i):
         a, b = F.get(F.col("cuts"), i - 1), F.get(F.col("cuts"), i)
-        known = F.try_element_at(F.col("edges"), a * 65536 + b)["id"]
+        known = F.try_element_at(F.col("edges"), a * WIDE + b)["id"]
         hexed = F.hex(F.encode(F.substr("unit", a + 1, b - a), "UTF-8"))
         fallback = F.transform(F.sequence(F.lit(0), F.shiftright(F.length(hexed), 1) - 1), lambda j: F.get(byte_ids, F.conv(F.substr(hexed, (j * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
         return F.when(known.isNotNull(), F.array(known)).otherwise(fallback)
@@ -139,7 +143,71 @@ def encode_units(words: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
     return whole.select(*words.columns, F.flatten(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), ids)).alias("ids"))
 
 
-def frequent_units(docs: DataFrame, most: int, least_here: int = 4, flush: int = 150_000) -> DataFrame:
+def _merged(unit: str, pieces: dict) -> list[str]:
+    """Pieces of a unit under a BPE model: the merges of _merge_fold, with the pairs of neighbours in a heap."""
+    n = len(unit)
+    # a piece is known by its start; before and after are the neighbours' starts
+    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    heap: list[tuple] = []
+
+    def pair(a):
+        b = after[a]
+        if b < n and (got := pieces.get(unit[a : end[b]])):
+            heapq.heappush(heap, (-got[1], a, b, end[b]))
+
+    for a in range(n - 1):
+        pair(a)
+    while heap:
+        _, a, b, e = heapq.heappop(heap)
+        # a gone piece has no end; a pair that has grown since has another
+        if end[a] != b or after[a] != b or end[b] != e:
+            continue
+        end[a], end[b], after[a] = e, -1, after[b]
+        if after[a] < n:
+            before[after[a]] = a
+        pair(a)
+        if before[a] >= 0:
+            pair(before[a])
+    out, a = [], 0
+    while a < n:
+        out.append(unit[a : end[a]])
+        a = after[a]
+    return out
+
+
+def _best_path(unit: str, pieces: dict, longest: int, unknown_score: float) -> list[str]:
+    """Pieces of a unit under a unigram model: the path of _viterbi_fold."""
+    best, back = [0.0], [0]
+    for e in range(1, len(unit) + 1):
+        cand = []
+        for a in range(max(0, e - longest), e):
+            got = pieces.get(unit[a:e])
+            if got or a == e - 1:
+                cand.append((best[a] + (got[1] if got else unknown_score), a))
+        s, a = max(cand)
+        best.append(s)
+        back.append(a)
+    out, e = [], len(unit)
+    while e:
+        out.append(unit[back[e] : e])
+        e = back[e]
+    return out[::-1]
+
+
+def _worst(v: dict) -> float:
+    return min((s for _, s in v["pieces"].values()), default=0.0) - 10
+
+
+def long_ids(unit: str, v: dict, kind: str) -> list[int]:
+    """What encode_units gives for a unit, in time that grows with its length."""
+    parts = _merged(unit, v["pieces"]) if kind == "bpe" else _best_path(unit, v["pieces"], v["longest"], v["worst"])
+    out: list[int] = []
+    for p in parts:
+        out += [v["pieces"][p][0]] if p in v["pieces"] else [v["bytes"][b] for b in p.encode()]
+    return out
+
+
+def frequent_units(docs: DataFrame, most: int, least_here: int = 4, flush: int = 150_000, max_fold: int = 200) -> DataFrame:
     """At most `most` units that are worth a place in the dictionary. Which they are changes the cost and no result,
     so units that a task sees less than least_here times are not counted."""
 
@@ -152,7 +220,7 @@ def frequent_units(docs: DataFrame, most: int, least_here: int = 4, flush: int =
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                seen.update(units(t or ""))
+                seen.update(u for u in units(t or "") if len(u) <= max_fold)
                 if len(seen) > flush:
                     yield out()
                     seen.clear()
@@ -173,7 +241,7 @@ def _packed(coded: DataFrame) -> DataFrame:
     return coded.withColumn("ids", F.unhex(F.array_join(F.transform("ids", lambda x: F.lpad(F.hex(x), 8, "0")), "")))
 
 
-def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_units: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_units: int = 400_000, max_fold: int = 200) -> DataFrame:
     """doc_id, text_bytes and ids of every row.
 
     ids is what the model's own encoder gives for the text. A null or empty text has no ids.
@@ -182,8 +250,10 @@ def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_unit
     """
     path = path or default_model()
     spark = docs.sparkSession
-    frequent = _packed(encode_units(frequent_units(docs, max_units).repartition("unit"), path, kind)).toArrow()
+    frequent = _packed(encode_units(frequent_units(docs, max_units, max_fold=max_fold).repartition("unit"), path, kind)).toArrow()
     sent = spark.sparkContext.broadcast(frequent)
+    v = vocabulary(path)
+    model = spark.sparkContext.broadcast({k: v[k] for k in ("pieces", "bytes", "longest")} | {"worst": _worst(v)})
     name = xxhash.xxh64_intdigest(repr((sent._jbroadcast.id(), spark.sparkContext.applicationId)))
 
     def known() -> dict[str, bytes]:
@@ -202,7 +272,7 @@ def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_unit
         for b in batches:
             out = []
             for uid, t in zip(uids(row, b.num_rows).tolist(), b.column(1)):
-                out += [(uid, u) for u in set(units(t.as_py() or "")) if u not in table]
+                out += [(uid, u) for u in set(units(t.as_py() or "")) if len(u) <= max_fold and u not in table]
                 if len(out) > 50_000:
                     yield rows(out)
                     out = []
@@ -231,7 +301,9 @@ def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_unit
             for z, more in zip(b.column(1), b.column(2)):
                 raw = unpack.decompress(z.as_py()) if z.is_valid else b""
                 own = {x["unit"]: x["ids"] for x in more.as_py() or ()}
-                ids.append(b"".join([table[u] if u in table else own[u] for u in units(raw.decode())]))
+                parts = units(raw.decode())
+                own |= {u: np.array(long_ids(u, model.value, kind), ">u4").tobytes() for u in parts if len(u) > max_fold and u not in own}
+                ids.append(b"".join([table[u] if u in table else own[u] for u in parts]))
                 sizes.append(len(raw))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array([np.frombuffer(x, ">u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["doc_id", "text_bytes", "ids"])
 

@@ -342,6 +342,31 @@ def test_pieces(docs, empty, spark):
     assert pieces.encode(empty).count() == 0
 
 
+def test_pieces_of_long_units(spark):
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    r = random.Random(17)
+    texts = ["".join(r.choices("abcdefghinoarst", k=70_000)), "x" * 40_000, "".join(r.choices("漢字中文的是不了人我在有她\u3007𠀀", k=33_000)), "short one " + "=" * 5000 + "\nend", "".join(r.choices("ABCabc0123456789+/", k=9000)) + " tail"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(list(x.ids) == p.encode(texts[x.doc_id]) for x in pieces.encode(df).collect())
+
+
+def test_long_units_take_the_steps_of_the_folds(docs):
+    small = docs.where(F.length("text") < 1300)
+    want = sorted((r.doc_id, list(r.ids)) for r in pieces.encode(small, max_units=15).collect())
+    assert want == sorted((r.doc_id, list(r.ids)) for r in pieces.encode(small, max_fold=2).collect())
+    table = {"a": (1, -1.0), "b": (2, -1.0), "c": (3, -1.0), "ab": (4, -1.5), "bc": (5, -0.2)}
+    assert [pieces._best_path(u, table, 2, -9.0) for u in ("abc", "ab", "zab")] == [["a", "bc"], ["ab"], ["z", "ab"]]
+
+
+def test_edge_keys_of_long_units_are_longs(spark):
+    words = spark.createDataFrame([("x" * 40_000,)], "unit string")
+    table = spark.createDataFrame([("x", 1, -1.0)], "piece string, id int, score double")
+    got = pieces._lattice(words, table, 1).select(F.size("edges").alias("n")).collect()
+    assert got[0].n == 40_000
+
+
 def test_viterbi_fold(spark):
     words = spark.createDataFrame([("abc",), ("ab",), ("zab",)], "unit string")
     table = spark.createDataFrame([("a", 1, -1.0), ("b", 2, -1.0), ("c", 3, -1.0), ("ab", 4, -1.5), ("bc", 5, -0.2)], "piece string, id int, score double")
