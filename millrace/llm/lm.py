@@ -8,7 +8,8 @@ on from the last); probabilities and back-off weights are absolute discounting,
 8 bits. Everything lies in one memory map per shard. No model is sent to all tasks: what is
 broadcast is a dictionary of at most `max_vocabulary` frequent words. Other words are counted by
 joins, and share the mass that is left as lower-order probability. A context that would
-fill a shard alone is split by its successors' hash, with its share of the mass per split.
+fill a shard alone is split by its successors' hash; the kinds of its successors are counted
+before, so every split backs off as the whole context does.
 """
 
 from __future__ import annotations
@@ -152,19 +153,26 @@ class Trie:
         kinds = np.diff(np.append(first, len(key)))
         known = ctx[first]
         total = np.add.reduceat(count, first).astype(float) if len(first) else np.zeros(0)
-        mass = np.ones(len(known))
-        for c, (n, m) in totals.items():
-            i = int(np.searchsorted(known, np.uint64(c)))
-            if i < len(known) and known[i] == c:
-                total[i], mass[i] = max(n, total[i]), m
+        # split contexts: occurrences and kinds of successors are those of the whole context
+        self.split = np.array(sorted(totals), np.uint64)
+        whole, whole_kinds = (np.array([totals[c][j] for c in self.split.tolist()], float) for j in (0, 1))
+        self.split_backoff = quantise(np.log10(discount * whole_kinds / whole))
+        back_kinds = kinds.astype(float)
+        i, part = self._in_split(known)
+        total[part], back_kinds[part] = whole[i[part]], whole_kinds[i[part]]
         own = np.repeat(np.arange(len(known)), kinds)
         self.contexts = EliasFano(known)
         self.pointers = EliasFano(np.append(first, len(key)).astype(np.uint64))
         self.successors = EliasFano((own.astype(np.uint64) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF)))
         self.p = quantise(np.log10(np.maximum(count - discount, 1e-9) / total[own])) if len(key) else np.zeros(0, np.uint8)
-        self.backoff = quantise(np.log10(discount * kinds / total / mass)) if len(known) else np.zeros(0, np.uint8)
+        self.backoff = quantise(np.log10(discount * back_kinds / total)) if len(known) else np.zeros(0, np.uint8)
         self._map()
 
+    def _in_split(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places among the split contexts, and which of the contexts are there."""
+        i = np.minimum(np.searchsorted(self.split, contexts.astype(np.uint64)), max(0, len(self.split) - 1))
+        return i, self.split[i] == contexts if len(self.split) else np.zeros(len(contexts), bool)
+
     def _map(self) -> None:
         """Move all levels into one memory map."""
         owners = [(e, a) for e in (self.contexts, self.pointers, self.successors) for a in e.arrays()] + [(self, "p"), (self, "backoff")]
@@ -179,11 +187,14 @@ class Trie:
     def log10(self, context: np.ndarray, successor: np.ndarray, lower: np.ndarray) -> np.ndarray:
         """Log probabilities; lower is the successors' lower-order probability. Any order of queries."""
         known, back = np.unique(context, return_inverse=True)
-        at = self.contexts.find(known.astype(np.uint64))[back]
-        del known, back
-        out = lower.astype(float)
+        at, weight = self.contexts.find(known.astype(np.uint64)), np.ones(len(known))
+        i, part = self._in_split(known)  # a split may have no successor seen in training
+        weight[part] = _LEVEL[self.split_backoff[i[part]]]
+        weight[at >= 0] = _LEVEL[self.backoff[at[at >= 0]]]
+        at, out = at[back], weight[back] * lower
+        del known, back, weight
         rows = np.flatnonzero(at >= 0)
-        p = _LEVEL[self.backoff[at[rows]]] * lower[rows]
+        p = out[rows]
         key = (at[rows].astype(np.uint64) << np.uint64(32)) | successor[rows].astype(np.uint64)
         order = np.argsort(key)
         found = np.empty(len(key), np.int64)
@@ -221,12 +232,11 @@ def _model(counts: DataFrame, shards: int, texts_n: int, most: int) -> dict:
     rare = rest / (v - len(top) + 1)
     h = np.array([_hash(w) for w, _ in top], np.uint64)
     codes = quantise(np.log10(c / (n + 1))) if len(top) else np.zeros(0, np.uint8)
-    hot, share = {}, max(1.0, n / (4 * shards))
-    for key, count in [(START, texts_n), *((int(x), int(y)) for x, y in zip(h, c))]:
-        if count > share:
-            splits = min(math.ceil(count / share), 4 * shards)
-            mass = (np.bincount((h % np.uint64(splits)).astype(np.int64), c / (n + 1), splits) if len(h) else np.zeros(splits)) + rest / splits
-            hot[key] = (splits, count, mass)
+    share = max(1.0, n / (4 * shards))
+    often = Counter({START: texts_n})
+    for r in counts.where(F.col("n") > share).collect():  # at most 4 * shards
+        often[_hash(bytes(r["word"]))] += r["n"]
+    hot = {k: min(math.ceil(x / share), 4 * shards) for k, x in often.items() if x > share}
     return {"n": n, "v": v, "words": [w for w, _ in top], "counts": c.astype(np.int64), "hash": h, "codes": codes, "rare": int(quantise(np.array([math.log10(rare)]))[0]), "hot": hot}
 
 
@@ -236,9 +246,8 @@ def _split_key(context: np.ndarray, part: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(32)).astype(np.uint64)
 
 
-def _occurrences(model, tokens: list[list[bytes]]):
-    """(context key, successor, code, text number) of every token of some texts."""
-    m, lookup = model
+def _bigrams(lookup, tokens: list[list[bytes]]):
+    """(context, successor, code, text number) of every token of some texts."""
     sizes = np.array([len(t) + 1 for t in tokens])
     flat = []
     for t in tokens:
@@ -248,13 +257,25 @@ def _occurrences(model, tokens: list[list[bytes]]):
     succ, code = got >> np.uint64(8), (got & np.uint64(255)).astype(np.uint8)
     ctx = np.concatenate((np.zeros(min(1, len(flat)), np.uint64), succ[:-1]))
     ctx[np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)] = START
-    hot = m["hot_keys"]
-    at = np.searchsorted(hot, ctx)
-    split = np.flatnonzero(hot[np.minimum(at, len(hot) - 1)] == ctx) if len(hot) else np.zeros(0, np.int64)
-    ctx[split] = _split_key(ctx[split], succ[split] % m["hot_splits"][at[split]])
     return ctx, succ, code, np.repeat(np.arange(len(tokens)), sizes)
 
 
+def _hot_places(hot: np.ndarray, ctx: np.ndarray):
+    """Places of the occurrences after hot contexts, and of their contexts among these."""
+    at = np.searchsorted(hot, ctx)
+    places = np.flatnonzero(hot[np.minimum(at, len(hot) - 1)] == ctx) if len(hot) else np.zeros(0, np.int64)
+    return places, at[places]
+
+
+def _occurrences(model, tokens: list[list[bytes]]):
+    """The same with the keys of split contexts."""
+    m, lookup = model
+    ctx, succ, code, text = _bigrams(lookup, tokens)
+    split, at = _hot_places(m["hot_keys"], ctx)
+    ctx[split] = _split_key(ctx[split], succ[split] % m["hot_splits"][at])
+    return ctx, succ, code, text
+
+
 def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, max_vocabulary: int = 300_000, tokens_per_shard: int = 1_000_000, chunk_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -270,14 +291,9 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, max_vocabulary
     shards = max(partitions(spark), math.ceil(total_bytes / 6 / tokens_per_shard))
     model = _model(counts, shards, texts_n, max_vocabulary)
     model["hot_keys"] = np.array(sorted(model["hot"]), np.uint64)
-    model["hot_splits"] = np.array([model["hot"][k][0] for k in sorted(model["hot"])], np.uint64)
-    totals = {}
-    for k, (splits, count, mass) in model["hot"].items():
-        for part, key in enumerate(_split_key(np.full(splits, k, np.uint64), np.arange(splits)).tolist()):
-            totals[key] = (count, float(mass[part]))
+    model["hot_splits"] = np.array([model["hot"][k] for k in sorted(model["hot"])], np.uint64)
     n, v = model["n"], model["v"]
     sent = spark.sparkContext.broadcast({k: model[k] for k in ("words", "counts", "hash", "codes", "rare", "hot_keys", "hot_splits")})
-    told = spark.sparkContext.broadcast(totals)
     name = xxhash.xxh64_intdigest(repr((sent._jbroadcast.id() if sent._jbroadcast else 0, spark.sparkContext.applicationId)))
 
     def known():
@@ -303,6 +319,33 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, max_vocabulary
         if part:
             yield ids, part, train
 
+    # 0. the successors of hot contexts, each counted once
+    def pairs(batches):
+        m, lookup, _ = known()
+        held, size = [], 0
+
+        def out():
+            key, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(times, pa.int64())], ["pair", "n"])
+
+        for _, part, _ in chunks(batches):
+            ctx, succ, _, _ = _bigrams(lookup, part)
+            places, _ = _hot_places(m["hot_keys"], ctx)
+            held.append((ctx[places] << np.uint64(32)) | succ[places])
+            size += len(places)
+            if size > 1_000_000:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    seen_pairs = texts.where("train").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    totals = {}
+    for r in seen_pairs.groupBy(F.shiftrightunsigned("pair", 32).alias("ctx")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect() if model["hot"] else ():
+        splits = model["hot"][r["ctx"]]
+        totals |= dict.fromkeys(_split_key(np.full(splits, r["ctx"], np.uint64), np.arange(splits)).tolist(), (r["n"], r["kinds"]))
+    told = spark.sparkContext.broadcast(totals)
+
     # 1. per text: what the dictionary knows, and the rare words by name
     def base(batches):
         _, _, count = known()

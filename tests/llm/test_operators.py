@@ -208,6 +208,11 @@ def test_lm(docs, empty):
     assert lm.score_texts(empty).count() == 0
 
 
+def test_lm_scores_do_not_change_with_the_shards(docs):
+    got = [sorted((r.doc_id, round(r.score, 6)) for r in lm.score_texts(docs, tokens_per_shard=n).collect()) for n in (500, 10**9)]
+    assert got[0] == got[1]
+
+
 def test_elias_fano_and_trie():
     r = np.random.default_rng(3)
     v = np.sort(r.choice(1 << 22, 150_000, replace=False).astype(np.uint64))
