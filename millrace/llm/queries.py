@@ -23,6 +23,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": licenses.sql(),
-        "op5_lm_scoring": lm.query,
         "op6_exact_top_k": topk.SQL,
     }

@@ -9,6 +9,12 @@ def ids(spark, name, *cols, sf=SF):
     return {tuple(r) for r in registry.queries()[name](spark, sf).select(*cols).collect()}
 
 
+def test_sql_is_text():
+    import __spark_entry__
+
+    assert all(isinstance(x, str) for x in __spark_entry__.oracle_sql().values())
+
+
 def test_customers_with_any_order_are_no_orphans(spark):
     placed = {r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").collect()}
     assert not {c for (c,) in ids(spark, "j04_orphans_whole", "c_custkey")} & placed
