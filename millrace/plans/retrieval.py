@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -220,9 +223,21 @@ def stale_versions(s, d):
 
 def corpus_fingerprint(s, d):
     row = table(s, d, "documents").select("source", "doc_id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "lang", F.coalesce("text", F.lit(""))), 256).alias("h"))
-    # two levels: a hash per source over its rows in order, then one over the sources
-    per = row.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "h"))).alias("x")).select("source", F.sha2(F.array_join(F.transform("x", lambda v: v["h"]), ""), 256).alias("h"))
-    return per
+
+    # the hashes of a source go through one SHA-256 in order; only its state is held
+    def run(batches):
+        source, state = None, None
+        for b in batches:
+            for x, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if state is None or x != source:
+                    if state is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([source], pa.string()), pa.array([state.hexdigest()])], ["source", "h"])
+                    source, state = x, hashlib.sha256()
+                state.update(h.encode())
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([source], pa.string()), pa.array([state.hexdigest()])], ["source", "h"])
+
+    return row.repartition("source").sortWithinPartitions("source", "doc_id", "h").select("source", "h").mapInArrow(run, "source string, h string")
 
 
 def strict_hits(s, d):

@@ -15,6 +15,11 @@ def test_sql_is_text():
     assert all(isinstance(x, str) for x in __spark_entry__.oracle_sql().values())
 
 
+def test_fingerprint_gathers_no_arrays(spark):
+    plan = registry.queries()["a26_corpus_fingerprint"](spark, SF)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+
+
 def test_customers_with_any_order_are_no_orphans(spark):
     placed = {r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").collect()}
     assert not {c for (c,) in ids(spark, "j04_orphans_whole", "c_custkey")} & placed
