@@ -6,8 +6,9 @@ A trie has two levels. Contexts, pointers and successors are monotone sequences
 Elias-Fano code (a successor is coded relative to its context, so each context's range goes
 on from the last); probabilities and back-off weights are absolute discounting, quantised to
 8 bits. Everything lies in one memory map per shard. No model is sent to all tasks: what is
-broadcast is a dictionary of at most `max_vocabulary` frequent words. Other words are counted by
-joins, and share the mass that is left as lower-order probability. A context that would
+broadcast is a dictionary of at most `max_vocabulary` frequent words, a cache only: the counts of
+other words are joined, and where any of them is over 1 (a word seen once has the lower-order probability
+of one not seen) they go with the text to where its occurrences are sent. A context that would
 fill a shard alone is split by its successors' hash; the kinds of its successors are counted
 before, so every split backs off as the whole context does.
 """
@@ -22,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,14 +80,15 @@ START = _hash(b"", 1)
 
 
 class _Lookup(dict):
-    """word -> hash << 8 | code of its lower-order probability; other words get the rare code."""
+    """word -> hash << 8 | code of its lower-order probability; words in neither table get that of one occurrence."""
 
     def __init__(self, pairs, rare: int):
         super().__init__(pairs)
         self.rare = rare
+        self.own: dict[bytes, int] = {}  # codes of words outside the dictionary, of the chunk at hand
 
     def __missing__(self, word: bytes) -> int:
-        return _hash(word) << 8 | self.rare
+        return _hash(word) << 8 | self.own.get(word, self.rare)
 
 
 # ---- Elias-Fano trie --------------------------------------------------------------------
@@ -225,11 +228,9 @@ def frequent_words(counts: DataFrame, most: int) -> list:
 
 def _model(counts: DataFrame, shards: int, texts_n: int, most: int) -> dict:
     """Totals, frequent words with their codes, and the contexts that are split."""
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    n, v, again = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count(F.when(F.col("n") > 1, 1))).first()
     top = [(bytes(r["word"]), r["n"]) for r in frequent_words(counts, most)]
     c = np.array([x for _, x in top], float)
-    rest = (n - c.sum() + 1) / (n + 1)
-    rare = rest / (v - len(top) + 1)
     h = np.array([_hash(w) for w, _ in top], np.uint64)
     codes = quantise(np.log10(c / (n + 1))) if len(top) else np.zeros(0, np.uint8)
     share = max(1.0, n / (4 * shards))
@@ -237,7 +238,7 @@ def _model(counts: DataFrame, shards: int, texts_n: int, most: int) -> dict:
     for r in counts.where(F.col("n") > share).collect():  # at most 4 * shards
         often[_hash(bytes(r["word"]))] += r["n"]
     hot = {k: min(math.ceil(x / share), 4 * shards) for k, x in often.items() if x > share}
-    return {"n": n, "v": v, "words": [w for w, _ in top], "counts": c.astype(np.int64), "hash": h, "codes": codes, "rare": int(quantise(np.array([math.log10(rare)]))[0]), "hot": hot}
+    return {"n": n, "v": v, "words": [w for w, _ in top], "counts": c.astype(np.int64), "hash": h, "codes": codes, "rare": int(quantise(np.log10(np.array([1 / (n + 1)])))[0]), "tail": again > int((c > 1).sum()), "hot": hot}
 
 
 def _split_key(context: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -376,14 +377,52 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, max_vocabulary
     about = stash(texts.mapInArrow(base, "uid long, doc_id long, train boolean, n_tokens long, seen long, sum double, words array<binary>, times array<long>"), "texts")
     rare = about.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", "x.words", "x.times")
     rare = rare.join(counts.withColumnRenamed("word", "words"), "words", "left")
-    rare = rare.groupBy("uid").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("more"), F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(n + v + 1)))).alias("rest"))
+    rare = rare.groupBy("uid").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("more"), F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(n + v + 1)))).alias("rest"), F.collect_list(F.when(F.col("n") > 1, F.struct("words", "n"))).alias("tail"))
+    source, joined = texts, model["tail"]
+    if joined:
+        rare = stash(rare, "rare")
+
+        def number(batches):
+            pack, row = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32
+            for b in batches:
+                z = [pack.compress(x.as_py().lower()) for x in b.column(1).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(z))), pa.array(z, pa.binary()), b.column(2)], ["uid", "z", "train"])
+                row += len(z)
+
+        packed = texts.mapInArrow(number, "uid long, z binary, train boolean")
+        source = packed.join(rare.where(F.size("tail") > 0).select("uid", "tail"), "uid", "left").sortWithinPartitions("uid")
+
+    def coded(batches):
+        """uids, words and train of the texts of a chunk, and the codes of their words outside the dictionary."""
+        if not joined:
+            row = TaskContext.get().partitionId() << 32
+            for _, part, train in chunks(batches):
+                yield np.arange(row, row + len(part)), part, train, {}
+                row += len(part)
+            return
+        unpack = zstandard.ZstdDecompressor()
+        uids, part, train, own, size = [], [], [], {}, 0
+        for b in batches:
+            for uid, z, t, tail in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3)):
+                raw = unpack.decompress(z.as_py())
+                uids.append(uid)
+                part.append(raw.split())
+                train.append(t)
+                size += len(raw)
+                if found := tail.as_py():
+                    own |= zip([x["words"] for x in found], quantise(np.log10(np.array([x["n"] for x in found], float) / (n + 1))).tolist())
+                if size > chunk_bytes or len(part) >= 30_000:
+                    yield np.array(uids), part, train, own
+                    uids, part, train, own, size = [], [], [], {}, 0
+        if part:
+            yield np.array(uids), part, train, own
 
     # 2. occurrences to the shards of their contexts, and partial sums back by chunk
     def send(batches):
         m, lookup, _ = known()
-        task = TaskContext.get().partitionId() << 32
-        row = 0
-        for _, part, train in chunks(batches):
+        chunk = (TaskContext.get().partitionId() << 32) - 1
+        for uids, part, train, lookup.own in coded(batches):
+            chunk += 1
             ctx, succ, code, text = _occurrences((m, lookup), part)
             flag = np.array(train, bool)[text]
             shard = (ctx * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) * np.uint64(shards) >> np.uint64(32)
@@ -395,9 +434,8 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, max_vocabulary
             for lo, hi in zip(cut.tolist(), ends.tolist()):
                 first = np.flatnonzero(np.concatenate(([True], ctx[lo + 1 : hi] != ctx[lo : hi - 1])))
                 size = np.diff(np.append(first, hi - lo)).astype(np.uint32)
-                rows.append((int(shard[lo]), task + row, len(part), ctx[lo:hi][first].astype(np.uint32).tobytes(), size.tobytes(), succ[lo:hi].tobytes(), code[lo:hi].tobytes(), text[lo:hi].tobytes()))
-            row += len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["shard", "first", "size", "ctx", "runs", "succ", "code", "text"])
+                rows.append((int(shard[lo]), chunk, len(part), ctx[lo:hi][first].astype(np.uint32).tobytes(), size.tobytes(), succ[lo:hi].tobytes(), code[lo:hi].tobytes(), text[lo:hi].tobytes(), uids.tobytes() if len(rows) == chunk % len(cut) else b""))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["shard", "first", "size", "ctx", "runs", "succ", "code", "text", "uids"])
 
     def shard_scores(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = lambda col, kind: np.frombuffer(b"".join(pdf[col]), kind)
@@ -408,15 +446,15 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, max_vocabulary
         sizes = np.array([len(x) // 2 for x in pdf["text"]])
         ends = np.cumsum(sizes)
         sums = [np.bincount(text[e - s : e] >> 1, logp[e - s : e], k).tobytes() for s, e, k in zip(sizes, ends, pdf["size"])]
-        return pd.DataFrame({"first": pdf["first"], "sums": sums})
+        return pd.DataFrame({"first": pdf["first"], "sums": sums, "uids": pdf["uids"]})
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x) for x in pdf["sums"])
-        return pd.DataFrame({"uid": int(pdf["first"].iloc[0]) + np.arange(len(total)), "score": total})
+        return pd.DataFrame({"uid": np.frombuffer(b"".join(pdf["uids"]), np.int64), "score": total})
 
-    blobs = texts.mapInArrow(send, "shard long, first long, size long, ctx binary, runs binary, succ binary, code binary, text binary")
-    scores = blobs.groupBy("shard").applyInPandas(shard_scores, "first long, sums binary").groupBy("first").applyInPandas(add_up, "uid long, score double")
-    out = about.select("uid", "doc_id", "train", "n_tokens", "seen", "sum").join(rare, "uid", "left").join(scores, "uid", "left")
+    blobs = source.mapInArrow(send, "shard long, first long, size long, ctx binary, runs binary, succ binary, code binary, text binary, uids binary")
+    scores = blobs.groupBy("shard").applyInPandas(shard_scores, "first long, sums binary, uids binary").groupBy("first").applyInPandas(add_up, "uid long, score double")
+    out = about.select("uid", "doc_id", "train", "n_tokens", "seen", "sum").join(rare.drop("tail"), "uid", "left").join(scores, "uid", "left")
     return out.select("doc_id", "train", "n_tokens", (F.col("seen") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("sum") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
 
 

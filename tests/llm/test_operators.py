@@ -213,6 +213,11 @@ def test_lm_scores_do_not_change_with_the_shards(docs):
     assert got[0] == got[1]
 
 
+def test_lm_scores_do_not_change_with_the_dictionary(docs):
+    got = [sorted((r.doc_id, round(r.score, 6)) for r in lm.score_texts(docs, max_vocabulary=n).collect()) for n in (20, 10_000)]
+    assert got[0] == got[1]
+
+
 def test_elias_fano_and_trie():
     r = np.random.default_rng(3)
     v = np.sort(r.choice(1 << 22, 150_000, replace=False).astype(np.uint64))
