@@ -4,10 +4,11 @@ Vectors become integers, floor(scale * x). Candidates are dealt into blocks; a b
 has, for each dimension, its rows ordered by value, cut into segments of equal value. For a
 query every segment has one impact (query value times segment value, less the dimension's
 smallest, so impacts are never negative). Segments are taken by descending impact; after
-each slab the rows' partial scores are lower bounds, and partial score plus the last impact
-for each dimension not seen yet is an upper bound. Processing stops only when few rows can
-still be among the k best; those are scored again exactly. Query blocks meet candidate
-blocks one pair at a time, so no task holds more than two blocks.
+each slab the rows' partial scores are lower bounds, and partial score plus, for each dimension not seen yet, the last impact (or the dimension's
+largest, where that is less) is an upper bound. The rows that look best so far are scored
+exactly: the k-th of them is a score to beat. Processing stops only when few rows can
+still beat it; those are scored again exactly. Candidate blocks meet a few query blocks in a
+task of their own.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ class Block:
     """Impact-ordered postings of a block of integer vectors."""
 
     def __init__(self, v: np.ndarray):
-        self.v, (n, dims) = v, v.shape
+        self.whole, self.v, (n, dims) = v.astype(np.int64), v.astype(float), v.shape
         order = np.argsort(v, axis=0, kind="stable")
         by_dim = np.take_along_axis(v, order, 0).T.ravel()
         self.rows = np.ascontiguousarray(order.T).ravel()
@@ -51,8 +52,10 @@ class Block:
         impact -= np.minimum(impact[self.first], impact[self.last])[self.dim]
         order = np.argsort(-impact)
         done = np.cumsum(self.size[order])
-        acc, had = np.zeros(n), np.zeros(dims, np.int64)
-        for share in (0.6, 0.72, 0.82, 0.9, 0.95):
+        most = np.maximum(impact[self.first], impact[self.last])
+        least_sum = np.minimum(q * self.value[self.first], q * self.value[self.last]).sum()
+        acc, had, to_beat, q = np.zeros(n), np.zeros(dims, np.int64), -np.inf, q.astype(float)
+        for share in (0.45, 0.6, 0.72, 0.85):
             to = int(np.searchsorted(done, share * done[-1]))
             if to >= len(order):
                 break
@@ -69,13 +72,21 @@ class Block:
                 seg = np.concatenate(segs)
                 acc += np.bincount(np.concatenate(rows), np.repeat(impact[seg] + SEEN, self.size[seg]), n)
             seen = np.floor(acc / SEEN)
-            least = acc - seen * SEEN
-            kth = np.partition(least, n - k)[n - k]
-            may = np.flatnonzero(least + rest * (dims - seen) >= kth)
-            if len(may) <= max(4 * k, n // 16):
+            none = upto == 0  # of these dimensions no row has been seen
+            least, open_ = acc - seen * SEEN, rest * (dims - none.sum() - seen) + most[none].sum()
+            likely = np.argpartition(least + open_ / 2, n - 2 * k)[n - 2 * k :]
+            to_beat = max(to_beat, np.partition(self.v[likely] @ q, k)[k] - least_sum)
+            may = np.flatnonzero(least + open_ >= to_beat)
+            if len(may) <= max(4 * k, n // 8):
                 return may
         return np.arange(n)
 
+    def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Exact scores: in doubles where no sum can leave their whole numbers, else in longs."""
+        if int(np.abs(q).max(initial=0)) * int(np.abs(self.value).max(initial=0)) * self.v.shape[1] < 1 << 53:
+            return (self.v[rows] @ q.astype(float)).astype(np.int64)
+        return self.whole[rows] @ q
+
 
 def _packed(pdf: pd.DataFrame) -> dict:
     v = np.array(pdf["v"].tolist(), np.int64)
@@ -95,7 +106,7 @@ def integer_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
     return vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("uid"), F.transform(e, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
 
 
-def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 64, block: int = 8192, query_block: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 64, block: int = 8192, query_block: int = 512, per_task: int = 4) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for rows whose vec_id is divisible by query_every.
 
     Ties go to the smaller vec_id. Repeated rows are rows of their own (as queries and as
@@ -116,8 +127,9 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 6
     def deal(df, name, count):
         return df.withColumn(name, F.pmod(F.xxhash64("uid"), F.lit(count))).groupBy(name).applyInPandas(packing(name), f"{name} long, {name}_ids binary, {name}_uids binary, {name}_mat binary, {name}_n long")
 
+    lanes = -(-parts // per_task)
     candidates = deal(rows, "c", blocks)
-    queries = deal(rows.where(F.col("vec_id") % query_every == 0), "q", parts).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    queries = deal(rows.where(F.col("vec_id") % query_every == 0), "q", parts).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn("lane", (F.col("q") % lanes).cast("int"))
 
     def matrix(mat: bytes, n: int) -> np.ndarray:
         kind = {1: np.int8, 2: np.int16, 4: np.int32, 8: np.int64}[len(mat) // (n * dims)]
@@ -130,16 +142,18 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 6
                 if kept is None or kept[0] != r.c:
                     kept = (r.c, Block(matrix(r.c_mat, r.c_n)), np.frombuffer(r.c_ids, np.int64), np.frombuffer(r.c_uids, np.int64))
                 _, index, ids, uids = kept
-                out = []
+                found = []
                 for qid, quid, q in zip(np.frombuffer(r.q_ids, np.int64).tolist(), np.frombuffer(r.q_uids, np.int64).tolist(), matrix(r.q_mat, r.q_n).astype(np.int64)):
                     may = index.search(q, k + 1)
                     may = may[uids[may] != quid]
-                    score = index.v[may].astype(np.int64) @ q
+                    score = index.scores(may, q)
                     best = np.lexsort((uids[may], ids[may], -score))[:k]
-                    out.append(pd.DataFrame({"quid": quid, "query_id": qid, "vec_id": ids[may][best], "uid": uids[may][best], "score": score[best]}))
-                yield pd.concat(out)
+                    found.append((np.full(len(best), quid), np.full(len(best), qid), ids[may][best], uids[may][best], score[best]))
+                yield pd.DataFrame(dict(zip(("quid", "query_id", "vec_id", "uid", "score"), map(np.concatenate, zip(*found)))))
 
-    pairs = queries.join(candidates, "c")
+    # a block and a few query blocks to a task: explicit counts of partitions are not merged again
+    tasks = blocks * lanes
+    pairs = queries.repartition(tasks, "c", "lane").join(candidates.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).repartition(tasks, "c", "lane"), ["c", "lane"])
     found = pairs.mapInPandas(run, "quid long, query_id long, vec_id long, uid long, score long")
     w = Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id", "uid")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
