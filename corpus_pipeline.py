@@ -29,8 +29,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of 400-byte strings are cut out of the texts; the first copy stays."""
-    return suffix.without_later_copies(docs)
+    """Later copies of strings of 240 bytes are cut out of the texts; the first copy stays.
+
+    A passage of over 50 words is longer than that in any language of the corpus. Nulls, empty and shorter
+    texts stay as they are; rows that repeat a doc_id and text are one document.
+    """
+    return suffix.without_later_copies(docs, **suffix.PASSAGE)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
