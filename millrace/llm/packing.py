@@ -11,26 +11,24 @@ round saves a bin.
 
 from __future__ import annotations
 
+import itertools
 import os
-import re
-import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words
 from .common import stash
 
 CAPACITY = 4096
 END_ID = 1
-_CACHE: dict[str, dict[bytes, bytes]] = {}
-_TOKENIZERS: dict = {}
-CACHE_WORDS, LONG_WORD, CHUNK_BYTES = 500_000, 64, 4 << 20
-_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+_ENCODERS: dict[str, "WordEncoder"] = {}
+CACHE_WORDS, CACHE_IDS, TOGETHER = 1_500_000, 8_000_000, 1000
 
 
 def default_tokenizer() -> str:
@@ -39,69 +37,141 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text.
+class WordEncoder:
+    """Ids of words, each encoded once while it is kept.
 
     The tokenizer lower-cases, drops white space and never joins across it, nor a letter with
-    the full stop or comma after it. So the ids of lower-cased words between ASCII white space,
-    such a mark apart, are encoded once and looked up after that; long words are not kept. A
-    text that may hold a special token, which is matched in its exact case, is not lower-cased.
+    the full stop or comma after it. So lower-cased words between ASCII white space, such a mark
+    apart, can be encoded by themselves. A text that may hold a special token, which is matched
+    in its exact case, is not lower-cased and its marks stay.
+
+    Words are kept by their 128-bit hash in sorted arrays of at most CACHE_WORDS words and
+    CACHE_IDS ids, or those of one chunk (under 60 MB). New words of letters go to the tokenizer many at a time: each
+    gives one id with the end-of-word mark, its last; where that count differs they go singly.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _TOKENIZERS:
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path], _CACHE[path] = Tokenizer.from_file(path), {}
-    known = _CACHE[path]
-    split = [(t if b"<|" in t else _MARK.sub(rb" \1", t.lower())).split() for t in texts]
-    new = list(set().union(*split).difference(known)) if split else []
-    if new:
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(set().union(*split))
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for w, e in zip(part, _TOKENIZERS[path].encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                ids = e.ids
-                known[w] = struct.pack(f"<{len(ids)}I", *ids)
-    out = [b"".join(map(known.__getitem__, words)) for words in split]
-    for w in new:
-        if len(w) > LONG_WORD:
-            known.pop(w, None)
-    return out
-
-
-def _chunks(raw: list[bytes]) -> Iterator[list[bytes]]:
-    part, n = [], 0
-    for x in raw:
-        part.append(x)
-        n += len(x)
-        if n > CHUNK_BYTES:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.last[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+        self.kind = np.uint16 if len(self.last) < 1 << 16 else np.uint32
+        self._clear()
+
+    def _clear(self) -> None:
+        self.high, self.low = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.sizes, self.pool = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, self.kind)
+
+    def _singly(self, terms: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(terms, add_special_tokens=False)]
+
+    def _encode(self, terms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of each term, and all ids in a row."""
+        plain = [t.decode() for t in terms]
+        letters = [i for i, t in enumerate(plain) if t.isalpha()]
+        rest = [i for i, t in enumerate(plain) if not t.isalpha()]
+        groups = [letters[lo : lo + TOGETHER] for lo in range(0, len(letters), TOGETHER)]
+        order, sizes, ids = [], [], []
+        for group, got in zip(groups, self._singly([" ".join([plain[i] for i in g]) for g in groups])):
+            ends = np.flatnonzero(self.last[got]) + 1
+            if len(ends) != len(group):
+                rest += group
+                continue
+            order.append(np.array(group))
+            sizes.append(np.diff(ends, prepend=0))
+            ids.append(got)
+        for lo in range(0, len(rest), 20_000):
+            part = rest[lo : lo + 20_000]
+            got = self._singly([plain[i] for i in part])
+            order.append(np.array(part))
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids += got
+        n = np.zeros(len(terms), np.int64)
+        if not order:
+            return n, np.zeros(0, self.kind)
+        order, sizes, pool = np.concatenate(order), np.concatenate(sizes), np.concatenate(ids)
+        n[order] = sizes
+        # back in the order of the terms
+        start = np.zeros(len(terms), np.int64)
+        start[order] = np.cumsum(sizes) - sizes
+        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(len(pool))
+        return n, pool[at]
+
+    def _slots(self, terms: list[bytes]) -> np.ndarray:
+        key = np.frombuffer(b"".join([xxhash.xxh3_128_digest(t) for t in terms]), ">u8").reshape(-1, 2).astype(np.uint64)
+        at, hit = self._find(key)
+        new = np.flatnonzero(~hit)
+        if len(self.high) and (len(self.high) + len(new) > CACHE_WORDS or len(self.pool) > CACHE_IDS):
+            self._clear()
+            new = np.arange(len(terms))
+        if len(new):
+            sizes, ids = self._encode([terms[i] for i in new.tolist()])
+            starts = len(self.pool) + np.cumsum(sizes) - sizes
+            order = new[np.argsort(key[new, 0], kind="stable")]
+            back = np.searchsorted(new, order)
+            place = np.searchsorted(self.high, key[order, 0])
+            self.pool = np.append(self.pool, ids)
+            for name, values in (("high", key[order, 0]), ("low", key[order, 1]), ("starts", starts[back]), ("sizes", sizes[back])):
+                setattr(self, name, np.insert(getattr(self, name), place, values))
+            at, hit = self._find(key)
+        if not hit.all():  # two words of one chunk that share half of their hash
+            raise RuntimeError("words clash")
+        return at
+
+    def _find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.high):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(self.high, key[:, 0]), len(self.high) - 1)
+        # words that share the first half stand side by side
+        for _ in range(4):
+            off = (self.high[at] == key[:, 0]) & (self.low[at] != key[:, 1]) & (at < len(self.high) - 1)
+            if not off.any():
+                break
+            at = at + off
+        return at, (self.high[at] == key[:, 0]) & (self.low[at] == key[:, 1])
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """32-bit ids of each text."""
+        exact = [i for i, t in enumerate(texts) if b"<|" in t]
+        out = self._ids([b"" if b"<|" in t else t for t in texts], True)
+        for i in exact:
+            out[i] = self._ids([texts[i]], False)[0]
+        return out
+
+    def _ids(self, texts: list[bytes], lower: bool) -> list[np.ndarray]:
+        w = words.split(texts, lower, marks=lower)
+        slots = self._slots(w.terms.to_pylist())
+        ids, ends = w.spread(self.starts[slots], self.sizes[slots], self.pool)
+        return np.split(ids.astype("<u4"), ends[:-1])
+
+
+def token_ids(texts: list[bytes], path: str) -> list[np.ndarray]:
+    """Little-endian 32-bit ids of each text, without its end."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path].encode(texts)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and salt, a number that deals rows evenly."""
-    end = np.array([end_id], "<u4").tobytes()
+    kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 4)
 
     def run(batches):
         row = 0
-        for b in batches:
-            ids, got = b.column(0).to_pylist(), []
-            at = 0
-            for part in _chunks([x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]):
-                for enc in token_bytes(part, tokenizer):
-                    enc += end
-                    row += 1
-                    for k, lo in enumerate(range(0, len(enc), 4 * capacity)):
-                        cut = enc[lo : lo + 4 * capacity]
-                        got.append((ids[at], k, lo // 4, len(cut) // 4, zlib.crc32(cut), row * 131 + k))
-                    at += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))] if got else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
-        _CACHE.get(tokenizer, {}).clear()  # idle workers hold no words
+        for b, texts in words.chunks(batches, 1):
+            got = []
+            for doc, ids in zip(b.column(0).to_pylist(), token_ids(texts, tokenizer)):
+                ids = np.append(ids, np.uint32(end_id))
+                row += 1
+                for k, lo in enumerate(range(0, len(ids), capacity)):
+                    cut = ids[lo : lo + capacity]
+                    got.append((doc, k, lo, len(cut), zlib.crc32(cut), row * 131 + k))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, salt long")
