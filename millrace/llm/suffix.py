@@ -11,8 +11,8 @@ with positions reversed a later one. Inside an interval of common prefixes of mi
 two reduce to its smallest and largest position, which is how they are computed.
 
 An anchor with more than `segment_limit` contents is not cut: its windows are halved by their
-distance to the anchor, each half keyed by the bytes all its windows share, until the groups
-are small or one window is left, when equal keys are equal strings and are only counted.
+distance to the anchor, each half keyed by the bytes all its windows share, and halves of equal bytes
+fold, until the groups are small.
 """
 
 from __future__ import annotations
@@ -91,19 +91,32 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def runs(docs: DataFrame, min_len: int, gram: int) -> DataFrame:
-    """doc_id, th (hash of the text), a (anchor), c (content) and p (place) of every run."""
+def runs(docs: DataFrame, min_len: int, gram: int, within: DataFrame | None = None) -> DataFrame:
+    """doc_id, th (hash of the text), a (anchor), c (content) and p (place) of every run; within: of windows in these spans only."""
 
-    def run(batches):
+    everywhere = within is None
+
+    def places(batches):
+        """(batch, row, text, from, to) of the stretches to look at."""
+        unpack = zstandard.ZstdDecompressor()
         for b in batches:
             for i, raw in enumerate(b.column(2).cast(pa.binary())):
-                raw = raw.as_py()
-                if len(raw) < min_len:
-                    continue
-                for s, n, off, h in anchor_runs(raw, min_len, gram):
-                    c = np.array([xxhash.xxh3_64_intdigest(raw[x : x + y + min_len - 1], z) for x, y, z in zip(s.tolist(), n.tolist(), off.tolist())], np.uint64)
-                    one = lambda k: pa.array([b.column(k)[i].as_py()] * len(s), pa.int64())  # noqa: E731, B023
-                    yield pa.RecordBatch.from_arrays([one(0), one(1), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(_pack_place(s, n, off))], ["doc_id", "th", "a", "c", "p"])
+                if everywhere:
+                    yield b, i, raw.as_py(), 0, len(raw.as_py())
+                else:
+                    raw = unpack.decompress(raw.as_py())
+                    for f, t in merge_spans([(x["f"], x["t"]) for x in b.column(3)[i].as_py()]):
+                        yield b, i, raw, f, t
+
+    def run(batches):
+        for b, i, raw, f, t in places(batches):
+            if t - f < min_len:
+                continue
+            for s, n, off, h in anchor_runs(raw[f:t], min_len, gram):
+                s = s + f
+                c = np.array([xxhash.xxh3_64_intdigest(raw[x : x + y + min_len - 1], z) for x, y, z in zip(s.tolist(), n.tolist(), off.tolist())], np.uint64)
+                one = lambda k: pa.array([b.column(k)[i].as_py()] * len(s), pa.int64())  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([one(0), one(1), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(_pack_place(s, n, off))], ["doc_id", "th", "a", "c", "p"])
 
     def merged(batches):
         held, n = [], 0
@@ -116,7 +129,8 @@ def runs(docs: DataFrame, min_len: int, gram: int) -> DataFrame:
         if held:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    return _texts(docs).mapInArrow(merged, "doc_id long, th long, a long, c long, p long")
+    source = _texts(docs) if everywhere else _joined_texts(docs, within, "inner")
+    return source.mapInArrow(merged, "doc_id long, th long, a long, c long, p long")
 
 
 # ---- suffix order -----------------------------------------------------------------------
@@ -130,18 +144,29 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _block_hashes(text: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the `size` bytes from every place on; past the end the text goes on with zeros."""
+    up, down = _powers()
+    out = np.empty(len(text), np.uint64)
+    for lo in range(0, len(text), PIECE):
+        part = np.concatenate((text[lo : lo + PIECE + size], np.zeros(max(0, lo + PIECE + size - len(text)), np.uint8)))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[part] * up[: len(part)], dtype=np.uint64)))
+        n = min(PIECE, len(text) - lo)
+        out[lo : lo + n] = _mix((sums[size : size + n] - sums[:n]) * down[:n])
+    return out
+
+
 def factor_flags(text: np.ndarray, at: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the windows that start at `at` (ascending): has an earlier copy, has a later copy."""
-    pad = np.concatenate((text, np.zeros(min_len + 8, np.uint8))).astype(np.uint64)
-    k = (pad[:-1] << np.uint64(8)) | pad[1:]
-    k = (k[:-2] << np.uint64(16)) | k[2:]
-    k = (k[:-4] << np.uint64(32)) | k[4:]
-    r, size = _ranks(k[: len(text)]), 8
-    while size * 2 <= min_len:
-        nxt = np.concatenate((r[size:], np.zeros(min(size, len(r)), np.uint64)))
-        r, size = _ranks((r << np.uint64(32)) | nxt), size * 2
+    """For the windows that start at `at` (ascending): has an earlier copy, has a later copy.
+
+    Ranks are doubled from those of blocks of a quarter of min_len, which are ordered by their hashes, not by their bytes.
+    """
+    size = min_len // 4
+    r = _ranks(_block_hashes(text, size))
+    r = _ranks((r << np.uint64(32)) | np.concatenate((r[size:], np.zeros(min(size, len(r)), np.uint64))))
+    size *= 2
     key = (r[at] << np.uint64(32)) | r[np.minimum(at + (min_len - size), len(r) - 1)]
-    order = np.lexsort((at, key))  # suffix order; equal windows by position
+    order = np.argsort(key, kind="stable")  # suffix order; equal windows by position
     same = key[order[1:]] == key[order[:-1]]
     earlier, later = np.zeros(len(at), bool), np.zeros(len(at), bool)
     earlier[order[1:][same]] = True
@@ -260,24 +285,23 @@ def _segment_spans(segments: DataFrame, min_len: int, first_only: bool, chunk_by
     return dealt.mapInArrow(run, "a long, c long, f long, t long")
 
 
-def _single_windows(segments: DataFrame, min_len: int, first_only: bool) -> DataFrame:
-    """Spans of groups down to one window: equal keys are equal strings."""
-    place = F.struct("doc_id", "th", "s")
-    groups = segments.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").withColumnRenamed("key", "k0")
-    got = segments.withColumn("k", F.bitwise_not("key")).join(groups.withColumn("k", F.bitwise_not("k0")), "k")
-    if first_only:
-        got = got.where(~place.eqNullSafe(F.col("first")))
-    f = (F.col("lo") - F.col("lo0")).cast("long")
-    return got.select("a", "c", f.alias("f"), (f + min_len).alias("t"))
+def _folded(halves: DataFrame) -> DataFrame:
+    """Each half with n, how many of its group have the same bytes, and lead: it is the first of them."""
+    place = F.struct("doc_id", "th", "s", "lo")
+    keyed = halves.withColumn("h", F.xxhash64("seg"))
+    groups = keyed.groupBy("key", "h").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    groups = groups.select(F.bitwise_not("key").alias("k"), F.col("h").alias("kh"), "n", "first")
+    return keyed.withColumn("k", F.bitwise_not("key")).withColumnRenamed("h", "kh").join(groups, ["k", "kh"]).withColumn("lead", place.eqNullSafe(F.col("first"))).select(*_NAMES, "n", "lead")
 
 
-def repeated_spans(docs: DataFrame, min_len: int = 400, gram: int = 120, first_only: bool = False, segment_limit: int = 1000) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_len: int = 400, gram: int = 120, first_only: bool = False, segment_limit: int = 1000, within: DataFrame | None = None) -> DataFrame:
     """(doc_id, th, spans): byte ranges, by document and hash of its text, that are covered by strings of
     min_len bytes found elsewhere too; first_only: found earlier, in the order of (doc_id, th, place).
+    within: spans of the same kind for a shorter min_len, so that only they need be looked at.
     """
     if not 16 <= gram < min_len or min_len - gram >= 1000:
         raise ValueError("need 16 <= gram < min_len < gram + 1000")
-    every = stash(runs(docs, min_len, gram), "runs")
+    every = stash(runs(docs, min_len, gram, within), "runs")
     shared = every.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("a").alias("k"))
     cand = stash(every.withColumn("k", F.bitwise_not("a")).join(shared, "k", "left_semi").drop("k"), "shared")
     contents = stash(cand.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "p")).alias("first")), "contents")
@@ -296,9 +320,11 @@ def repeated_spans(docs: DataFrame, min_len: int = 400, gram: int = 120, first_o
             break
         keyed = level.withColumn("k", F.bitwise_not("key"))
         found.append(_segment_spans(keyed.join(hot, "k", "left_anti").drop("k"), min_len, first_only))
-        over = keyed.join(hot, "k", "left_semi").drop("k")
-        found.append(_single_windows(over.where("g0 = g1"), min_len, first_only))
-        level = stash(_halved(over.where("g0 < g1"), min_len), "halves")
+        # halves of equal bytes fold: all their windows repeat, and one of them goes on to meet the others
+        halves = stash(_folded(_halved(keyed.join(hot, "k", "left_semi").drop("k"), min_len)), "halves")
+        f = (F.col("lo") - F.col("lo0")).cast("long")
+        found.append(halves.where("n > 1 and not lead" if first_only else "n > 1").select("a", "c", f.alias("f"), (f + F.octet_length("seg")).alias("t")))
+        level = halves.where("lead and g0 < g1").select(*_NAMES)
     spans = found[0]
     for x in found[1:]:
         spans = spans.unionByName(x)
@@ -328,31 +354,42 @@ def _without(raw: bytes, cut: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
 
 
-def removal(docs: DataFrame, **options) -> DataFrame:
+def removal(docs: DataFrame, min_len: int = 400, gram: int = 120, passage_len: int | None = None, passage_gram: int = 80, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes that stay) and spans (merged) of every row.
 
+    With passage_len (under min_len) also n_passage_bytes and n_passages: what strings of that many bytes that
+    start elsewhere too would cover. They are found first, and min_len is looked for within them alone.
     Null texts are empty; texts under min_len bytes lose nothing. Rows that repeat a doc_id and
     text are judged alike: with first_only they count as one document, else as copies of each
     other. Other columns are not read.
     """
-    spans = repeated_spans(docs, **options)
+    shorter = passage_len is not None
+    if shorter:
+        found = stash(repeated_spans(docs, passage_len, passage_gram, **options), "passages")
+        spans = repeated_spans(docs, min_len, gram, within=found, **options).withColumnsRenamed({"doc_id": "__i", "th": "__h"})
+        spans = found.withColumnRenamed("spans", "short").join(spans, (F.col("th") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__i")), "left").select("doc_id", "th", "spans", "short")
+    else:
+        spans = repeated_spans(docs, min_len, gram, **options)
+    names = ["doc_id", "th", "n_bytes", "n_removed", "n_spans", "kept", "spans"] + ["n_passage_bytes", "n_passages"] * shorter
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            ids, sizes, cuts, kept = b.column(0), [], [], []
+            sizes, cuts, kept = [], [], []
             for z, s in zip(b.column(2), b.column(3)):
                 raw = unpack.decompress(z.as_py())
                 cut = merge_spans([(x["f"], x["t"]) for x in s.as_py() or ()])
                 sizes.append(len(raw))
                 cuts.append(cut)
                 kept.append(_without(raw, cut))
-            yield pa.RecordBatch.from_arrays(
-                [ids, b.column(1), pa.array(sizes, pa.int64()), pa.array([sum(t - f for f, t in c) for c in cuts], pa.int64()), pa.array([len(c) for c in cuts], pa.int64()), pa.array(kept, pa.binary()), pa.array([[{"f": f, "t": t} for f, t in c] for c in cuts], pa.list_(pa.struct([("f", pa.int64()), ("t", pa.int64())])))],
-                ["doc_id", "th", "n_bytes", "n_removed", "n_spans", "kept", "spans"],
-            )
+            total = lambda found: [pa.array([sum(t - f for f, t in c) for c in found], pa.int64()), pa.array([len(c) for c in found], pa.int64())]
+            out = [b.column(0), b.column(1), pa.array(sizes, pa.int64()), *total(cuts), pa.array(kept, pa.binary()), pa.array([[{"f": f, "t": t} for f, t in c] for c in cuts], pa.list_(pa.struct([("f", pa.int64()), ("t", pa.int64())])))]
+            if shorter:
+                out += total([merge_spans([(x["f"], x["t"]) for x in s.as_py() or ()]) for s in b.column(4)])
+            yield pa.RecordBatch.from_arrays(out, names)
 
-    return _joined_texts(docs, spans, "left").mapInArrow(run, "doc_id long, th long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<f:long,t:long>>")
+    schema = "doc_id long, th long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<f:long,t:long>>" + ", n_passage_bytes long, n_passages long" * shorter
+    return _joined_texts(docs, spans, "left").mapInArrow(run, schema)
 
 
 def without_later_copies(docs: DataFrame, **options) -> DataFrame:
@@ -390,10 +427,16 @@ def without_later_copies(docs: DataFrame, **options) -> DataFrame:
     return out.select(*docs.columns)
 
 
+#: Under the length of any passage of over 50 words, about 5 bytes each at least.
+PASSAGE = {"min_len": 240, "gram": 80}
+
+
 def query(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns for strings of 400 bytes, and beside them what repeated passages of over 50 words cover, which may be shorter."""
     from .common import documents
 
-    return removal(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    got = removal(documents(spark, sf_dir), passage_len=PASSAGE["min_len"], passage_gram=PASSAGE["gram"])
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_bytes", "n_passages")
 
 
 def brute_force(texts: list[bytes], min_len: int = 400) -> list[tuple[int, int, int, str]]:
