@@ -8,8 +8,8 @@ Viterbi. The scores of a BPE model are merge ranks, on which Viterbi gives other
 the model's; there the fold merges, step by step, the adjacent pair with the best-scored edge.
 Frequent units (at most `max_units`) are encoded once and reach the texts by broadcast. The others
 are encoded per document: dealt by document first, so that edges and pieces are grouped where they are made
-and only the units and the compressed texts are shuffled. A fold over the lattice grows with the cube of a unit's
-length, so units over `max_fold` characters (texts without blanks) take the same steps from a heap, where the
+and only the units and the compressed texts are shuffled. The cuts of a unit are the bits of a long, so units
+over `max_fold` characters (texts without blanks) take the same steps from a heap, where the
 texts are put together.
 """
 
@@ -18,22 +18,24 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections import Counter
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, stash
+from .words import Words, chunks
 
 BLANK = "▁"
 UNIT = re.compile(f"{BLANK}+[^{BLANK}\\n]*|[^{BLANK}\\n]+|\\n")
 WIDE = 1 << 32  # start * WIDE + end is a long
-_TABLES: dict[int, dict] = {}
+CHUNK = 2 << 20  # bytes of texts taken at once
+MAX_FOLD = 60  # cuts of a unit are bits 0 to 60 of a long
 
 
 def default_model() -> str:
@@ -75,7 +77,7 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """words(unit, ...) with n (characters) and edges: map from start * WIDE + end to (score, id).
+    """words(unit, ...) with n (characters) and edges: (rank, s, e, id), the best-scored first, then the leftmost.
 
     The pieces are few and broadcast, so units stay where they are: a partitioning of words by
     any of its columns holds through the grouping, and edges are not shuffled.
@@ -85,43 +87,44 @@ def _lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     spans = starts.select(*keys, "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, "n"))).alias("e"))
     spans = spans.withColumn("piece", F.expr("substring(unit, s + 1, e - s)"))
     # one row of each unit stays even where no piece fits
-    hits = spans.join(F.broadcast(table), "piece", "left").where("id is not null or (s = 0 and e = 1)").select(*keys, "n", F.struct((F.col("s") * WIDE + F.col("e")).alias("k"), "score", "id").alias("x"))
-    got = hits.groupBy(*keys, "n").agg(F.collect_list("x").alias("xs")).withColumn("xs", F.filter("xs", lambda x: x["id"].isNotNull()))
-    return got.select(*keys, "n", F.map_from_arrays(F.transform("xs", lambda x: x["k"]), F.transform("xs", lambda x: F.struct(x["score"], x["id"]))).alias("edges"))
+    hits = spans.join(F.broadcast(table), "piece", "left").where("id is not null or (s = 0 and e = 1)").select(*keys, "n", F.struct((-F.col("score")).alias("rank"), "s", "e", "id").alias("x"))
+    return hits.groupBy(*keys, "n").agg(F.collect_list("x").alias("xs")).select(*keys, "n", F.array_sort(F.filter("xs", lambda x: x["id"].isNotNull())).alias("edges"))
+
+
+def _bit(i):
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
 def _merge_fold(edges, n):
-    """Ends of the pieces of a unit under a BPE model: n - 1 steps, each merging the best pair of neighbours, leftmost first."""
-    edge = lambda a, b: F.try_element_at(edges, a * WIDE + b)["score"]
-    # cuts 0..n; cut i goes when cuts i-1 and i+1 span an edge
-    best = lambda c: F.array_max(
-        F.transform(F.sequence(F.lit(1), F.size(c) - 2), lambda i: F.struct(edge(F.get(c, i - 1), F.get(c, i + 1)).alias("score"), (-i).alias("i")))
-    )
+    """Cuts that stay of a unit under a BPE model, as bits 0 to n: n - 1 steps, each merging the best pair of neighbours, leftmost first.
+
+    An edge is a pair of neighbours if its ends are cuts and one cut lies between."""
+    multi = F.transform(F.filter(edges, lambda x: x["e"] - x["s"] > 1), lambda x: F.struct((_bit(x["s"]) + _bit(x["e"])).alias("ends"), (_bit(x["e"]) - _bit(x["s"] + 1)).alias("inner")))
 
     def step(state, _):
-        pick = best(state["c"])
-        stop = (F.size(state["c"]) < 3) | state["stop"]
-        return F.when(stop, F.struct(state["c"].alias("c"), F.lit(True).alias("stop"))).otherwise(
-            F.transform(F.array(pick), lambda p: F.struct(F.when(p["score"].isNull(), state["c"]).otherwise(F.filter(state["c"], lambda v, j: j != -p["i"])).alias("c"), p["score"].isNull().alias("stop")))[0]
-        ).cast(kind)
-
-    kind = "struct<c:array<int>,stop:boolean>"
-    start = F.struct(F.sequence(F.lit(0), n).alias("c"), F.lit(False).alias("stop")).cast(kind)
+        pair = lambda x: (state["c"].bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(state["c"].bitwiseAND(x["inner"])) == 1)
+        first = F.get(F.filter(state["x"], pair), F.lit(0))["inner"]
+        return F.struct(state["c"].bitwiseAND(F.coalesce(F.bitwise_not(first), F.lit(-1).cast("long"))).alias("c"), state["x"].alias("x"))
+
+    start = F.struct((_bit(n + 1) - 1).alias("c"), multi.alias("x"))
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, lambda s: s["c"])
 
 
 def _viterbi_fold(edges, n, longest: int, unknown_score: float):
-    """Cuts of the best path under a unigram model; a character no piece covers costs unknown_score."""
+    """Cuts of the best path under a unigram model, as bits; a character no piece covers costs unknown_score."""
+    scores = F.map_from_arrays(F.transform(edges, lambda x: x["s"] * WIDE + x["e"]), F.transform(edges, lambda x: -x["rank"]))
 
     def step(state, e):
         s = F.sequence(F.greatest(e - longest, F.lit(0)), e - 1)
-        cand = F.transform(s, lambda a: F.struct((F.get(state["best"], a) + F.coalesce(F.try_element_at(edges, a * WIDE + e)["score"], F.when(a == e - 1, F.lit(unknown_score)))).alias("score"), a.alias("a")))
+        cand = F.transform(s, lambda a: F.struct((F.get(state["best"], a) + F.coalesce(F.try_element_at(scores, a * WIDE + e), F.when(a == e - 1, F.lit(unknown_score)))).alias("score"), a.alias("a")))
         return F.transform(F.array(F.array_max(F.filter(cand, lambda x: x["score"].isNotNull()))), lambda p: F.struct(F.concat(state["best"], F.array(p["score"])).alias("best"), F.concat(state["back"], F.array(p["a"])).alias("back")))[0].cast(kind)
 
     kind = "struct<best:array<double>,back:array<int>>"
     start = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(F.lit(0)).alias("back")).cast(kind)
     back = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["back"])
-    return F.aggregate(F.sequence(F.lit(1), n), F.array(n).cast("array<int>"), lambda c, _: F.when(F.get(c, F.lit(0)) == 0, c).otherwise(F.concat(F.array(F.get(back, F.get(c, F.lit(0)))), c)).cast("array<int>"))
+    # back from the end, one cut a step; state: the last cut and the bits of all
+    walk = lambda c, _: F.when(c["at"] == 0, c).otherwise(F.struct(F.get(back, c["at"]).alias("at"), c["c"].bitwiseOR(_bit(F.get(back, c["at"]))).alias("c")))
+    return F.aggregate(F.sequence(F.lit(1), n), F.struct(n.alias("at"), _bit(n).alias("c")), walk, lambda c: c["c"])
 
 
 def encode_units(words: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
@@ -131,16 +134,21 @@ def encode_units(words: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
     worst = _worst(v)
     cuts = _merge_fold(F.col("edges"), F.col("n")) if kind == "bpe" else _viterbi_fold(F.col("edges"), F.col("n"), v["longest"], worst)
     whole = whole.withColumn("cuts", cuts)
+    is_cut = lambda i: F.getbit("cuts", i) == 1
+    inner = lambda x: F.col("cuts").bitwiseAND(_bit(x["e"]) - _bit(x["s"] + 1))
+    # the edges between neighbouring cuts, by their place
+    used = F.array_sort(F.transform(F.filter("edges", lambda x: is_cut(x["s"]) & is_cut(x["e"]) & (inner(x) == 0)), lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))))
     byte_ids = F.array(*map(F.lit, v["bytes"]))
 
-    def ids(i):
-        a, b = F.get(F.col("cuts"), i - 1), F.get(F.col("cuts"), i)
-        known = F.try_element_at(F.col("edges"), a * WIDE + b)["id"]
-        hexed = F.hex(F.encode(F.substr("unit", a + 1, b - a), "UTF-8"))
-        fallback = F.transform(F.sequence(F.lit(0), F.shiftright(F.length(hexed), 1) - 1), lambda j: F.get(byte_ids, F.conv(F.substr(hexed, (j * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
-        return F.when(known.isNotNull(), F.array(known)).otherwise(fallback)
+    def in_bytes(i):  # a character that is no piece
+        hexed = F.hex(F.encode(F.substr("unit", i + 1, F.lit(1)), "UTF-8"))
+        return F.transform(F.sequence(F.lit(0), F.shiftright(F.length(hexed), 1) - 1), lambda j: F.get(byte_ids, F.conv(F.substr(hexed, (j * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
 
-    return whole.select(*words.columns, F.flatten(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), ids)).alias("ids"))
+    at = F.filter(F.sequence(F.lit(0), F.col("n") - 1), is_cut)
+    known = lambda i: F.get(F.filter("used", lambda x: x["s"] == i), F.lit(0))["id"]
+    by_place = F.flatten(F.transform(at, lambda i: F.when(known(i).isNotNull(), F.array(known(i))).otherwise(in_bytes(i))))
+    whole = whole.withColumn("used", used)
+    return whole.select(*words.columns, F.when(F.size("used") == F.bit_count("cuts") - 1, F.transform("used", lambda x: x["id"])).otherwise(by_place).alias("ids"))
 
 
 def _merged(unit: str, pieces: dict) -> list[str]:
@@ -207,25 +215,35 @@ def long_ids(unit: str, v: dict, kind: str) -> list[int]:
     return out
 
 
-def frequent_units(docs: DataFrame, most: int, least_here: int = 4, flush: int = 150_000, max_fold: int = 200) -> DataFrame:
-    """At most `most` units that are worth a place in the dictionary. Which they are changes the cost and no result,
-    so units that a task sees less than least_here times are not counted."""
+def split_units(texts: list[bytes]) -> Words:
+    """units() of many texts; a blank stands for itself. Units fill the texts, so they are cut where one begins."""
+    texts = [t and b" " + t.replace(BLANK.encode(), b" ") for t in texts]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    begins = np.cumsum(sizes) - sizes
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    blank, line = buf == 32, buf == 10
+    start = line.copy()
+    start[1:] |= line[:-1] | blank[1:] & ~blank[:-1]
+    start[begins[sizes > 0]] = True
+    at = np.flatnonzero(start)
+    return Words(buf, at, None, np.searchsorted(at, begins))
 
-    def run(batches):
-        seen: Counter = Counter()
 
-        def out():
-            kept = {u: n for u, n in seen.items() if n >= least_here}
-            return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], ["unit", "n"])
+def _named(terms: pa.Array) -> pa.Array:
+    """Units as the model writes them."""
+    return pc.replace_substring(terms.cast(pa.string()), " ", BLANK)
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(u for u in units(t or "") if len(u) <= max_fold)
-                if len(seen) > flush:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
+
+def frequent_units(docs: DataFrame, most: int, least_here: int = 2, max_fold: int = MAX_FOLD) -> DataFrame:
+    """At most `most` units that are worth a place in the dictionary. Which they are changes the cost and no result,
+    so units that a chunk of texts has less than least_here times are not counted."""
+
+    def run(batches):
+        for _, part in chunks(batches, 0, CHUNK):
+            w = split_units(part)
+            n, named = np.bincount(w.codes, minlength=len(w.terms)), _named(w.terms)
+            keep = pa.array((n >= least_here) & (np.asarray(pc.utf8_length(named)) <= max_fold))
+            yield pa.RecordBatch.from_arrays([named.filter(keep), pa.array(n).filter(keep)], ["unit", "n"])
 
     counts = stash(docs.select(F.col("text").cast("string")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")), "units")
     band, least, total = F.floor(F.log2("n") * 32), None, 0
@@ -236,91 +254,117 @@ def frequent_units(docs: DataFrame, most: int, least_here: int = 4, flush: int =
     return counts.where(band >= least if least is not None else F.lit(False)).select("unit")
 
 
-def _packed(coded: DataFrame) -> DataFrame:
-    """ids as bytes, four to an id, the highest first."""
-    return coded.withColumn("ids", F.unhex(F.array_join(F.transform("ids", lambda x: F.lpad(F.hex(x), 8, "0")), "")))
+class _Dictionary:
+    """Units with their ids, all ids in a row."""
+
+    def __init__(self, units: pa.Array, ids: pa.Array):
+        self.units, sizes = units, np.asarray(pc.fill_null(pc.list_value_length(ids), 0)).astype(np.int64)
+        self.pool, self.sizes = np.asarray(pc.list_flatten(ids)).astype(np.int32), sizes
+        self.starts = np.cumsum(sizes) - sizes
+
+    def find(self, named: pa.Array) -> np.ndarray:
+        return np.asarray(pc.fill_null(pc.index_in(named, value_set=self.units), -1)).astype(np.int64)
+
 
+def _whole(column) -> pa.Array:
+    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
-def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_units: int = 400_000, max_fold: int = 200) -> DataFrame:
+
+def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_units: int = 400_000, max_fold: int = MAX_FOLD, part_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, text_bytes and ids of every row.
 
     ids is what the model's own encoder gives for the text. A null or empty text has no ids.
-    Repeated rows are encoded each for itself; other columns are not read. docs is read twice and
-    must give its rows in the same order both times, as a table does.
+    Repeated rows are encoded each for itself; other columns are not read. A row is known by a hash of its
+    doc_id and text, so the order in which docs gives its rows does not matter.
     """
+    if not 2 <= max_fold <= MAX_FOLD:
+        raise ValueError(f"need 2 <= max_fold <= {MAX_FOLD}: cuts are the bits of a long")
     path = path or default_model()
     spark = docs.sparkSession
-    frequent = _packed(encode_units(frequent_units(docs, max_units, max_fold=max_fold).repartition("unit"), path, kind)).toArrow()
-    sent = spark.sparkContext.broadcast(frequent)
+    frequent = encode_units(frequent_units(docs, max_units, max_fold=max_fold).repartition("unit"), path, kind).toArrow()
+    sent = spark.sparkContext.broadcast(_Dictionary(_whole(frequent["unit"]), _whole(frequent["ids"])))
     v = vocabulary(path)
     model = spark.sparkContext.broadcast({k: v[k] for k in ("pieces", "bytes", "longest")} | {"worst": _worst(v)})
-    name = xxhash.xxh64_intdigest(repr((sent._jbroadcast.id(), spark.sparkContext.applicationId)))
-
-    def known() -> dict[str, bytes]:
-        if name not in _TABLES:
-            _TABLES.clear()
-            t = sent.value
-            _TABLES[name] = dict(zip(t["unit"].to_pylist(), t["ids"].to_pylist()))
-        return _TABLES[name]
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(partitions(spark), -(-total // part_bytes))  # small enough for edges to be grouped in memory
 
-    def uids(task_row, n):
-        return np.arange(task_row, task_row + n) + (TaskContext.get().partitionId() << 32)
+    def row_keys(b, texts) -> np.ndarray:
+        digest = [xxhash.xxh3_128_digest(t, (1 << 63 if d is None else d) & (1 << 64) - 1) for d, t in zip(b.column(0).to_pylist(), texts)]
+        return np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
 
     def rare(batches):
-        table, row = known(), 0
-        rows = lambda out: pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([u for _, u in out], pa.string())], ["uid", "unit"])
-        for b in batches:
-            out = []
-            for uid, t in zip(uids(row, b.num_rows).tolist(), b.column(1)):
-                out += [(uid, u) for u in set(units(t.as_py() or "")) if len(u) <= max_fold and u not in table]
-                if len(out) > 50_000:
-                    yield rows(out)
-                    out = []
-            row += b.num_rows
-            yield rows(out)
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    others = source.mapInArrow(rare, "uid long, unit string").repartition(partitions(spark), "uid")
-    rest = _packed(encode_units(others, path, kind)).groupBy("uid").agg(F.collect_list(F.struct("unit", "ids")).alias("more"))
+        table = sent.value
+        for b, texts in chunks(batches, 1, CHUNK):
+            w = split_units(texts)
+            named = _named(w.terms)
+            new = (table.find(named) < 0) & (np.asarray(pc.utf8_length(named)) <= max_fold)
+            at = np.flatnonzero(new[w.codes])
+            pair = np.unique((np.repeat(np.arange(len(texts)), w.sizes)[at] << 32) | w.codes[at])
+            keys = row_keys(b, texts)[pair >> 32]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), named.take(pa.array(pair & 0xFFFFFFFF))], ["k1", "k2", "unit"])
+
+    others = source.mapInArrow(rare, "k1 long, k2 long, unit string").repartition(parts, "k1", "k2")
+    rest = encode_units(others, path, kind).groupBy("k1", "k2").agg(F.collect_list(F.struct("unit", "ids")).alias("more"))
 
     def number(batches):
-        import zstandard
-
-        pack, row = zstandard.ZstdCompressor(level=1), 0
-        for b in batches:
-            z = [None if t is None else pack.compress(t.encode()) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(uids(row, b.num_rows)), b.column(0), pa.array(z, pa.binary())], ["uid", "doc_id", "z"])
-            row += b.num_rows
+        pack = zstandard.ZstdCompressor(level=3)
+        for b, texts in chunks(batches, 1, CHUNK):
+            keys = row_keys(b, texts)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), b.column(0), pa.array([pack.compress(t) for t in texts], pa.binary())], ["k1", "k2", "doc_id", "z"])
 
     def assemble(batches):
-        import zstandard
-
-        unpack, table = zstandard.ZstdDecompressor(), known()
-        for b in batches:
-            ids, sizes = [], []
-            for z, more in zip(b.column(1), b.column(2)):
-                raw = unpack.decompress(z.as_py()) if z.is_valid else b""
-                own = {x["unit"]: x["ids"] for x in more.as_py() or ()}
-                parts = units(raw.decode())
-                own |= {u: np.array(long_ids(u, model.value, kind), ">u4").tobytes() for u in parts if len(u) > max_fold and u not in own}
-                ids.append(b"".join([table[u] if u in table else own[u] for u in parts]))
-                sizes.append(len(raw))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array([np.frombuffer(x, ">u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["doc_id", "text_bytes", "ids"])
-
-    texts = source.mapInArrow(number, "uid long, doc_id long, z binary")
-    return texts.join(rest, "uid", "left").select("doc_id", "z", "more").mapInArrow(assemble, "doc_id long, text_bytes long, ids array<int>")
-
-
-def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
+        unpack, table = zstandard.ZstdDecompressor(), sent.value
+        for b, packed in chunks(batches, 1, CHUNK // 2):
+            texts = [unpack.decompress(z) for z in packed]
+            w = split_units(texts)
+            named = _named(w.terms)
+            at = table.find(named)
+            more = pc.list_flatten(b.column(2))
+            own = _Dictionary(pc.struct_field(more, "unit"), pc.struct_field(more, "ids"))
+            here = own.find(named)
+            lost = np.flatnonzero((at < 0) & (here < 0))
+            long = [long_ids(u, model.value, kind) for u in named.take(pa.array(lost)).to_pylist()]
+            added = _Dictionary(named.take(pa.array(lost)), pa.array(long, pa.list_(pa.int32())))
+            starts, sizes = np.where(at >= 0, 0, len(table.pool)), np.zeros(len(at), np.int64)
+            for place, d, base in ((at, table, 0), (np.where(at < 0, here, -1), own, len(table.pool))):
+                hit = place >= 0
+                starts[hit], sizes[hit] = base + d.starts[place[hit]], d.sizes[place[hit]]
+            starts[lost], sizes[lost] = len(table.pool) + len(own.pool) + added.starts, added.sizes
+            ids, ends = w.spread(starts, sizes, np.concatenate((table.pool, own.pool, added.pool)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, texts)), pa.int64()), lists], ["doc_id", "text_bytes", "ids"])
+
+    texts = source.mapInArrow(number, "k1 long, k2 long, doc_id long, z binary").repartition(parts, "k1", "k2")
+    return texts.join(rest, ["k1", "k2"], "left").select("doc_id", "z", "more").mapInArrow(assemble, "doc_id long, text_bytes long, ids array<int>")
+
+
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """Where each list begins and ends in the values, and the values; a null list is empty."""
+    return np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)))), np.asarray(pc.list_flatten(column))
+
+
+def decode(coded: DataFrame, path: str | None = None, together: int = 1 << 19) -> DataFrame:
     """doc_id, ids and text of rows with ids; control ids give nothing, broken bytes the replacement character."""
     raw = vocabulary(path or default_model())["raw"]
 
     def run(batches):
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        starts, pool = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(raw), np.uint8)
         for b in batches:
-            texts = []
-            for ids in b.column(1).to_pylist():
-                t = b"".join([raw[i] for i in ids or ()]).decode(errors="replace")
-                texts.append(t[1:] if t.startswith(" ") else t)
+            (at, ids), texts, lo = _lists(b.column(1)), [], 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + together, "right")) - 1)
+                own = ids[at[lo] : at[hi]]
+                n = sizes[own]
+                ends = np.concatenate(([0], np.cumsum(n)))
+                place = np.repeat(starts[own] - ends[:-1], n)
+                place += np.arange(len(place))
+                joined, cut = pool[place].tobytes(), ends[at[lo : hi + 1] - at[lo]].tolist()
+                for f, t in zip(cut, cut[1:]):
+                    x = joined[f:t].decode(errors="replace")
+                    texts.append(x[1:] if x.startswith(" ") else x)
+                lo = hi
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
@@ -332,8 +376,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     def digest(batches):
         for b in batches:
-            ids = [np.array(x or [], "<u4").tobytes() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), b.column(2)], ["doc_id", "n_pieces", "ids_crc32", "text"])
+            at, ids = _lists(b.column(1))
+            ids = ids.astype("<u4")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), pa.array([zlib.crc32(ids[f:t]) for f, t in zip(at[:-1].tolist(), at[1:].tolist())], pa.int64()), b.column(2)], ["doc_id", "n_pieces", "ids_crc32", "text"])
 
     got = decode(encode(documents(spark, sf_dir))).mapInArrow(digest, "doc_id long, n_pieces long, ids_crc32 long, text string")
     return got.select("doc_id", "n_pieces", "ids_crc32", F.octet_length("text").cast("long").alias("decoded_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The white space between words, space and \t to \r.
 _SPACE = np.zeros(256, bool)
@@ -61,10 +62,9 @@ def split(texts: list[bytes], lower: bool = True, marks: bool = False) -> Words:
 def chunks(batches, column: int, size: int = 8 << 20, rows: int = 1 << 14) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of record batches of about `size` bytes of text and at most `rows` rows, with their texts; a null text is empty."""
     for b in batches:
-        texts = [x or b"" for x in b.column(column).cast(pa.binary()).to_pylist()]
-        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-        at = 0
-        while at < len(texts):
+        texts = b.column(column).cast(pa.binary())
+        ends, at = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)), 0
+        while at < b.num_rows:
             to = min(at + rows, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size))))
-            yield b.slice(at, to - at), texts[at:to]
+            yield b.slice(at, to - at), [x or b"" for x in texts.slice(at, to - at).to_pylist()]
             at = to

@@ -29,13 +29,13 @@ def tables(spark, tmp_path_factory):
     return d
 
 
-def earlier_cut(texts):
-    """Later copies of 400-byte strings cut, documents in order of id."""
+def earlier_cut(texts, n=240):
+    """Later copies of strings of n bytes cut, documents in order of id."""
     seen, out = set(), {}
     for i in sorted(texts):
         raw = texts[i].encode()
-        marks = [hashlib.md5(raw[k : k + 400]).digest() for k in range(len(raw) - 399)]
-        out[i] = suffix._without(raw, suffix.merge_spans([(k, k + 400) for k, h in enumerate(marks) if h in seen])).decode()
+        marks = [hashlib.md5(raw[k : k + n]).digest() for k in range(len(raw) - n + 1)]
+        out[i] = suffix._without(raw, suffix.merge_spans([(k, k + n) for k, h in enumerate(marks) if h in seen])).decode()
         seen.update(marks)
     return out
 
@@ -68,13 +68,23 @@ def test_stages(spark, tables):
     assert 10 < len(want) < 30
 
 
+def test_a_passage_of_over_50_words_stays_once(spark):
+    r = random.Random(4)
+    passage = " ".join(r.choices(["the", "and", "for", "with", "house", "river", "of", "mountain"], k=55))
+    texts = [None, "", passage, *[f"{prose(60, r)}\n{passage} {prose(40, r)}" for _ in range(6)], prose(200, r)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: x.text for x in corpus_pipeline.suffix_dedup(spark, df, "").collect()}
+    assert [i for i, t in got.items() if passage[5:-5] in (t or "")] == [2]
+    assert got[9] == texts[9] and len(got) == 10 and all(len(got[i]) > 300 for i in range(3, 9))
+
+
 def test_run(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = corpus_pipeline.stash(stage(spark, docs, tables), "t")
     want = collections.Counter()
     for r in docs.collect():
-        raw = packing.token_bytes([r.text.encode()], packing.default_tokenizer())[0] + np.array([1], "<u4").tobytes()
+        raw = np.append(packing.token_ids([r.text.encode()], packing.default_tokenizer())[0], 1).astype("<u4").tobytes()
         want.update((r.doc_id, k, zlib.crc32(raw[x : x + 16384])) for k, x in enumerate(range(0, len(raw), 16384)))
     got = corpus_pipeline.run(spark, tables).collect()
     assert collections.Counter((r.doc_id, r.piece, r.ids_crc32) for r in got) == want
