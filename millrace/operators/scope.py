@@ -38,23 +38,61 @@ def read_only_sql(spark: SparkSession, tables: dict[str, DataFrame], shop_id: st
     """Run a query on the shop's rows: scope at the source, then at most max_rows rows.
 
     The statement is placed in a subquery, where Spark parses no DDL, DML or SET; table names in it resolve
-    to common table expressions that hold only the shop's rows.
+    to common table expressions that hold only the shop's rows. Any other relation is refused.
     """
     if not isinstance(max_rows, int) or isinstance(max_rows, bool) or max_rows < 1:
         raise Refused("max_rows must be a positive integer")
     check_statement(sql)
-    if not any(re.search(rf"\b{t}\b", sql, re.IGNORECASE) for t in tables):
-        raise Refused("no business table is read")
+    if "{" in sql or "}" in sql:
+        raise Refused("braces are not allowed")
+    check_relations(spark, list(tables), sql)
     scoped = {name: shop_scope(rows, shop_id) for name, rows in tables.items()}
-    return spark.sql("SELECT * FROM (\n" + _braced(sql, scoped) + "\n) AS q", **scoped).limit(max_rows)
+    return spark.sql(_placed(sql, {name: f"{{{name}}}" for name in scoped}), **scoped).limit(max_rows)
 
 
-def _braced(sql: str, scoped: dict[str, DataFrame]) -> str:
-    """The statement behind one WITH clause per table; Spark binds the DataFrames by name."""
-    if "{" in sql or "}" in sql:
-        raise Refused("braces are not allowed")
-    heads = ", ".join(f"{name} AS (SELECT * FROM {{{name}}})" for name in scoped)
-    return f"WITH {heads} SELECT * FROM (\n{sql}\n) AS u"
+def _placed(sql: str, sources: dict[str, str]) -> str:
+    """The statement behind one WITH clause per table, as a subquery."""
+    heads = ", ".join(f"{name} AS (SELECT * FROM {source})" for name, source in sources.items())
+    return f"SELECT * FROM (\nWITH {heads} SELECT * FROM (\n{sql}\n) AS u\n) AS q"
+
+
+def check_relations(spark: SparkSession, names: list[str], sql: str) -> None:
+    """Refuse a statement that reads anything but the named tables and its own WITH clauses, or none of the tables.
+
+    Spark's parser tells which relations the statement names, subqueries included; a WITH name counts only where it is in scope.
+    """
+    bound = "bound_" + "_".join(names)
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(_placed(sql, {n: f"{bound}.{n}" for n in names}))
+    except Exception as e:
+        raise Refused("the statement can't be parsed") from e
+    read: set[str] = set()
+
+    def items(seq):
+        return [seq.apply(i) for i in range(seq.size())]
+
+    def visit(node, known: frozenset[str]) -> None:
+        kind = node.nodeName()
+        if kind == "UnresolvedRelation":
+            parts = [p.lower() for p in items(node.multipartIdentifier())]
+            if parts[0] != bound.lower() and (len(parts) > 1 or parts[0] not in known):
+                raise Refused(f"{'.'.join(parts)} may not be read")
+            read.update(parts if len(parts) == 1 else ())
+        elif kind == "UnresolvedWith":
+            for pair in items(node.cteRelations()):
+                visit(pair._2(), known)
+                known = known | {pair._1().lower()}
+        elif node.children().isEmpty() and kind not in ("OneRowRelation", "UnresolvedInlineTable", "LocalRelation"):
+            raise Refused(f"{kind} may not be read")
+        if kind != "UnresolvedWith":
+            for inner in items(node.innerChildren()):
+                visit(inner, known)
+        for child in items(node.children()):
+            visit(child, known)
+
+    visit(plan, frozenset())
+    if not read & {n.lower() for n in names}:
+        raise Refused("no business table is read")
 
 
 def row_cap(rows: DataFrame, requested: int | None, max_rows: int = 1000) -> DataFrame:

@@ -18,6 +18,16 @@ MARKET = ("股价", "股票", "目标价")
 FORECAST = ("预测", "涨到", "跌到", "会涨", "会跌", "明年", "未来")
 
 
+# Full-width forms and the characters they stand for.
+FULL_WIDTH = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000\u00a0"
+HALF_WIDTH = "".join(map(chr, range(0x21, 0x7F))) + "  "
+
+
+def half_width(text: Column) -> Column:
+    """Full-width letters, digits and signs as plain ones, and wide blanks as blanks."""
+    return F.translate(text, FULL_WIDTH, HALF_WIDTH)
+
+
 def _names(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
@@ -33,6 +43,7 @@ def typed_value(text: Column, fact_type: Column) -> Column:
     Scale words, a missing or a foreign unit or currency, and negative numbers are refused; a
     number in brackets is negative. Days count 24 hours in the canonical value.
     """
+    text = half_width(text)
     number = F.regexp_extract(text, NUMBER, 1)
     bracket = number.startswith("(")
     plain = F.regexp_replace(number, r"[(),\s]", "").try_cast("decimal(38,10)")
@@ -93,7 +104,7 @@ def citation_subset(answer: Column, known: Column) -> Column:
 
 def strict_value_match(expected: Column, content: Column) -> Column:
     """A number must stand between characters that are neither digit nor dot, commas apart; other values must be contained, blanks apart."""
-    fold = lambda x: F.replace(F.replace(F.lower(x), F.lit("％"), F.lit("%")), F.lit("，"), F.lit(","))
+    fold = lambda x: F.lower(half_width(x))
     want, text = fold(expected), fold(content)
     number = F.regexp_replace(want, r"[\s,]", "")
     pattern = F.concat(F.lit(r"(?<![\d.])\Q"), number, F.lit(r"\E(?![\d.])"))

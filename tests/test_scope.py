@@ -15,6 +15,9 @@ def sales(spark):
     "SELECT * FROM sales_records WHERE shop_id = 'a' OR 1 = 1",
     "SELECT * FROM sales_records UNION ALL SELECT * FROM sales_records WHERE shop_id = 'b'",
     "select * from sales_records) q cross join (select 1 from sales_records",
+    "WITH base AS (SELECT * FROM sales_records), ranked AS (SELECT shop_id FROM base) SELECT * FROM ranked",
+    "SELECT * FROM sales_records WHERE sku IN (SELECT sku FROM SALES_RECORDS)",
+    "SELECT s.* FROM sales_records s, (VALUES (1)) AS v",
 ])
 def test_only_own_shop(spark, sales, sql):
     rows = scope.read_only_sql(spark, {"sales_records": sales}, "a", sql).collect()
@@ -23,10 +26,15 @@ def test_only_own_shop(spark, sales, sql):
 
 @pytest.mark.parametrize("sql", [
     "DROP TABLE sales_records", "INSERT INTO sales_records VALUES (1)", "SET x = 1 -- sales_records", "SELECT 1; SELECT * FROM sales_records", "SELECT java_method('java.lang.System', 'exit', 0) FROM sales_records",
-    "SELECT * FROM parquet.`/tmp/x` JOIN sales_records", "SELECT 1", "SELECT * FROM {other}, sales_records", "",
+    "SELECT * FROM parquet.`/tmp/x` JOIN sales_records", "SELECT 1", "DELETE FROM sales_records", "SELECT * FROM sales_records -- bypass", "SELECT * FROM information_schema.tables", "UPDATE sales_records SET units = 0",
+    "INSERT INTO sales_records(shop_id) VALUES ('x')", "CREATE TABLE copied AS SELECT * FROM sales_records", "ALTER TABLE sales_records ADD COLUMN note STRING", "TRUNCATE TABLE sales_records", "EXPLAIN DELETE FROM sales_records",
+    "SELECT * FROM sales_records; /* harmless */ DROP TABLE users", "DR/**/OP TABLE users", "SELECT * FROM users", "SELECT * FROM sales_records JOIN users ON users.id = sales_records.id",
+    "SELECT o.* FROM other_view o, sales_records", "SELECT sku, 'sales_records' AS t FROM other_view", "SELECT * FROM sales_records WHERE sku IN (SELECT sku FROM other_view)", "SELECT (SELECT max(units) FROM other_view) FROM sales_records",
+    "SELECT * FROM (WITH other_view AS (SELECT * FROM sales_records) SELECT * FROM other_view) a, other_view", "SELECT * FROM other_view JOIN (SELECT * FROM sales_records) other_view", "SELECT * FROM default.sales_records", "SELECT * FROM range(3), sales_records", "SELECT * FROM {other}, sales_records", "",
 ])
 def test_refused(spark, sales, sql):
-    with pytest.raises(Exception):
+    sales.createOrReplaceTempView("other_view")
+    with pytest.raises(scope.Refused):
         scope.read_only_sql(spark, {"sales_records": sales}, "a", sql).collect()
 
 

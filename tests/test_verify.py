@@ -67,3 +67,17 @@ def test_load_stats_find_their_columns(spark, tmp_path):
     f.write_text("﻿Name,Request Count,Failure Count,Average Response Time,95%,99%\nrag,44,0,9347.2,20000,30000\n", encoding="utf-8")
     r = io.read_load_stats(spark, str(f)).first()
     assert (r.name, r.requests, r.p95_ms) == ("rag", 44.0, 20000.0)
+
+
+def test_full_width_values(spark):
+    rows = spark.createDataFrame([("１２０ 美元", "price", "总价１，２００．５０元", "1,200.50"), ("（３）％", "customs_duty_rate", "税率１２％", "12%"), ("3％", "customs_duty_rate", "112", "12")], "v string, k string, content string, want string")
+    got = rows.select(verify.typed_value(F.col("v"), F.col("k")).alias("x"), verify.strict_value_match(F.col("want"), F.col("content")).alias("hit")).collect()
+    assert (float(got[0].x.value), got[0].x.currency, got[1].x, float(got[2].x.value)) == (120.0, "USD", None, 3.0)
+    assert [r.hit for r in got] == [True, True, False]
+
+
+def test_lines_of_pages(spark):
+    from millrace.operators import pages
+
+    rows = spark.createDataFrame([("d", 1, "a\r\n\t\r\nb\n \n"), ("d", 2, None)], "doc string, page_number int, text string")
+    assert [r.line_count for r in pages.page_features(rows, ("x",), ("y",), ("z",)).orderBy("page_number").collect()] == [2, 0]
