@@ -270,7 +270,7 @@ def _whole(column) -> pa.Array:
     return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
 
-def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_units: int = 400_000, max_fold: int = MAX_FOLD, part_bytes: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_units: int = 400_000, max_fold: int = MAX_FOLD, part_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, text_bytes and ids of every row.
 
     ids is what the model's own encoder gives for the text. A null or empty text has no ids.
@@ -281,7 +281,7 @@ def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_unit
         raise ValueError(f"need 2 <= max_fold <= {MAX_FOLD}: cuts are the bits of a long")
     path = path or default_model()
     spark = docs.sparkSession
-    frequent = encode_units(frequent_units(docs, max_units, max_fold=max_fold).repartition("unit"), path, kind).toArrow()
+    frequent = encode_units(frequent_units(docs, max_units, max_fold=max_fold).repartition(max(1, max_units // 10_000), "unit"), path, kind).toArrow()
     sent = spark.sparkContext.broadcast(_Dictionary(_whole(frequent["unit"]), _whole(frequent["ids"])))
     v = vocabulary(path)
     model = spark.sparkContext.broadcast({k: v[k] for k in ("pieces", "bytes", "longest")} | {"worst": _worst(v)})
