@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -24,11 +25,13 @@ _OWN_SCRATCH: dict[str, str] = {}
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder is made.
+    Only where that is unset (tests on one machine) a temporary folder is made; on a cluster it must be set.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = _OWN_SCRATCH.get(sc.applicationId)
         if base is None:
             base = _OWN_SCRATCH[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-millrace-")

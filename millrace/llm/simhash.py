@@ -285,13 +285,14 @@ def near_groups(docs: DataFrame, shingle: int = 3, seed: int = 42, max_bits: int
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows whose doc_id leads its near-duplicate group; rows that repeat a doc_id count as copies.
+    """The rows whose doc_id leads its near-duplicate group; of rows with one doc_id and text one stays.
 
-    All columns of the input come back as they are. A row without doc_id is kept.
+    All columns of the input come back as they are. Rows with one doc_id but different texts all stay, since
+    the group does not say which to drop. A row without doc_id is kept.
     """
     first = near_groups(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     named = docs.where("doc_id is not null")
-    kept = named.join(first, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
+    kept = named.join(first, F.col("doc_id") == F.col("__keep"), "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
     return kept.unionByName(docs.where("doc_id is null"))
 
 

@@ -170,6 +170,13 @@ def test_simhash_groups(docs, empty):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in fp})
 
 
+def test_simhash_keeps_texts_that_share_a_doc_id(spark):
+    r = random.Random(8)
+    a, b = prose(80, r), prose(80, r)
+    df = spark.createDataFrame([(1, a), (1, b), (1, a), (2, a), (None, a)], "doc_id long, text string")
+    assert collections.Counter(map(tuple, simhash.keep_first(df).collect())) == collections.Counter([(1, a), (1, b), (None, a)])
+
+
 @pytest.mark.parametrize("limit", [2, 2048])
 def test_pigeonhole_loses_no_link(spark, limit):
     r = random.Random(limit)
