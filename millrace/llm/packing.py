@@ -28,7 +28,7 @@ from .common import stash
 CAPACITY = 4096
 END_ID = 1
 _ENCODERS: dict[str, "WordEncoder"] = {}
-CACHE_WORDS, CACHE_IDS, TOGETHER = 1_500_000, 8_000_000, 1000
+CACHE_WORDS, CACHE_IDS, TOGETHER = 500_000, 2_500_000, 1000
 
 
 def default_tokenizer() -> str:
@@ -46,7 +46,7 @@ class WordEncoder:
     in its exact case, is not lower-cased and its marks stay.
 
     Words are kept by their 128-bit hash in sorted arrays of at most CACHE_WORDS words and
-    CACHE_IDS ids, or those of one chunk (under 60 MB). New words of letters go to the tokenizer many at a time: each
+    CACHE_IDS ids (about 20 MB), or those of one chunk. New words of letters go to the tokenizer many at a time: each
     gives one id with the end-of-word mark, its last; where that count differs they go singly.
     """
 
