@@ -157,13 +157,7 @@ def order_status(s, d):
 
 
 def orphans(s, d):
-    o = facts.table(s, d, "customer").select("c_custkey", "c_nationkey")
-    placed = facts.table(s, d, "orders").where("o_orderkey % 3 = 0")
-    return commerce.orphans(o, placed, "c_custkey", "o_custkey").select("c_custkey")
-
-
-def orphans_whole(s, d):
-    """j04 over every order."""
+    """Over every order."""
     o = facts.table(s, d, "customer").select("c_custkey", "c_nationkey")
     return commerce.orphans(o, facts.table(s, d, "orders"), "c_custkey", "o_custkey").select("c_custkey")
 
@@ -197,7 +191,7 @@ QUERIES = {
     "s01_fact_scan": fact_scan, "s04_contract_check": contract_check, "s05_preview": preview, "p01_shop_scope": shop_scope, "p04_money_policy": money_by_market, "j07_adhoc_join": adhoc_join, "u01_adhoc_union": adhoc_union,
     "a01_ad_efficiency": ad_efficiency, "a02_product_contribution": product_contribution, "w01_contribution_rank": contribution_rank, "a03_inventory_turnover": inventory_turnover, "a04_price_gap": price_gap, "a05_result_scope": result_scope,
     "a06_trend_direction": trend_direction, "a07_inventory_summary": inventory_summary, "a08_top_n_others": top_n_others, "p05_catalog_search": catalog_search, "p06_spec_filter": spec_filter, "p07_get_by_sku": get_by_sku, "p08_owned_rows": owned_rows,
-    "j01_order_aggregate": order_aggregate, "j02_order_shipment": order_shipment, "j03_order_status": order_status, "j04_orphans": orphans, "j04_orphans_whole": orphans_whole, "j05_owner_mismatch": owner_mismatch, "j06_backfill_owner": backfill_owner,
+    "j01_order_aggregate": order_aggregate, "j02_order_shipment": order_shipment, "j03_order_status": order_status, "j04_orphans": orphans, "j05_owner_mismatch": owner_mismatch, "j06_backfill_owner": backfill_owner,
     "t01_search_topk": search_topk, "t02_orders_recent": orders_recent, "w14_recent_history": recent_history,
 }
 
@@ -234,8 +228,7 @@ SQL = {
     "j01_order_aggregate": f"WITH {_ORDERS} SELECT order_no, count(*) AS n_items, string_agg('SKU-' || l_partkey || ':' || CAST(l_quantity AS INT), ',' ORDER BY l_orderkey * 10 + l_linenumber, 'SKU-' || l_partkey, p_name, CAST(l_quantity AS INT)) AS items FROM ord JOIN lineitem ON id = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY order_no",
     "j02_order_shipment": f"WITH {_ORDERS}, {_SHIPMENTS} SELECT order_no, status, shipment_status, exception_type FROM ord JOIN ship ON id = order_id",
     "j03_order_status": f"WITH {_ORDERS}, {_SHIPMENTS} SELECT order_no, status, shipment_status, strftime(eta, '%Y-%m-%d %H:%M:%S') AS local_eta FROM ord LEFT JOIN ship ON id = order_id",
-    "j04_orphans": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 = 0)",
-    "j04_orphans_whole": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "j04_orphans": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "j05_owner_mismatch": "SELECT o_orderkey AS id, o_custkey AS user_id FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 9 <> 0 LEFT JOIN supplier ON s_suppkey = o_orderkey % 50 AND s_suppkey % 4 <> 0 WHERE c_custkey IS NULL OR s_suppkey IS NULL OR c_nationkey <> 3 OR s_suppkey <> o_custkey OR s_nationkey <> 3",
     "j06_backfill_owner": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'known' ELSE CAST(c_nationkey AS VARCHAR) END AS shop_id FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
     "t01_search_topk": f"WITH {_PRODUCTS} SELECT id, sku, price::DOUBLE AS price FROM products WHERE is_active AND stock > 0 ORDER BY price, id LIMIT 50",

@@ -70,12 +70,7 @@ def job_counts(s, d):
 
 
 def idempotent_enqueue(s, d):
-    j = _jobs(s, d)
-    return jobs.idempotent_enqueue(j.where("id % 3 = 0"), j.where("id % 3 = 1")).select("id", "idempotency_key")
-
-
-def idempotent_enqueue_whole(s, d):
-    """o03 over every job: those with id % 3 = 0 are there, all others come in."""
+    """Over every job: those with id % 3 = 0 are there, all others come in."""
     j = _jobs(s, d)
     return jobs.idempotent_enqueue(j.where("id % 3 = 0"), j.where("id % 3 <> 0")).select("id", "idempotency_key")
 
@@ -112,7 +107,7 @@ def corpus_append(s, d):
 
 QUERIES = {
     "r01_route_messages": route_messages, "r06_aftersales_classify": aftersales, "j18_decision_table_join": aftersales_policy, "r09_audit_events": audit_events, "a23_route_eval": route_eval, "o01_job_health": job_health, "o02_retry_schedule": retry_schedule, "a21_job_counts": job_counts,
-    "o03_idempotent_enqueue": idempotent_enqueue, "o03_idempotent_enqueue_whole": idempotent_enqueue_whole, "w17_job_backlog_order": backlog, "a22_version_counts": version_counts, "u03_key_difference": key_difference, "j10_artifact_audit": artifact_audit, "j09_candidate_coverage": coverage, "u04_corpus_append": corpus_append,
+    "o03_idempotent_enqueue": idempotent_enqueue, "w17_job_backlog_order": backlog, "a22_version_counts": version_counts, "u03_key_difference": key_difference, "j10_artifact_audit": artifact_audit, "j09_candidate_coverage": coverage, "u04_corpus_append": corpus_append,
 }
 
 _MSG = "m AS (SELECT conv_id * 1000 + turn AS request_id, role, text AS message, lower(text) AS low FROM conversations WHERE conv_id IS NOT NULL AND text IS NOT NULL)"
@@ -131,8 +126,7 @@ SQL = {
     "o01_job_health": f"WITH {_JOBS} SELECT job_type, CASE WHEN status = 'running' AND due < TIMESTAMP '{NOW}' THEN CASE WHEN attempt_count >= 5 THEN 'failed' ELSE 'stale' END WHEN status = 'running' THEN 'leased' WHEN status = 'queued' AND attempt_count >= 5 THEN 'failed' WHEN status = 'queued' AND due <= TIMESTAMP '{NOW}' THEN 'claimable' WHEN status = 'queued' THEN 'waiting' ELSE status END AS health, count(*) AS n FROM j GROUP BY 1, 2",
     "o02_retry_schedule": f"WITH {_JOBS}, w AS (SELECT id, CASE WHEN attempt_count < 5 THEN floor(least(3600.0, 30.0 * pow(2.0, attempt_count - 1)))::BIGINT END AS wait_s FROM j WHERE status = 'failed') SELECT id, wait_s, strftime(TIMESTAMP '{NOW}' + to_seconds(wait_s), '%Y-%m-%d %H:%M:%S') AS next_at FROM w",
     "a21_job_counts": f"WITH {_JOBS} SELECT document_id, " + ", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in jobs.STATUSES) + ", count(*) AS total FROM j GROUP BY 1",
-    "o03_idempotent_enqueue": f"WITH {_JOBS} SELECT min(id) AS id, idempotency_key FROM j WHERE id % 3 = 1 AND idempotency_key NOT IN (SELECT idempotency_key FROM j WHERE id % 3 = 0) GROUP BY 2",
-    "o03_idempotent_enqueue_whole": f"WITH {_JOBS} SELECT min(id) AS id, idempotency_key FROM j WHERE id % 3 <> 0 AND idempotency_key NOT IN (SELECT idempotency_key FROM j WHERE id % 3 = 0) GROUP BY 2",
+    "o03_idempotent_enqueue": f"WITH {_JOBS} SELECT min(id) AS id, idempotency_key FROM j WHERE id % 3 <> 0 AND idempotency_key NOT IN (SELECT idempotency_key FROM j WHERE id % 3 = 0) GROUP BY 2",
     "w17_job_backlog_order": f"WITH {_JOBS} SELECT job_type, id, row_number() OVER (PARTITION BY job_type ORDER BY priority DESC, due, id) AS position FROM j WHERE status = 'queued' AND due <= TIMESTAMP '{NOW}'",
     "a22_version_counts": "SELECT source, doc_id % 3 AS version, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs FROM documents GROUP BY 1, 2",
     "u03_key_difference": "SELECT DISTINCT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'unexpected' ELSE 'missing' END AS side FROM documents WHERE (doc_id % 5 = 0) <> (doc_id % 7 = 0)",

@@ -77,12 +77,7 @@ def _fused(s, d):
 
 
 def numeric_score(s, d):
-    p = _pairs(s, d)
-    return p.where("lexical_score >= 0.5").select("query_id", "chunk_id", retrieval.numeric_score(F.col("question"), F.col("content")).alias("numeric_score"))
-
-
-def numeric_score_whole(s, d):
-    """x03 over every pair, however few words it shares."""
+    """Over every pair, however few words it shares."""
     return _pairs(s, d).select("query_id", "chunk_id", retrieval.numeric_score(F.col("question"), F.col("content")).alias("numeric_score"))
 
 
@@ -126,13 +121,7 @@ def context_budget(s, d):
 
 
 def dense_knn(s, d):
-    v = table(s, d, "embeddings").where("vec_id is not null and embedding is not null")
-    got = retrieval.dense_knn(v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), v, 10)
-    return got.select("query_id", "vec_id", retrieval.vector_score(F.col("distance")).alias("vector_score"), "rank")
-
-
-def dense_knn_whole(s, d):
-    """j12 with a query set that grows with the table: every vector whose id is divisible by 50."""
+    """With a query set that grows with the table: every vector whose id is divisible by 50."""
     v = table(s, d, "embeddings").where("vec_id is not null and embedding is not null")
     got = retrieval.dense_knn(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v, 10)
     return got.select("query_id", "vec_id", retrieval.vector_score(F.col("distance")).alias("vector_score"), "rank")
@@ -307,8 +296,8 @@ def fact_conflicts(s, d):
 
 
 QUERIES = {
-    "x01_term_index": term_index, "j11_lexical_join": lexical_join, "x03_numeric_score": numeric_score, "x03_numeric_score_whole": numeric_score_whole, "t06_channel_topk": channel_topk, "a09_weighted_rrf": weighted_rrf, "t04_hybrid_topk": hybrid_topk, "w04_collapse_provenance": collapse_provenance,
-    "w05_dedupe_contexts": dedupe_contexts, "w06_citation_ledger": citation_ledger, "w07_context_budget": context_budget, "j12_dense_knn": dense_knn, "j12_dense_knn_whole": dense_knn_whole, "p14_vector_validate": vector_validate, "p11_active_version_filter": active_version_filter, "p12_content_split": content_split,
+    "x01_term_index": term_index, "j11_lexical_join": lexical_join, "x03_numeric_score": numeric_score, "t06_channel_topk": channel_topk, "a09_weighted_rrf": weighted_rrf, "t04_hybrid_topk": hybrid_topk, "w04_collapse_provenance": collapse_provenance,
+    "w05_dedupe_contexts": dedupe_contexts, "w06_citation_ledger": citation_ledger, "w07_context_budget": context_budget, "j12_dense_knn": dense_knn, "p14_vector_validate": vector_validate, "p11_active_version_filter": active_version_filter, "p12_content_split": content_split,
     "x16_page_features": page_features, "x17_page_classify": page_classify, "w08_title_neighbors": title_neighbors, "w09_page_cap": page_cap, "a20_page_inventory": page_inventory, "x27_candidate_id": candidate_id, "x28_version_ids": version_ids, "p09_serialize_context": serialize_context,
     "s16_embedding_cache_lookup": embedding_cache_lookup, "s17_index_upsert": index_upsert, "j19_layer_identity": layer_identity, "j17_stale_versions": stale_versions, "a26_corpus_fingerprint": corpus_fingerprint, "j13_strict_hit_join": strict_hits, "w15_first_hit_rank": first_hit_rank,
     "a10_recall_mrr": recall_mrr, "a11_failure_stages": failure_stages, "a13_subset_metrics": subset_metrics, "a31_release_gate": release_gate, "a15_nearest_rank_percentile": percentile, "a16_reason_histogram": reason_histogram, "a17_token_cost": token_cost, "a25_load_summary": load_summary, "a27_dataset_profile": dataset_profile, "a30_fact_conflicts": fact_conflicts,
@@ -328,8 +317,7 @@ nb AS (SELECT *, max(title::INT) OVER (PARTITION BY doc ORDER BY page_number RAN
 SQL = {
     "x01_term_index": f"WITH {_TERMS} SELECT chunk_id, count(*) AS n_terms, sum(len(term))::BIGINT AS n_chars FROM ct GROUP BY 1",
     "j11_lexical_join": f"WITH {_PAIRS} SELECT * FROM pairs",
-    "x03_numeric_score": f"WITH {_PAIRS} SELECT query_id, chunk_id, {_NSCORE} AS numeric_score FROM pairs JOIN documents c ON chunk_id = doc_id JOIN benchmark q ON query_id = item_id WHERE lexical_score >= 0.5",
-    "x03_numeric_score_whole": f"WITH {_PAIRS} SELECT query_id, chunk_id, {_NSCORE} AS numeric_score FROM pairs JOIN documents c ON chunk_id = doc_id JOIN benchmark q ON query_id = item_id",
+    "x03_numeric_score": f"WITH {_PAIRS} SELECT query_id, chunk_id, {_NSCORE} AS numeric_score FROM pairs JOIN documents c ON chunk_id = doc_id JOIN benchmark q ON query_id = item_id",
     "t06_channel_topk": f"WITH {_CHANNELS} SELECT query_id, chunk_id, score, rank, 'lexical' AS channel FROM lex UNION ALL SELECT query_id, chunk_id, score, rank, 'overlap' FROM ov",
     "a09_weighted_rrf": f"WITH {_FUSED} SELECT query_id, chunk_id, rrf, best_rank, channels FROM fused WHERE rank <= 100",
     "t04_hybrid_topk": f"WITH {_PAIRS}, h AS (SELECT query_id, chunk_id, lexical_score, {_NSCORE} AS ns FROM pairs JOIN documents c ON chunk_id = doc_id JOIN benchmark q ON query_id = item_id), g AS (SELECT *, {_r('0.5::DOUBLE * 0.5 + 0.35::DOUBLE * lexical_score + 0.15::DOUBLE * ns', 4)} AS relevance FROM h) SELECT query_id, chunk_id, relevance, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, ns DESC, lexical_score DESC, chunk_id) AS rank FROM g WHERE relevance >= 0.05 QUALIFY rank <= 5",
@@ -337,8 +325,7 @@ SQL = {
     "w05_dedupe_contexts": f"WITH {_FUSED}, p AS (SELECT fused.* FROM fused JOIN documents ON chunk_id = doc_id WHERE rank <= 100 QUALIFY row_number() OVER (PARTITION BY query_id, substr(text, 1, 120) ORDER BY rank) = 1) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY p.rank) AS rank FROM p",
     "w06_citation_ledger": f"WITH {_FUSED}, p AS (SELECT fused.*, sha256(text) AS content_sha256 FROM fused JOIN documents ON chunk_id = doc_id WHERE rank <= 100 QUALIFY row_number() OVER (PARTITION BY query_id, sha256(text) ORDER BY rank) = 1) SELECT query_id, chunk_id, 'C' || row_number() OVER (PARTITION BY query_id ORDER BY rank) AS citation_id, content_sha256 FROM p",
     "w07_context_budget": f"WITH {_FUSED}, p AS (SELECT fused.*, source, substr(text, 1, 6000) AS content FROM fused JOIN documents ON chunk_id = doc_id WHERE rank <= 100 QUALIFY row_number() OVER (PARTITION BY query_id, sha256(text) ORDER BY rank) = 1), n AS (SELECT *, 'C' || row_number() OVER (PARTITION BY query_id ORDER BY rank) AS citation_id FROM p), z AS (SELECT query_id, citation_id, (sum(len(content) + len(source) + len(citation_id) + 64) OVER (PARTITION BY query_id ORDER BY rank))::BIGINT AS running_size FROM n) SELECT * FROM z WHERE running_size <= 24000",
-    "j12_dense_knn": f"WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), x AS (SELECT q.vec_id AS query_id, e.vec_id, 1 - list_cosine_similarity(q.v, e.v) AS distance FROM e q JOIN e ON q.vec_id < 20) SELECT query_id, vec_id, {_r('greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - distance))', 4)} AS vector_score, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM x QUALIFY rank <= 10",
-    "j12_dense_knn_whole": f"WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL), x AS (SELECT q.vec_id AS query_id, e.vec_id, 1 - list_cosine_similarity(q.v, e.v) AS distance FROM e q JOIN e ON q.vec_id % 50 = 0) SELECT query_id, vec_id, {_r('greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - distance))', 4)} AS vector_score, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM x QUALIFY rank <= 10",
+    "j12_dense_knn": f"WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL), x AS (SELECT q.vec_id AS query_id, e.vec_id, 1 - list_cosine_similarity(q.v, e.v) AS distance FROM e q JOIN e ON q.vec_id % 50 = 0) SELECT query_id, vec_id, {_r('greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - distance))', 4)} AS vector_score, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM x QUALIFY rank <= 10",
     "p14_vector_validate": "SELECT CASE WHEN embedding IS NULL THEN 'null' WHEN len(embedding) = 0 THEN 'empty' WHEN len(embedding) <> 64 THEN 'dimension' WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0 THEN 'not finite' ELSE 'none' END AS fault, count(*) AS n FROM embeddings GROUP BY 1",
     "p11_active_version_filter": "SELECT doc_id, 'v' || doc_id % 3 AS index_version FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 = 1",
     "p12_content_split": "SELECT CASE WHEN doc_id % 5 = 0 THEN 'table' ELSE 'text' END AS channel, count(*) AS n FROM documents GROUP BY 1",

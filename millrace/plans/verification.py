@@ -56,13 +56,7 @@ def strict_value_match(s, d):
 
 
 def coverage_category(s, d):
-    docs = table(s, d, "documents")
-    cases = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("case_id"), "source", F.col("doc_id").alias("page"), F.lit("license").alias("metric"), F.lit("2.0").alias("expected_value"))
-    return verify.coverage_category(cases, docs.where("doc_id % 2 = 0").select("source", F.col("doc_id").alias("page"), F.col("text").alias("content"))).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-
-
-def coverage_category_whole(s, d):
-    """j14 with every document as a case and as a chunk; chunks lie on even pages, up to two on one."""
+    """With every document as a case and as a chunk; chunks lie on even pages, up to two on one."""
     docs = table(s, d, "documents")
     cases = docs.select(F.col("doc_id").alias("case_id"), "source", F.col("doc_id").alias("page"), F.lit("license").alias("metric"), F.lit("2.0").alias("expected_value"))
     chunks = docs.select("source", (F.col("doc_id") - F.col("doc_id") % 2).alias("page"), F.col("text").alias("content"))
@@ -80,7 +74,7 @@ def hash_embedding(s, d):
 
 
 QUERIES = {
-    "x21_extract_values": extract_values, "x22_values_equal": values_equal, "v05_fact_contract": fact_contract, "v07_truth_contract": truth_contract, "v09_citation_subset": citation_subset, "x24_strict_value_match": strict_value_match, "j14_coverage_category": coverage_category, "j14_coverage_category_whole": coverage_category_whole, "x26_evidence_segments": evidence_segments, "x29_hash_embedding": hash_embedding,
+    "x21_extract_values": extract_values, "x22_values_equal": values_equal, "v05_fact_contract": fact_contract, "v07_truth_contract": truth_contract, "v09_citation_subset": citation_subset, "x24_strict_value_match": strict_value_match, "j14_coverage_category": coverage_category, "x26_evidence_segments": evidence_segments, "x29_hash_embedding": hash_embedding,
 }
 
 _F = """f AS (SELECT l_orderkey * 10 + l_linenumber AS id, (l_orderkey + l_linenumber) % 8 AS k, l_quantity::INT AS q FROM lineitem),
@@ -92,6 +86,5 @@ SQL = {
     "v07_truth_contract": "WITH v AS (SELECT doc_id AS case_id, array_to_string(list_filter([CASE WHEN source = 'src3' THEN 'unknown_source' END, CASE WHEN doc_id % 4 = 0 AND doc_id % 8 <> 0 THEN 'refusal_reason_missing' END, CASE WHEN doc_id % 4 <> 0 AND doc_id % 9 = 0 THEN 'empty_field' END, CASE WHEN doc_id % 4 <> 0 AND (source = 'src3' OR doc_id % 60 < 1 OR doc_id % 60 > 50) THEN 'page_out_of_range' END], lambda x: x IS NOT NULL), ',') AS violations FROM documents) SELECT * FROM v WHERE violations <> ''",
     "v09_citation_subset": "SELECT doc_id, doc_id % 5 IN (1, 2) AND doc_id % 3 <> 0 AS ok FROM documents",
     "x24_strict_value_match": r"SELECT doc_id FROM documents WHERE regexp_matches(regexp_replace(replace(lower(text || ' 1,5 and 3.7 end 9'), ',', ''), '\s+', ' ', 'g'), '(?:^|[^0-9.])' || (doc_id % 10) || '(?:$|[^0-9.])')",
-    "j14_coverage_category": r"WITH c AS (SELECT doc_id % 2 = 0 AS page, contains(regexp_replace(lower(text), '[\s,]', '', 'g'), 'license') AS metric, regexp_matches(regexp_replace(replace(lower(text), ',', ''), '\s+', ' ', 'g'), '(?:^|[^0-9.])2[.]0(?:$|[^0-9.])') AS value FROM documents WHERE doc_id % 3 = 0) SELECT CASE WHEN NOT page THEN 'no_target_page_table_chunk' WHEN metric AND value THEN 'strict_target_present' WHEN metric THEN 'metric_only' WHEN value THEN 'value_only' ELSE 'metric_and_value_missing' END AS category, count(*) AS n FROM c GROUP BY 1",
-    "j14_coverage_category_whole": r"WITH h AS (SELECT source, doc_id - doc_id % 2 AS page, text IS NOT NULL AS found, contains(regexp_replace(lower(text), '[\s,]', '', 'g'), 'license') AS metric, regexp_matches(regexp_replace(replace(lower(text), ',', ''), '\s+', ' ', 'g'), '(?:^|[^0-9.])2[.]0(?:$|[^0-9.])') AS value FROM documents), c AS (SELECT d.doc_id, coalesce(bool_or(found), false) AS page, coalesce(bool_or(metric), false) AS metric, coalesce(bool_or(value), false) AS value, coalesce(bool_or(metric AND value), false) AS strict FROM documents d LEFT JOIN h ON h.source = d.source AND h.page = d.doc_id GROUP BY 1) SELECT CASE WHEN strict THEN 'strict_target_present' WHEN NOT page THEN 'no_target_page_table_chunk' WHEN metric AND value THEN 'metric_value_split_across_chunks' WHEN metric THEN 'metric_only' WHEN value THEN 'value_only' ELSE 'metric_and_value_missing' END AS category, count(*) AS n FROM c GROUP BY 1",
+    "j14_coverage_category": r"WITH h AS (SELECT source, doc_id - doc_id % 2 AS page, text IS NOT NULL AS found, contains(regexp_replace(lower(text), '[\s,]', '', 'g'), 'license') AS metric, regexp_matches(regexp_replace(replace(lower(text), ',', ''), '\s+', ' ', 'g'), '(?:^|[^0-9.])2[.]0(?:$|[^0-9.])') AS value FROM documents), c AS (SELECT d.doc_id, coalesce(bool_or(found), false) AS page, coalesce(bool_or(metric), false) AS metric, coalesce(bool_or(value), false) AS value, coalesce(bool_or(metric AND value), false) AS strict FROM documents d LEFT JOIN h ON h.source = d.source AND h.page = d.doc_id GROUP BY 1) SELECT CASE WHEN strict THEN 'strict_target_present' WHEN NOT page THEN 'no_target_page_table_chunk' WHEN metric AND value THEN 'metric_value_split_across_chunks' WHEN metric THEN 'metric_only' WHEN value THEN 'value_only' ELSE 'metric_and_value_missing' END AS category, count(*) AS n FROM c GROUP BY 1",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,8 +13,12 @@ from millrace.operators import chunks, routing
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-millrace-")
+    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset and Spark runs on one machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-millrace-")
     return f"{base.rstrip('/')}/millrace-{label}-{uuid.uuid4().hex[:12]}"
 
 
