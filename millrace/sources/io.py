@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 #: Encodings in the order they are tried; fields of query and truth files.
 ENCODINGS = ("utf-8", "gbk", "gb2312", "latin-1")
 QUERY_FIELDS = ("case_id", "question")
+TRUTH_FIELDS = ("pdf", "question", "metric", "expected_value", "expected_page")
 LOAD_COLUMNS = {"name": ("Name",), "requests": ("Request Count", "# requests"), "failures": ("Failure Count", "# failures"), "average_ms": ("Average Response Time",), "p95_ms": ("95%",), "p99_ms": ("99%",)}
 
 
@@ -64,6 +65,26 @@ def read_query_set(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.col("m")[f].alias(f) for f in QUERY_FIELDS])
 
 
+def read_ground_truth(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Cases of a JSON array, of an object with `cases`, or (lines) of JSON lines.
+
+    Refused are a file without cases, blank or missing fields, pages that are no positive number, and repeated cases.
+    """
+    fields = ", ".join(f"{f} string" for f in TRUTH_FIELDS)
+    raw = spark.read.schema(f"{fields}, cases array<struct<{fields.replace(' string', ': string')}>>").option("multiLine", not lines).json(path)
+    own = F.struct(*TRUTH_FIELDS)
+    rows = raw.select(F.explode(F.coalesce("cases", F.array(own))).alias("x")).select("x.*")
+    page = F.expr("try_cast(expected_page AS bigint)")
+    wrong = rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(F.exists(F.array(*[F.coalesce(f, F.lit("")) for f in TRUTH_FIELDS]), lambda x: x == ""), 1)).alias("missing"),
+        F.count(F.when(~F.coalesce(page > 0, F.lit(False)), 1)).alias("pages"), F.countDistinct(own).alias("different"),
+    ).first()
+    if not wrong.n or wrong.missing or wrong.pages or wrong.different < wrong.n:
+        raise Refused(f"ground truth: {wrong.n} cases, {wrong.missing} with fields missing, {wrong.pages} with a bad page, {wrong.n - wrong.different} repeated")
+    return rows.withColumn("expected_page", page)
+
+
 def read_ocr_artifacts(spark: SparkSession, path: str) -> DataFrame:
     """Page artifacts with the rules each breaks, and a digest per table."""
     schema = "schema_version string, status string, source string, pdf_sha256 string, physical_page_number int, table_count int, tables array<struct<table_index:int,pred_html:string,ocr_text:string,table_content_sha256:string>>, error string"
