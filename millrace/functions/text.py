@@ -11,6 +11,11 @@ CJK_TERM = r"[一-鿿]+"
 NUMBER = r"(?<![0-9])[-+]?[0-9][0-9,]*(?:\.[0-9]+)?%?"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body names it; lambdas would work it out for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def terms(text: Column) -> Column:
     """Distinct terms: lower-cased ASCII tokens of two or more characters; CJK runs whole up to 8 characters, and all their 2- to 4-grams."""
     low = F.lower(F.coalesce(text, F.lit("")))
