@@ -58,3 +58,50 @@ def chunk_contract(chunks: DataFrame, declared: DataFrame) -> DataFrame:
     gap = (F.col("n") != F.col("n_index")) | (F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1)
     wrong = F.array_compact(F.array(F.when(gap, "index_gap"), F.when(~F.coalesce(F.col("n"), F.lit(0)).eqNullSafe(F.col("n_chunks")), "count_differs")))
     return both.select("doc_id", wrong.alias("violations")).where(F.size("violations") > 0)
+
+
+def _table_pieces(content: str, markdown: str, soft: int, hard: int, overlap: int) -> list[str]:
+    """Runs of rows behind the table's lead and header: each as long as the soft size lets it, one row at least."""
+    windows = [content[i : i + hard] for i in range(0, len(content), hard)]
+    lines = markdown.splitlines()
+    base = content.split("\n\n", 1)[0] + "\n\n" + "\n".join(lines[:2])
+    if len(lines) < 2 or len(base) >= hard:
+        return windows
+    rows, room = lines[2:], hard - len(base) - 1
+    if not rows:
+        return [base]
+    out, start, fresh = [], 0, 0
+    while fresh < len(rows):
+        if len(rows[fresh]) > room:
+            out += [f"{base}\n{rows[fresh][i : i + room]}" for i in range(0, len(rows[fresh]), room)]
+            start = fresh = fresh + 1
+            continue
+        end = fresh + 1
+        size = len(base) + sum(1 + len(r) for r in rows[start:end])
+        while end < len(rows) and len(rows[end]) <= room and size + 1 + len(rows[end]) <= soft:
+            size += 1 + len(rows[end])
+            end += 1
+        out.append("\n".join([base, *rows[start:end]]))
+        again = overlap and end < len(rows) and 1 + len(rows[end - 1]) + len(rows[end]) <= room
+        start, fresh = (end - 1 if again else end), end
+    return out
+
+
+def chunk_tables(tables: DataFrame, soft: int = 600, hard: int = 1200, overlap: int = 0) -> DataFrame:
+    """tables(table_id, content, table_markdown) to (table_id, chunk_index, chunk), the header in front of every chunk.
+
+    The last `overlap` (0 or 1) row of a chunk opens the next where both fit. Rows over the hard size are cut; a table
+    without a header, or whose header fills a chunk, is cut into windows. Null and blank contents have no chunk. No shuffle.
+    """
+    if overlap not in (0, 1):
+        raise ValueError("overlap must be 0 or 1")
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, content, markdown in zip(*(c.to_pylist() for c in b.columns)):
+                kept = filter(None, map(str.strip, _table_pieces(content or "", markdown or "", soft, hard, overlap)))
+                rows += [(i, k, c) for k, c in enumerate(kept)] if (content or "").strip() else []
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], ["table_id", "chunk_index", "chunk"])
+
+    return tables.select(F.col("table_id").cast("string"), F.col("content").cast("string"), F.col("table_markdown").cast("string")).mapInArrow(run, "table_id string, chunk_index int, chunk string")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import intent, ranking, retrieval
+from millrace.operators import evidence, intent, ranking, retrieval
 from millrace.sources.facts import table
 
 from .retrieval import _r
@@ -114,7 +114,58 @@ def rank_financial_v3(s, d):
     return _out(ranking.rank_financial_v3(_lines_financial(s, d)))
 
 
+VALUES, ANCHORS = ("$12.5", "3 天", "13%", "40"), ("京东 价格表", "plain words", "配送 3 days", "2008年5月 USD", "table of 12", "香港", "")
+FACT_WORDS = ("价格", "配送时长", "关税税率", "库存")
+
+
+def _evidence(s, d):
+    """Segments of order lines on the part that a question asks for."""
+    li, n = table(s, d, "lineitem"), F.col("l_linenumber")
+    text = F.concat(F.lit("SKU-"), F.col("l_partkey").cast("string"), F.when(n % 3 == 0, "Y ").otherwise("X "), _one(FACT_WORDS, F.col("l_suppkey")), F.lit(" "), _one(VALUES, n), F.lit(" "), _one(("usa", "UK", "美国"), F.col("l_suppkey") + n), F.lit(" "), _day())
+    return li.select(F.col("l_partkey").alias("question_id"), F.concat(_one(PLATFORM, F.col("l_suppkey")), F.lit(".pdf")).alias("source"), text.alias("segment"))
+
+
+def evidence_preflight(s, d):
+    k = F.col("p_partkey")
+    question = F.concat(_one(("美国", "英国"), k), F.lit(" "), _one(PLATFORM, k), F.lit(" SKU-"), k.cast("string"), F.lit("X "), _one((*FACT_WORDS, "电压"), k), F.lit("是多少"))
+    return evidence.evidence_preflight(table(s, d, "part").select(k.alias("question_id"), question.alias("question")), _evidence(s, d))
+
+
+def identity_match(s, d):
+    """Facts of each part against the segments of its order lines, with how many match."""
+    k = F.col("question_id")
+    sku = F.concat(F.lit("SKU-"), k.cast("string"), F.lit("X"))
+    facts = _evidence(s, d).select("*", F.when(k % 5 != 0, sku).alias("sku"), F.lit(None).cast("string").alias("product"), _one(PLATFORM, k).alias("platform"), _one(("US", "united kingdom"), k).alias("market"), F.lit("").alias("date"))
+    return evidence.identity_match(facts).groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("matched"), 1)).alias("n_matched"))
+
+
+def _headers():
+    return F.array(F.lit("SKU"), F.concat(F.lit("商品 "), F.col("p_name")), F.concat(_one(FACT_WORDS, F.col("p_size")), F.lit(" ("), _one(("USD", "天", "2008-05", ""), F.col("p_partkey")), F.lit(")")), F.col("p_brand"))
+
+
+def _bindings(s, d):
+    return table(s, d, "part").select(F.col("p_partkey").alias("id"), evidence.column_bindings(_headers()).alias("bindings"))
+
+
+def column_bindings(s, d):
+    b = _bindings(s, d).select("id", F.explode("bindings").alias("b"))
+    return b.select("id", F.col("b.column_index").cast("long").alias("column_index"), "b.header_text", "b.fact_type", "b.identity", "b.context.table_type", "b.context.effective_date", "b.context.currency", "b.context.duration_unit")
+
+
+def evidence_prefix(s, d):
+    rows = _bindings(s, d)
+    text = evidence.evidence_prefix(F.lit("a.pdf"), F.col("id"), F.concat(F.lit("t"), F.col("id").cast("string")), {"platform": _one((*PLATFORM, ""), F.col("id"))}, F.col("bindings"))
+    return rows.select("id", text.alias("prefix"))
+
+
+def table_anchor(s, d):
+    li = table(s, d, "lineitem")
+    blocks = li.select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), F.col("l_linenumber").cast("long").alias("top"), F.concat_ws(":", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"), F.col("l_quantity").cast("int")).alias("place"), F.when(F.col("l_returnflag") == "R", "Table").otherwise("text").alias("label"), _one(ANCHORS, F.col("l_suppkey")).alias("content"))
+    return evidence.table_anchor(blocks).select("doc", "top", "place", "anchor")
+
+
 QUERIES = {
+    "v02_evidence_preflight": evidence_preflight, "v03_identity_match": identity_match, "x19_column_bindings": column_bindings, "x20_evidence_prefix": evidence_prefix, "w11_table_anchor": table_anchor,
     "x10_intent_extract": intent_extract, "x11_financial_intent": financial_intent, "v01_question_preflight": question_preflight, "x06_rank_v2": rank_v2, "x07_rank_financial_v2": rank_financial_v2, "x08_rank_financial_v3": rank_financial_v3,
 }
 
@@ -180,7 +231,21 @@ _FINF = f"{_pick(FIRMS, 'l_suppkey')} || '年报.pdf' AS source, regexp_replace(
 _ROW = "l_quantity > 20 AND (contains(line, metric) OR (metric = '资产总计' AND contains(line, '资产合计')))"
 _SCOPED = "(starts_with(scope, '合并') AND contains(head, '合并')) OR (starts_with(scope, '母公司') AND contains(line, '母公司')) OR (grouped AND contains(line, '集团'))"
 
+_EV = f"""e AS (SELECT l_partkey AS id, {_pick(PLATFORM, 'l_suppkey')} || '.pdf' AS source, 'SKU-' || l_partkey || CASE WHEN l_linenumber % 3 = 0 THEN 'Y ' ELSE 'X ' END || {_pick(FACT_WORDS, 'l_suppkey')} || ' ' || {_pick(VALUES, 'l_linenumber')} || ' ' || {_pick(('usa', 'UK', '美国'), 'l_suppkey + l_linenumber')} || ' ' || {_SHIP} AS text FROM lineitem)"""
+_US, _UK = "regexp_matches(lower(text), 'usa|美国')", "regexp_matches(lower(text), '(?:^|[^a-z])uk(?:$|[^a-z])')"
+_HEADS = f"""h AS (SELECT p_partkey AS id, unnest([0, 1, 2, 3]) AS column_index, unnest(['SKU', '商品 ' || p_name, {_pick(FACT_WORDS, 'p_size')} || ' (' || {_pick(('USD', '天', '2008-05', ''), 'p_partkey')} || ')', p_brand]) AS header_text FROM part),
+b AS (SELECT *, CASE WHEN contains(header_text, '价格') THEN 'price' WHEN contains(header_text, '库存') THEN 'inventory_quantity' WHEN contains(header_text, '配送') THEN 'delivery_duration' WHEN contains(header_text, '关税') THEN 'customs_duty_rate' ELSE '' END AS fact_type, CASE WHEN header_text = 'SKU' THEN 'sku' WHEN contains(header_text, '商品') THEN 'product' ELSE '' END AS identity,
+regexp_extract(header_text, '2008-05') AS effective_date, regexp_extract(header_text, 'USD') AS currency, CASE regexp_extract(header_text, '天|时') WHEN '天' THEN 'day' WHEN '时' THEN 'hour' ELSE '' END AS duration_unit FROM h)"""
+
 SQL = {
+    "v02_evidence_preflight": f"""WITH {_EV}, q AS (SELECT p_partkey AS question_id, {_pick(('美国', '英国'), 'p_partkey')} AS market, {_pick(PLATFORM, 'p_partkey')} AS platform, {_pick((*FACT_WORDS, '电压'), 'p_partkey')} AS word FROM part),
+ok AS (SELECT DISTINCT question_id FROM q JOIN e ON id = question_id WHERE contains(text, word) AND contains(text, 'SKU-' || id || 'X ') AND contains(lower(text || ' ' || source), lower(platform)) AND CASE market WHEN '美国' THEN {_US} ELSE {_UK} END AND CASE word WHEN '价格' THEN contains(text, '$') WHEN '配送时长' THEN contains(text, '天') WHEN '关税税率' THEN contains(text, '%') ELSE contains(text, ' 40 ') END)
+SELECT question_id, CASE WHEN word = '电压' THEN 'unsupported_fact_type' WHEN ok.question_id IS NULL THEN 'no_fact_binding' END AS reason FROM q LEFT JOIN ok USING (question_id)""",
+    "v03_identity_match": f"WITH {_EV} SELECT id AS question_id, count(*) AS n, count(*) FILTER ((id % 5 = 0 OR contains(text, 'SKU-' || id || 'X ')) AND contains(lower(source), lower({_pick(PLATFORM, 'id')})) AND CASE WHEN id % 2 = 0 THEN {_US} ELSE {_UK} END) AS n_matched FROM e GROUP BY 1",
+    "x19_column_bindings": f"WITH {_HEADS} SELECT id, column_index::BIGINT AS column_index, header_text, fact_type, identity, fact_type AS table_type, effective_date, currency, duration_unit FROM b WHERE concat(fact_type, identity, effective_date, currency, duration_unit) <> ''",
+    "x20_evidence_prefix": f"""WITH {_HEADS} SELECT id, '[TableEvidence | source=a.pdf | page=' || id || ' | table=t' || id || ']' || CASE WHEN {_pick((*PLATFORM, ''), 'id')} <> '' THEN chr(10) || 'Platform: ' || {_pick((*PLATFORM, ''), 'id')} ELSE '' END || chr(10) || 'Columns: ' || string_agg('c' || column_index || '=' || CASE WHEN concat(identity, fact_type, currency, duration_unit) = '' THEN header_text ELSE array_to_string(list_filter([identity, fact_type, currency, duration_unit], lambda x: x <> ''), '/') END, '; ' ORDER BY column_index) AS prefix FROM b WHERE concat(fact_type, identity, effective_date, currency, duration_unit) <> '' GROUP BY id""",
+    "w11_table_anchor": f"""WITH t AS (SELECT l_orderkey AS doc, l_linenumber::BIGINT AS top, l_partkey || ':' || l_suppkey || ':' || strftime(l_shipdate, '%Y%m%d') || ':' || l_quantity::INT AS place, l_returnflag = 'R' AS tab, {_pick(ANCHORS, 'l_suppkey')} AS content FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY top, place) AS i FROM t)
+SELECT doc, top, place, (SELECT arg_max(content, i) FROM n b WHERE b.doc = a.doc AND b.i < a.i AND NOT b.tab AND regexp_matches(content, '价格|配送|USD|香港') AND b.i > coalesce((SELECT max(i) FROM n c WHERE c.doc = a.doc AND c.i < a.i AND c.tab), 0)) AS anchor FROM n a WHERE tab""",
     "x10_intent_extract": f"""WITH {_FACTS} SELECT q.id, upper(regexp_extract(text, 'SKU-[A-Z0-9]+')) AS skus, regexp_extract(text, '20[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}') AS dates, {_list({p: f"contains(lower(text), '{p.lower()}')" for p in intent.PLATFORMS})} AS platforms,
 {_list({m: '(' + ' OR '.join(map(_market, v)) + ')' for m, v in intent.MARKETS.items()})} AS markets, array_to_string(list_filter({_CLEAN}, lambda x: len(x) BETWEEN 2 AND 64)[1:3], ',') AS product_terms, {_list({k: _any('lower(text)', [a.lower() for a in v]) for k, v in intent.TABLES.items()})} AS table_types,
 coalesce(array_to_string(kinds, ','), '') AS fact_types, CASE WHEN len(kinds) = 1 THEN kinds[1] ELSE 'unsupported' END AS answer_type, true AS table_fact FROM q LEFT JOIN k ON q.id = k.id""",

@@ -45,5 +45,16 @@ def stream_ingest(s, d):
     return got.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
-QUERIES = {"x12_chunk_text": chunk_text, "w13_chunk_overlap": chunk_overlap, "a34_chunk_contract": chunk_contract, "x14_extract_tables": extract_tables, "x15_table_quality": table_quality, "st1_stream_ingest": stream_ingest, "st2_stream_route": stream_route}
+def chunk_tables(s, d):
+    """The order lines of each part as a Markdown table; a part's lines are its own, so the group is small."""
+    li = table(s, d, "lineitem")
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd"), "l_quantity", "l_returnflag"), F.lit(" |"))
+    rows = li.groupBy("l_partkey").agg(F.array_join(F.sort_array(F.collect_list(row)), "\n").alias("rows"))
+    markdown = F.concat(F.lit("| order | line | shipped | quantity | flag |\n| --- | --- | --- | --- | --- |\n"), F.col("rows"))
+    lead = F.concat(F.lit("[TableEvidence | part="), F.col("l_partkey").cast("string"), F.lit("]"))
+    return chunks.chunk_tables(rows.select(F.col("l_partkey").alias("table_id"), F.concat(lead, F.lit("\n\n"), markdown).alias("content"), markdown.alias("table_markdown")), overlap=1)
+
+
+QUERIES = {
+    "x13_chunk_tables": chunk_tables, "x12_chunk_text": chunk_text, "w13_chunk_overlap": chunk_overlap, "a34_chunk_contract": chunk_contract, "x14_extract_tables": extract_tables, "x15_table_quality": table_quality, "st1_stream_ingest": stream_ingest, "st2_stream_route": stream_route}
 SQL = {"st2_stream_route": f"""WITH {_ROUTED} SELECT request_id, 'chat' AS action, '{{"message_length":' || len(message) || '}}' AS input_summary, '{{"route":"' || route || '","confidence":' || confidence || '}}' AS result_summary FROM r"""}
