@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,26 +14,23 @@ SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", "，", " ")
 
 
 def _pieces(text: str, size: int) -> list[str]:
-    """Chunks of one text before overlap: packed at the first separator it has; longer parts are cut at size."""
-    cut = lambda t: [p for p in (t[i : i + size].strip() for i in range(0, len(t), size)) if p]
-    if not text.strip():
-        return []
+    """Chunks of one text before overlap: its parts at the first separator it has, windows of those over the size, and where a chunk starts among them."""
     if len(text) <= size:
-        return [text.strip()]
+        return [text.strip()] if text.strip() else []
     sep = next((s for s in SEPARATORS if s in text), None)
-    if sep is None:
-        return cut(text)
-    out, open_ = [], ""
-    for part in filter(str.strip, text.split(sep)):
-        joined = f"{open_}{sep}{part}" if open_ else part
-        if len(joined) <= size:
-            open_ = joined
-            continue
-        if open_:
-            out.append(open_.strip())
-        *done, open_ = cut(part) if len(part) > size else [part]
-        out += done
-    return [*out, open_.strip()] if open_ else out
+    units: list[tuple[str, bool]] = []
+    for part in text.split(sep) if sep else [text]:
+        if len(part) > size:
+            units += [(w, True) for w in (part[i : i + size].strip() for i in range(0, len(part), size)) if w]
+        elif part.strip():
+            units.append((part, False))
+    starts, run = [], 0
+    for i, (unit, alone) in enumerate(units):
+        run += len(sep or "") + len(unit)
+        if alone or run > size or not starts:
+            starts.append(i)
+            run = len(unit)
+    return [(sep or "").join(u for u, _ in units[i:j]).strip() for i, j in pairwise([*starts, len(units)])]
 
 
 def chunk_text(docs: DataFrame, size: int = 400) -> DataFrame:
