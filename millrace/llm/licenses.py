@@ -90,10 +90,13 @@ def scan(docs: DataFrame, ts: list[dict] | None = None) -> DataFrame:
     words = F.col("words")
 
     hits = F.filter(F.transform(words, lambda w, i: F.when(w.isin(rare), F.struct(w.alias("w"), i.alias("i")))), lambda h: h.isNotNull())
-    votes = F.flatten(F.transform(hits, lambda h: F.transform(F.filter(postings, lambda p: p["w"] == h["w"]), lambda p: struct(t=p["t"], off=h["i"] - p["at"], a=p["a"]))))
-    plain = lambda v: F.transform(v, lambda x: struct(t=x["t"], off=x["off"]))
+    # a template and where it would start, in one long: arrays of longs intersect by hash
+    pair = lambda t, off: F.shiftleft(t.cast("long"), 40) + off + (1 << 39)
+    votes = F.flatten(F.transform(hits, lambda h: F.transform(F.filter(postings, lambda p: p["w"] == h["w"]), lambda p: struct(t=p["t"], start=pair(p["t"], h["i"] - p["at"]), a=p["a"]))))
+    of = lambda v: F.transform(v, lambda x: x["start"])
     second = F.filter(F.col("votes"), lambda v: (v["a"] == 1) | v["t"].isin(single) if single else v["a"] == 1)
-    starts = F.array_intersect(plain(F.filter(F.col("votes"), lambda v: v["a"] == 0)), plain(second))
+    both = F.array_intersect(of(F.filter(F.col("votes"), lambda v: v["a"] == 0)), of(second))
+    starts = F.transform(both, lambda x: struct(t=F.shiftright(x, 40).cast("int"), off=(x.bitwiseAND(F.lit((1 << 40) - 1)) - (1 << 39)).cast("int")))
 
     def same(c, i):
         return F.coalesce(F.get(words, c["off"] + i) == F.get(F.get(bodies, c["t"]), i), F.lit(False))

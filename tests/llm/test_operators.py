@@ -72,6 +72,12 @@ def test_licenses_find_every_place(spark):
         assert (x.n_base, x.first_word, x.last_word) == (len(at), min(at, default=None), max(at, default=None))
 
 
+def test_licenses_take_a_long_text(spark):
+    text = "all rights reserved " * 50000 + "cc by " * 20000  # over a megabyte, every word a licence word
+    x = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) == (190000, 70000, 0, 189998, "cc-by,reserved")
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
@@ -170,6 +176,18 @@ def test_simhash_groups(docs, empty):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in fp})
 
 
+def test_simhash_links_through_rows_without_id(spark):
+    """Fingerprints 0, 7 and 63 in a chain, the middle one of a row without doc_id."""
+    prints = spark.createDataFrame([(1, 0), (None, 7), (3, 63), (4, 1 << 40 | 1 << 41 | 1 << 50 | 1 << 60)], "doc_id long, fp long")
+    keep = simhash.fingerprints
+    simhash.fingerprints = lambda docs, *a: docs
+    try:
+        got = {r.fp: r.component_id for r in simhash.near_groups(prints).collect()}
+    finally:
+        simhash.fingerprints = keep
+    assert got == {0: 1, 7: 1, 63: 1, 1 << 40 | 1 << 41 | 1 << 50 | 1 << 60: 4}
+
+
 def test_simhash_keeps_texts_that_share_a_doc_id(spark):
     r = random.Random(8)
     a, b = prose(80, r), prose(80, r)
