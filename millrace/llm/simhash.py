@@ -274,13 +274,16 @@ def near_groups(docs: DataFrame, shingle: int = 3, seed: int = 42, max_bits: int
 
     component_id is the smallest doc_id reachable over links of max_bits or fewer differing
     bits. Null and empty texts have fingerprint 0 and link like any other; repeated rows get
-    the same class; a null doc_id stays null and takes part only through its fingerprint.
-    Other columns of the input are not read. An empty table gives an empty result.
+    the same class; rows without doc_id link through their fingerprint but never name a component, so
+    component_id is null where no member has a doc_id. Other columns of the input are not read.
+    An empty table gives an empty result.
     """
     prints = stash(fingerprints(docs, shingle, seed), "prints")
-    nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
+    nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.col("fp")), "nodes")
     roots = components(links(nodes, max_bits, bucket_limit))
-    classes = nodes.join(roots, "node", "left").select(F.bitwise_not("fp").alias("k"), F.coalesce("root", "node").alias("component_id"))
+    named = stash(nodes.join(roots, "node", "left").select("fp", "first_id", F.coalesce("root", "node").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    classes = named.join(least, "root").select(F.bitwise_not("fp").alias("k"), "component_id")
     return prints.withColumn("k", F.bitwise_not("fp")).join(classes, "k", "left").select("doc_id", "fp", "component_id")
 
 
