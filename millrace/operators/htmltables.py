@@ -1,4 +1,4 @@
-"""HTML tables to cells: row and column spans laid out on a grid."""
+"""HTML tables to cells: row and column spans laid out on a grid. A table beyond the grid's size becomes one cell with all its text."""
 
 from __future__ import annotations
 
@@ -59,18 +59,41 @@ class _Grid(HTMLParser):
 
     def cells(self):
         for t, rows in enumerate(self.tables):
-            taken: dict[tuple[int, int], bool] = {}
-            for r, row in enumerate(rows[:MAX_ROWS]):
-                col = 0
-                for text, header, down, across in row:
-                    while (r, col) in taken:
-                        col += 1
-                    for i in range(down):
-                        for j in range(across):
-                            if r + i < len(rows) and col + j < MAX_COLUMNS and (r + i, col + j) not in taken:
-                                taken[r + i, col + j] = True
-                                yield t, r + i, col + j, text, header, i + j > 0
-                    col += across
+            yield from ((t, *c) for c in self._laid_out(rows))
+
+    @staticmethod
+    def _laid_out(rows):
+        """Cells of one table as (row, col, text, header, merged), spans filled."""
+        taken, out = set(), []
+        for r, row in enumerate(rows):
+            col = 0
+            for text, header, down, across in row:
+                while (r, col) in taken:
+                    col += 1
+                if r >= MAX_ROWS or col + across > MAX_COLUMNS:
+                    return [(0, 0, " ".join(c[0] for x in rows for c in x if c[0]), False, False)]
+                for i in range(min(down, len(rows) - r)):
+                    for j in range(across):
+                        if (r + i, col + j) not in taken:
+                            taken.add((r + i, col + j))
+                            out.append((r + i, col + j, text, header, i + j > 0))
+                col += across
+        return out
+
+
+def first_markdown(html: str) -> str | None:
+    """The first table of a text as Markdown, its first row the header, short rows filled; null where there is no table or it is beyond the grid."""
+    grid = _Grid()
+    grid.feed(html)
+    grid.close()
+    cells = next((c for c in map(grid._laid_out, grid.tables) if c), None)
+    if cells is None or (len(cells) == 1 and sum(map(len, grid.tables[0])) > 1):
+        return None
+    width, rows = max(c[1] for c in cells) + 1, {}
+    for r, col, text, *_ in cells:
+        rows.setdefault(r, [""] * width)[col] = text
+    lines = ["| " + " | ".join(rows.get(r, [""] * width)) + " |" for r in range(max(rows) + 1)]
+    return "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]])
 
 
 def extract_tables(pages: DataFrame) -> DataFrame:
