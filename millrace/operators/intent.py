@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,12 +113,30 @@ def _of_first(found: Column, chosen: Column) -> Column:
     return let(F.get(chosen, F.lit(0)), lambda first: F.filter(found, lambda p: p["kind"] == first))
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
+def _once(kind: str, question: Column, build) -> Column:
+    """build(question), made once for a column given by its bare name: these expressions take seconds to put together."""
+    node = question._jc.node() if hasattr(question, "_jc") else None
+    if node is None or node.getClass().getSimpleName() != "UnresolvedAttribute" or not node.planId().isEmpty():
+        return build(question)
+    key = (kind, SparkContext._active_spark_context.applicationId, str(question))
+    if key not in _BUILT:
+        _BUILT[key] = build(question)
+    return _BUILT[key]
+
+
 def shop_intent(question: Column) -> Column:
     """struct of skus, dates, platforms, markets, product_terms, table_types, fact_types, answer_type, table_fact of a shop question.
 
     Full-width forms count as plain ones. Where aliases overlap the longest counts; more than one fact type, or
     none, makes the answer type `unsupported`. A null question asks for nothing.
     """
+    return _once("shop", question, _shop)
+
+
+def _shop(question: Column) -> Column:
     return let(F.trim(half_width(F.coalesce(question, F.lit("")))), lambda t: let(F.lower(t), lambda low: let(_facts(low), lambda f: _shop_intent(t, low, f))))
 
 
@@ -161,6 +180,10 @@ def financial_intent(question: Column) -> Column:
 
     A longer metric takes the characters of a shorter one in it; scope words inside a metric or a company's name do not count.
     """
+    return _once("financial", question, _financial)
+
+
+def _financial(question: Column) -> Column:
     return let(F.trim(half_width(F.coalesce(question, F.lit("")))), lambda t: let(places(t, METRICS), lambda p: let(kinds(p), lambda k: let(blanked(t, _of_first(p, k)), lambda plain: _financial_intent(t, k, plain)))))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import let
+
 # Patterns and names that results depend on.
 NUMBER = r"(\(\s*[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\s*\)|[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?)"
 CURRENCY = r"(?i)(HK\$|CNY|RMB|USD|HKD|人民币|美元|港币|元|[￥¥$])"
@@ -15,6 +17,7 @@ SCALE = r"(?<=\d)\s*(?:[kK]|千|万|百万|亿)(?![\w])"
 FACT_TYPES = ("price", "inventory_quantity", "delivery_duration", "customs_duty_rate")
 TRADING = ("买入", "卖出", "投资建议", "推荐", "持有")
 MARKET = ("股价", "股票", "目标价")
+PREAMBLE = ("Table:", "Platform:", "Market:", "Date:", "Currency:", "Unit:", "Columns:")
 FORECAST = ("预测", "涨到", "跌到", "会涨", "会跌", "明年", "未来")
 
 
@@ -37,11 +40,16 @@ def _embedded(text: Column, pattern: str, names: dict[str, str], fold) -> Column
     return F.when(hit != "", F.element_at(_names(names), fold(hit)))
 
 
-def typed_value(text: Column, fact_type: Column) -> Column:
-    """struct(value, canonical_value, unit, currency) of the first number of a text, or null.
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def typed_value(text: Column, fact_type: Column, unit: Column | None = None, currency: Column | None = None) -> Column:
+    """struct(value, canonical_value, unit, currency, kind) of the first number of a text, or null.
 
     Scale words, a missing or a foreign unit or currency, and negative numbers are refused; a
-    number in brackets is negative. Days count 24 hours in the canonical value.
+    number in brackets is negative. A unit or currency declared beside the text must be known and must not differ from the text's own.
+    Days count 24 hours in the canonical value. Without a fact type the value itself tells its kind, and days stay days.
     """
     text = half_width(text)
     number = F.regexp_extract(text, NUMBER, 1)
@@ -49,37 +57,67 @@ def typed_value(text: Column, fact_type: Column) -> Column:
     plain = F.regexp_replace(number, r"[(),\s]", "").try_cast("decimal(38,10)")
     value = F.when(bracket, -F.abs(plain)).otherwise(plain)
     rest = F.regexp_replace(text, r"(?s)^.*?" + NUMBER, "")
-    currency = _embedded(text, CURRENCY, CURRENCY_CODES, F.upper)
-    unit = _embedded(rest, DURATION, DURATION_UNITS, lambda x: F.regexp_replace(F.lower(F.regexp_replace(x, r"\s+", " ")), "^个", ""))
-    percent = text.rlike("[%％]")
+    squeeze = lambda x: F.regexp_replace(F.lower(F.regexp_replace(x, r"\s+", " ")), "^个", "")
+    own_currency, own_unit = _embedded(text, CURRENCY, CURRENCY_CODES, F.upper), _embedded(rest, DURATION, DURATION_UNITS, squeeze)
+    percent, agree = text.rlike("[%％]"), F.lit(True)
+    if currency is not None:
+        told = F.element_at(_names(CURRENCY_CODES), F.upper(strip(half_width(currency))))
+        agree = agree & (currency.isNull() | F.coalesce(told == F.coalesce(own_currency, told), F.lit(False)))
+        own_currency = F.coalesce(told, own_currency)
+    if unit is not None:
+        share = F.coalesce(strip(half_width(unit)).isin("%", "percent"), F.lit(False))
+        told = F.element_at(_names(DURATION_UNITS | {"business_day": "business_day"}), squeeze(strip(half_width(unit))))
+        agree = agree & (unit.isNull() | share | F.coalesce(told == F.coalesce(own_unit, told), F.lit(False)))
+        own_unit, percent = F.coalesce(told, own_unit), percent | share
+    money, time, whole = own_currency.isNotNull(), own_unit.isNotNull(), value == F.floor(value)
+    seen = F.when(money & ~time & ~percent, "price").when(percent & ~money & ~time, "customs_duty_rate").when(time & ~money, "delivery_duration").when(whole & ~money, "inventory_quantity")
     ok = (
-        F.when(fact_type == "price", currency.isNotNull() & unit.isNull() & ~percent)
-        .when(fact_type == "inventory_quantity", (value == F.floor(value)) & currency.isNull() & unit.isNull() & ~percent)
-        .when(fact_type == "delivery_duration", unit.isNotNull() & currency.isNull() & ~percent)
-        .when(fact_type == "customs_duty_rate", percent & currency.isNull() & unit.isNull())
-    )
-    canonical = F.when((fact_type == "delivery_duration") & (unit == "day"), (value * 24).cast("decimal(38,10)")).otherwise(value)
-    out = F.struct(value.alias("value"), canonical.alias("canonical_value"), F.when(fact_type == "customs_duty_rate", "percent").otherwise(unit).alias("unit"), currency.alias("currency"))
-    return F.when((number != "") & ~text.rlike(SCALE) & (value >= 0) & F.coalesce(ok, F.lit(False)), out)
+        F.when(fact_type == "price", money & ~time & ~percent).when(fact_type == "inventory_quantity", whole & ~money & ~time & ~percent).when(fact_type == "delivery_duration", time & ~money & ~percent)
+        .when(fact_type == "customs_duty_rate", percent & ~money & ~time).when(fact_type.isNull(), seen.isNotNull())
+    )
+    kind = F.coalesce(fact_type, seen)
+    canonical = F.when((fact_type == "delivery_duration") & (own_unit == "day"), (value * 24).cast("decimal(38,10)")).otherwise(value)
+    out = F.struct(value.alias("value"), canonical.alias("canonical_value"), F.when(kind == "customs_duty_rate", "percent").otherwise(own_unit).alias("unit"), own_currency.alias("currency"), kind.alias("kind"))
+    return F.when((number != "") & ~text.rlike(SCALE) & (value >= 0) & agree & F.coalesce(ok, F.lit(False)), out)
+
+
+def all_values(text: Column, fact_type: Column) -> Column:
+    """Typed values of every number of a text, each read with 16 characters before it and 24 behind it, so its neighbours may rule it out."""
+    whole = strip(half_width(F.coalesce(text, F.lit(""))))
+
+    def read(x: Column) -> Column:
+        # places of the numbers: what stands before each, added up
+        parts = F.split(x["text"], NUMBER)
+        hits = F.regexp_extract_all(x["text"], F.lit(NUMBER), F.lit(1))
+        starts = F.transform(hits, lambda h, i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda n, p: n + F.length(p)) + F.aggregate(F.slice(hits, 1, i), F.lit(0), lambda n, p: n + F.length(p)))
+        near = F.zip_with(starts, hits, lambda s, h: F.substr(x["text"], F.greatest(s - 16, F.lit(0)) + 1, s - F.greatest(s - 16, F.lit(0)) + F.length(h) + 24))
+        return F.filter(F.transform(near, lambda w: typed_value(w, x["kind"])), lambda v: v.isNotNull())
+
+    return let(F.struct(whole.alias("text"), fact_type.alias("kind")), read)
 
 
 def values_equal(a: Column, b: Column) -> Column:
-    """Equal canonical value and currency, and equal units, hours and days counting as one scale."""
+    """Equal kind, canonical value and currency, and equal units, hours and days counting as one scale."""
     scale = lambda u: F.when(u.isin("hour", "day"), "hour").otherwise(u)
-    return a.isNotNull() & b.isNotNull() & (a["canonical_value"] == b["canonical_value"]) & a["currency"].eqNullSafe(b["currency"]) & scale(a["unit"]).eqNullSafe(scale(b["unit"]))
+    return a.isNotNull() & b.isNotNull() & (a["kind"] == b["kind"]) & (a["canonical_value"] == b["canonical_value"]) & a["currency"].eqNullSafe(b["currency"]) & scale(a["unit"]).eqNullSafe(scale(b["unit"]))
+
+
+def fact_violations(t: Column, unit: Column, cur: Column) -> Column:
+    """Rules that a fact's type, unit and currency break."""
+    return F.array_compact(
+        F.array(
+            F.when(~t.isin(*FACT_TYPES) | t.isNull(), "unknown_fact_type"),
+            F.when((t == "price") & (cur.isNull() | unit.isNotNull()), "price_needs_currency_without_unit"),
+            F.when((t == "inventory_quantity") & (cur.isNotNull() | unit.isNotNull()), "quantity_without_currency_and_unit"),
+            F.when((t == "delivery_duration") & (cur.isNotNull() | ~F.coalesce(unit.isin("hour", "day", "business_day"), F.lit(False))), "duration_needs_unit_without_currency"),
+            F.when((t == "customs_duty_rate") & (cur.isNotNull() | ~unit.eqNullSafe("percent")), "rate_needs_percent_without_currency"),
+        )
+    )
 
 
 def fact_contract(facts: DataFrame) -> DataFrame:
     """facts(fact_type, unit, currency, ...) with the rules each row breaks."""
-    t, unit, cur = F.col("fact_type"), F.col("unit"), F.col("currency")
-    rules = F.array(
-        F.when(~t.isin(*FACT_TYPES) | t.isNull(), "unknown_fact_type"),
-        F.when((t == "price") & (cur.isNull() | unit.isNotNull()), "price_needs_currency_without_unit"),
-        F.when((t == "inventory_quantity") & (cur.isNotNull() | unit.isNotNull()), "quantity_without_currency_and_unit"),
-        F.when((t == "delivery_duration") & (cur.isNotNull() | ~F.coalesce(unit.isin("hour", "day", "business_day"), F.lit(False))), "duration_needs_unit_without_currency"),
-        F.when((t == "customs_duty_rate") & (cur.isNotNull() | ~unit.eqNullSafe("percent")), "rate_needs_percent_without_currency"),
-    )
-    return facts.withColumn("violations", F.array_compact(rules))
+    return facts.withColumn("violations", fact_violations(F.col("fact_type"), F.col("unit"), F.col("currency")))
 
 
 def truth_contract(truth: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -124,15 +162,20 @@ def coverage_category(cases: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def evidence_segments(ledger: DataFrame) -> DataFrame:
-    """ledger(citation_id, content_type, content) to one row per sentence, or per table row as header=value pairs."""
-    lines = F.filter(F.transform(F.split("content", "\n"), lambda x: F.trim(x)), lambda x: x.startswith("|") & x.endswith("|"))
-    cells = F.filter(F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))), lambda c: (F.size(c) >= 2) & F.exists(c, lambda v: ~v.rlike("^[-:]*$")))
-    pair = lambda head, row: F.array_join(F.filter(F.zip_with(head, row, lambda h, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(h, F.lit("="), v))), lambda p: p.isNotNull()), " | ")
-    rows = ledger.withColumn("__cells", F.when((F.col("content_type") == "table") & F.col("content").contains("|"), cells))
-    from_rows = F.transform(F.slice(F.col("__cells"), 2, 100000), lambda r: pair(F.element_at(F.col("__cells"), 1), r))
-    sentences = F.filter(F.transform(F.split("content", r"(?<=[。！？；.!?;])\s*|\n+"), lambda x: F.trim(x)), lambda x: x != "")
-    segments = F.when(F.coalesce(F.size("__cells"), F.lit(0)) >= 2, from_rows).otherwise(sentences)
-    return rows.select("citation_id", F.posexplode(segments).alias("segment_index", "segment"))
+    """ledger(citation_id, content_type, content) to one row per sentence, or per table row as header=value pairs behind the table's own labels.
+
+    Sentences end with full stops of Chinese, with exclamation and question marks, semicolons and line ends; a plain dot may stand in a number and ends none.
+    """
+    lines = F.filter(F.transform(F.split("content", "\r\n|[\r\n]"), strip), lambda x: x != "")
+    cells = F.filter(F.transform(F.filter(lines, lambda x: x.startswith("|") & x.endswith("|") & (F.length(x) > 1)), lambda x: F.transform(F.split(F.substr(x, F.lit(2), F.length(x) - 2), r"\|"), strip)), lambda c: (F.size(c) >= 2) & F.exists(c, lambda v: ~v.rlike("^[-:]*$")))
+    told = F.filter(lines, lambda x: x.rlike("^(?:" + "|".join(PREAMBLE) + ")"))
+    rows = ledger.select("citation_id", "content", F.when((F.col("content_type") == "table") & F.col("content").contains("|"), cells).alias("__cells"), told.alias("__told"))
+    pairs = lambda head, row: F.filter(F.zip_with(head, row, lambda h, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(h, F.lit("="), v))), lambda p: p.isNotNull())
+    filled = F.filter(F.transform(F.slice(F.col("__cells"), F.lit(2), F.greatest(F.size("__cells"), F.lit(1))), lambda r: pairs(F.element_at(F.col("__cells"), 1), r)), lambda p: F.size(p) > 0)
+    from_rows = F.transform(filled, lambda p: F.array_join(F.concat(F.col("__told"), p), " | "))
+    sentences = F.filter(F.transform(F.split("content", r"(?<=[。！？!?；;])\s*|\n+"), strip), lambda x: x != "")
+    rows = rows.withColumn("__rows", F.when(F.size("__cells") >= 2, from_rows))
+    return rows.select("citation_id", F.posexplode(F.when(F.size("__rows") > 0, F.col("__rows")).otherwise(sentences)).alias("segment_index", "segment"))
 
 
 def advice_guard(question: Column) -> Column:

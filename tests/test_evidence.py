@@ -62,3 +62,8 @@ def test_table_chunks_against_row_by_row_packing(spark):
             assert got[k] == ["\n".join([base, *w]).strip() for w in want], (overlap, k)
             assert all(len(c) <= hard for c in got[k])
         assert got["flat"] == ["y" * 90, "y" * 90, "y" * 20] and "none" not in got and "blank" not in got and got["wide"] == ["z" * 90, "z" * 5]
+
+
+def test_values_keep_their_zeros(spark):
+    rows = spark.createDataFrame([("库存数量为70。", "inventory_quantity"), ("价格 $100 或 $20", "price")], "t string, k string")
+    assert [[float(v.value) for v in r.v] for r in rows.select(evidence.values_in(F.col("t"), F.col("k")).alias("v")).collect()] == [[70.0], [100.0, 20.0]]

@@ -23,9 +23,9 @@ def test_strict_value_needs_number_bounds(spark):
 
 
 def test_segments_of_tables_and_sentences(spark):
-    rows = spark.createDataFrame([("C1", "table", "| SKU | price |\n| --- | --- |\n| A | 5 |\n| B | |"), ("C2", "text", "One. Two！Three\n\nFour")], "citation_id string, content_type string, content string")
+    rows = spark.createDataFrame([("C1", "table", "| SKU | price |\n| --- | --- |\n| A | 5 |\n| B | |"), ("C2", "text", "One is 1.5. Two！Three\n\nFour"), ("C3", "table", "Market: UK\n| SKU | price |\n| A | 5 | 6 |"), ("C4", "table", "a | b")], "citation_id string, content_type string, content string")
     got = sorted((r.citation_id, r.segment_index, r.segment) for r in verify.evidence_segments(rows).collect())
-    assert got == [("C1", 0, "SKU=A | price=5"), ("C1", 1, "SKU=B"), ("C2", 0, "One."), ("C2", 1, "Two！"), ("C2", 2, "Three"), ("C2", 3, "Four")]
+    assert got == [("C1", 0, "SKU=A | price=5"), ("C1", 1, "SKU=B"), ("C2", 0, "One is 1.5. Two！"), ("C2", 1, "Three"), ("C2", 2, "Four"), ("C3", 0, "Market: UK | SKU=A | price=5"), ("C4", 0, "a | b")]
 
 
 def test_hash_embedding_is_a_unit_vector(spark):
