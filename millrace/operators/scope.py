@@ -38,8 +38,11 @@ def read_only_sql(spark: SparkSession, tables: dict[str, DataFrame], shop_id: st
     """Run a query on the shop's rows: scope at the source, then at most max_rows rows.
 
     The statement is placed in a subquery, where Spark parses no DDL, DML or SET; table names in it resolve
-    to common table expressions that hold only the shop's rows. Any other relation is refused.
+    to common table expressions that hold only the shop's rows. Any other relation is refused, and so are sums, averages and
+    ranks of money that cross markets or currencies.
     """
+    from .money import check_money
+
     if not isinstance(max_rows, int) or isinstance(max_rows, bool) or max_rows < 1:
         raise Refused("max_rows must be a positive integer")
     check_statement(sql)
@@ -47,7 +50,7 @@ def read_only_sql(spark: SparkSession, tables: dict[str, DataFrame], shop_id: st
         raise Refused("braces are not allowed")
     check_relations(spark, list(tables), sql)
     scoped = {name: shop_scope(rows, shop_id) for name, rows in tables.items()}
-    return spark.sql(_placed(sql, {name: f"{{{name}}}" for name in scoped}), **scoped).limit(max_rows)
+    return check_money(spark.sql(_placed(sql, {name: f"{{{name}}}" for name in scoped}), **scoped)).limit(max_rows)
 
 
 def _placed(sql: str, sources: dict[str, str]) -> str:

@@ -76,12 +76,21 @@ def shop_scope(s, d):
 def adhoc_join(s, d):
     tables = {"sales_records": facts.sales_records(s, d), "inventory_snapshots": facts.inventory_snapshots(s, d)}
     sql = "SELECT s.sku, sum(s.units_sold) AS units, max(i.on_hand_units) AS on_hand FROM sales_records s JOIN inventory_snapshots i ON s.sku = i.sku GROUP BY s.sku"
-    return scope.read_only_sql(s, tables, "4", sql, 100_000).select("sku", F.col("units").cast("long").alias("units"), F.col("on_hand").cast("long").alias("on_hand"))
+    return scope.read_only_sql(s, tables, "4", sql, 2**31 - 1).select("sku", F.col("units").cast("long").alias("units"), F.col("on_hand").cast("long").alias("on_hand"))
 
 
 def adhoc_union(s, d):
     tables = {"sales_records": facts.sales_records(s, d), "competitor_prices": facts.competitor_prices(s, d)}
-    return scope.read_only_sql(s, tables, "5", "SELECT sku FROM sales_records UNION SELECT sku FROM competitor_prices", 100_000)
+    return scope.read_only_sql(s, tables, "5", "SELECT sku FROM sales_records UNION SELECT sku FROM competitor_prices", 2**31 - 1)
+
+
+def adhoc_money(s, d):
+    """User SQL on a shop's money that stays within market and currency, through a common table expression, a renamed column and a rank."""
+    sql = """WITH base AS (SELECT marketplace AS m, currency, sku, gross_sales - refunds AS net FROM sales_records),
+    total AS (SELECT m, currency, sku, sum(net) AS net, count(*) AS n FROM base GROUP BY m, currency, sku)
+    SELECT m AS marketplace, currency, sku, CAST(net AS DOUBLE) AS net, n, rank() OVER (PARTITION BY m, currency ORDER BY net DESC) AS position FROM total"""
+    rows = facts.sales_records(s, d)
+    return scope.read_only_sql(s, {"sales_records": rows}, "6", sql, 2**31 - 1).withColumn("position", F.col("position").cast("long"))
 
 
 def money_by_market(s, d):
@@ -188,7 +197,7 @@ def recent_history(s, d):
 
 
 QUERIES = {
-    "s01_fact_scan": fact_scan, "s04_contract_check": contract_check, "s05_preview": preview, "p01_shop_scope": shop_scope, "p04_money_policy": money_by_market, "j07_adhoc_join": adhoc_join, "u01_adhoc_union": adhoc_union,
+    "s01_fact_scan": fact_scan, "s04_contract_check": contract_check, "s05_preview": preview, "p01_shop_scope": shop_scope, "p04_money_policy": money_by_market, "p04_adhoc_money": adhoc_money, "j07_adhoc_join": adhoc_join, "u01_adhoc_union": adhoc_union,
     "a01_ad_efficiency": ad_efficiency, "a02_product_contribution": product_contribution, "w01_contribution_rank": contribution_rank, "a03_inventory_turnover": inventory_turnover, "a04_price_gap": price_gap, "a05_result_scope": result_scope,
     "a06_trend_direction": trend_direction, "a07_inventory_summary": inventory_summary, "a08_top_n_others": top_n_others, "p05_catalog_search": catalog_search, "p06_spec_filter": spec_filter, "p07_get_by_sku": get_by_sku, "p08_owned_rows": owned_rows,
     "j01_order_aggregate": order_aggregate, "j02_order_shipment": order_shipment, "j03_order_status": order_status, "j04_orphans": orphans, "j05_owner_mismatch": owner_mismatch, "j06_backfill_owner": backfill_owner,
@@ -210,6 +219,7 @@ SQL = {
     "s05_preview": f"WITH {_SALES} SELECT id, shop_id, sku, units_sold::BIGINT AS units_sold, gross_sales::DOUBLE AS gross_sales FROM sales WHERE shop_id = '3' ORDER BY id LIMIT 100",
     "p01_shop_scope": f"WITH {_SALES} SELECT id, marketplace, currency, sku, gross_sales::DOUBLE AS gross_sales FROM sales WHERE shop_id = '7'",
     "p04_money_policy": f"WITH {_SALES} SELECT marketplace, currency, sum(gross_sales)::DOUBLE AS gross_sales, count(*) AS n FROM sales GROUP BY ALL",
+    "p04_adhoc_money": f"WITH {_SALES}, t AS (SELECT marketplace, currency, sku, sum(gross_sales - refunds) AS net, count(*) AS n FROM sales WHERE shop_id = '6' GROUP BY ALL) SELECT marketplace, currency, sku, net::DOUBLE AS net, n, rank() OVER (PARTITION BY marketplace, currency ORDER BY net DESC) AS position FROM t",
     "j07_adhoc_join": f"WITH {_SALES}, " + _INVENTORY.split(", last AS", 1)[1].join(["last AS", ""]) + " SELECT s.sku, sum(s.units_sold)::BIGINT AS units, max(i.on_hand_units)::BIGINT AS on_hand FROM sales s JOIN inv i ON s.sku = i.sku WHERE s.shop_id = '4' AND i.shop_id = '4' GROUP BY s.sku",
     "u01_adhoc_union": f"WITH {_SALES}, " + _PRICES.split(", brand AS", 1)[1].join(["brand AS", ""]) + " SELECT sku FROM sales WHERE shop_id = '5' UNION SELECT sku FROM prices WHERE shop_id = '5'",
     "a01_ad_efficiency": f"WITH {_ROAS} SELECT CAST(report_date AS VARCHAR) AS report_date, platform, marketplace, timezone, currency, roas, ad_roi FROM eff",
