@@ -76,6 +76,24 @@ def financial_features(rows: DataFrame) -> DataFrame:
     )
 
 
+def expected_statements(i: Column) -> Column:
+    """Statements that the question's metric belongs to, the most exact one first; those it names where its metric tells none."""
+    terms = i["statement_types"]
+    for families, statements in reversed(EXPECTED):
+        terms = F.when(F.arrays_overlap(i["metric_families"], F.array(*map(F.lit, families))), F.array(*map(F.lit, statements))).otherwise(terms)
+    return terms
+
+
+def metric_names(i: Column) -> Column:
+    """Names of the question's first metric."""
+    return _aliases(asked.METRICS, F.get(i["metric_families"], F.lit(0)))
+
+
+def named_in(needles: Column, text: Column) -> Column:
+    """One of the needles stands in the text."""
+    return _in(needles, text)
+
+
 def semantic_text(trusted: Column, *fields: str) -> Column:
     """Table context as text where its digest holds, else nothing."""
     return F.when(trusted, F.concat_ws(" ", *[F.coalesce(F.col(f), F.lit("")) for f in fields])).otherwise("")
@@ -114,9 +132,7 @@ def rank_financial_v2(rows: DataFrame, k: int = 5) -> DataFrame:
 def rank_financial_v3(rows: DataFrame, k: int = 5) -> DataFrame:
     """As v2 with the question's words, the statement its metric belongs to, and headings that tell of no statement. Needs `question`."""
     content, source, i = F.coalesce(F.col("content"), F.lit("")), F.coalesce(F.col("source"), F.lit("")), F.col("intent")
-    terms = i["statement_types"]
-    for families, statements in reversed(EXPECTED):
-        terms = F.when(F.arrays_overlap(i["metric_families"], F.array(*map(F.lit, families))), F.array(*map(F.lit, statements))).otherwise(terms)
+    terms = expected_statements(i)
     more = {
         "query_lexical_score": lexical_overlap(F.col("question"), content), "source_filter_score": _flag((F.size(i["company_terms"]) == 0) | _in(i["company_terms"], source)),
         "expected_statement_score": _flag(_in(terms, content)), "exact_statement_score": _flag(content.contains(F.get(terms, F.lit(0)))),

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import evidence, intent, ranking, retrieval
+from millrace.operators import evidence, intent, parents, ranking, retrieval
 from millrace.sources.facts import table
 
 from .retrieval import _r
@@ -114,6 +114,24 @@ def rank_financial_v3(s, d):
     return _out(ranking.rank_financial_v3(_lines_financial(s, d)))
 
 
+def _parent_parts(s, d):
+    """Order lines as chunks found for their part, on pages of their supplier's report."""
+    li, n = table(s, d, "lineitem"), F.col("l_linenumber")
+    source = F.concat(_one(FIRMS, F.col("l_suppkey")), F.col("l_suppkey").cast("string"), F.lit("年报.pdf"))
+    rows = li.select(F.col("l_partkey").alias("query_id"), _id().alias("chunk_id"), source.alias("source"), n.cast("long").alias("page_number"), "l_extendedprice", "l_quantity", (F.col("l_suppkey") + n).alias("by"))
+    of = lambda name, by: retrieval.top_by(rows, ["query_id"], [F.desc(by), F.col("chunk_id")], 100).select("query_id", "source", "page_number", F.lit(name).alias("channel"), "rank")
+    found = of("dense", "l_quantity").unionByName(of("lexical", "l_extendedprice"))
+    content = F.concat(_one(HEADS, F.col("page_number")), F.lit("\n"), _one(METRIC, F.col("by")), F.when(F.col("by") % 2 == 0, " 2006 合并 ").otherwise(" 2005 母公司 "), F.col("by").cast("string"))
+    pages = rows.select("source", "page_number", content.alias("content")).distinct()
+    k = F.col("p_partkey")
+    question = F.concat(_one(FIRMS, k), F.lit("2006年"), _one(SCOPE, k), F.lit("的"), _one(METRIC, k), F.lit("是多少"))
+    return found, pages, table(s, d, "part").select(k.alias("query_id"), question.alias("question"))
+
+
+def rank_parent_page(s, d):
+    return parents.rank_parent_pages(*_parent_parts(s, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
 VALUES, ANCHORS = ("$12.5", "3 天", "13%", "40"), ("京东 价格表", "plain words", "配送 3 days", "2008年5月 USD", "table of 12", "香港", "")
 FACT_WORDS = ("价格", "配送时长", "关税税率", "库存")
 
@@ -166,7 +184,7 @@ def table_anchor(s, d):
 
 QUERIES = {
     "v02_evidence_preflight": evidence_preflight, "v03_identity_match": identity_match, "x19_column_bindings": column_bindings, "x20_evidence_prefix": evidence_prefix, "w11_table_anchor": table_anchor,
-    "x10_intent_extract": intent_extract, "x11_financial_intent": financial_intent, "v01_question_preflight": question_preflight, "x06_rank_v2": rank_v2, "x07_rank_financial_v2": rank_financial_v2, "x08_rank_financial_v3": rank_financial_v3,
+    "x10_intent_extract": intent_extract, "x11_financial_intent": financial_intent, "v01_question_preflight": question_preflight, "x06_rank_v2": rank_v2, "x07_rank_financial_v2": rank_financial_v2, "x08_rank_financial_v3": rank_financial_v3, "x09_rank_parent_page": rank_parent_page,
 }
 
 
@@ -256,3 +274,30 @@ CASE WHEN contains(text, '毛利率') THEN 'ratio' ELSE 'amount' END AS answer_t
     "x06_rank_v2": _rank_sql(_SHOPF, [(0.20, "contains(content, label)"), (0.10, "contains(content, 'SKU-' || l_partkey || 'X')"), (0.05, "false"), (0.05, "contains(lower(source), lower(asked))"), (0.05, "contains(content, '2006')"), (0.05, "is_table")], 0.50),
     "x07_rank_financial_v2": _rank_sql(_FINF, [(0.20, _ROW), (0.10, _SCOPED), (0.05, "contains(line, '2006')"), (0.05, "contains(source, firm)"), (0.05, "is_table")], 0.55),
 }
+
+
+def _terms(text):
+    """Distinct terms of a text in SQL, and their length together."""
+    run = "regexp_extract_all({t}, '[一-鿿]+')"
+    grams = " || ".join(f"flatten(list_transform({run}, lambda r: list_transform(range(1, len(r) - {n - 2}), lambda i: r[i:i + {n - 1}])))" for n in (2, 3, 4))
+    return f"list_distinct(list_filter(regexp_extract_all({{t}}, '[a-z0-9_.%-]+'), lambda x: len(x) >= 2) || list_filter({run}, lambda r: len(r) BETWEEN 2 AND 8) || {grams})".format(t=f"lower({text})")
+
+
+_FAMILY = {"归母净利润": "归属于母公司股东的净利润", "净利润": "净利润", "营业收入": "营业收入", "资产合计": "资产总计", "毛利率": "毛利率", "经营现金流": "经营活动产生的现金流量净额"}
+_STATED = {f: s for families, s in ranking.EXPECTED for f in families}
+_HAS = lambda text, words: "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+_FIRM = {"格力电器": "格力电器", "招商银行": "招商银行", "甲乙科技": "甲乙科技股份有限公司", "比亚迪": "比亚迪集团", "美的集团": "美的集团"}
+SQL["x09_rank_parent_page"] = f"""
+WITH li AS (SELECT l_partkey AS query_id, concat_ws(':', l_orderkey, l_linenumber, l_suppkey, l_quantity::INT, strftime(l_shipdate, '%Y%m%d')) AS chunk_id, {_pick(FIRMS, 'l_suppkey')} || l_suppkey || '年报.pdf' AS source, l_linenumber::BIGINT AS page_number, l_extendedprice, l_quantity, l_suppkey + l_linenumber AS by_ FROM lineitem),
+f AS (SELECT query_id, source, page_number, 'dense' AS channel, row_number() OVER (PARTITION BY query_id ORDER BY l_quantity DESC, chunk_id) AS rank FROM li UNION ALL SELECT query_id, source, page_number, 'lexical', row_number() OVER (PARTITION BY query_id ORDER BY l_extendedprice DESC, chunk_id) FROM li),
+e AS (SELECT query_id, source, page_number, 1.0::DOUBLE / (60 + min(rank)) AS best_child_rr, list_sum(list_transform(list_sort(list(rank))[1:3], lambda r: 1.0::DOUBLE / (60 + r))) AS top3_child_rr, count(*)::DOUBLE AS child_evidence_count, coalesce(1.0::DOUBLE / (60 + min(rank) FILTER (channel = 'dense')), 0) AS best_dense_rr, coalesce(1.0::DOUBLE / (60 + min(rank) FILTER (channel = 'lexical')), 0) AS best_lexical_rr FROM f WHERE rank <= 100 GROUP BY 1, 2, 3),
+pg AS (SELECT DISTINCT source, page_number, {_pick(HEADS, 'page_number')} || chr(10) || {_pick(METRIC, 'by_')} || CASE WHEN by_ % 2 = 0 THEN ' 2006 合并 ' ELSE ' 2005 母公司 ' END || by_ AS content FROM li),
+q0 AS (SELECT p_partkey AS query_id, {_pick(FIRMS, 'p_partkey')} || '2006年' || {_pick(SCOPE, 'p_partkey')} || '的' || {_pick(METRIC, 'p_partkey')} || '是多少' AS question FROM part),
+q AS (SELECT *, {_terms('question')} AS qt, CASE {" ".join(f"WHEN contains(question, '{w}') THEN '{f}'" for f, w in _FAMILY.items())} END AS family, CASE {" ".join(f"WHEN contains(question, '{w}') THEN '{f}'" for f, w in _FIRM.items())} END AS firm FROM q0),
+pt AS (SELECT *, {_terms('content')} AS ct FROM pg),
+x AS (SELECT e.*, CAST(round(CAST(coalesce(list_sum(list_transform(list_intersect(qt, ct), lambda t: len(t))), 0)::DOUBLE / list_sum(list_transform(qt, lambda t: len(t))) AS DECIMAL(38,10)), 4) AS DOUBLE) AS parent_lexical_score,
+  (CASE family {" ".join(f"WHEN '{k}' THEN {_HAS('content', v)}" for k, v in intent.METRICS.items())} END)::INT::DOUBLE AS metric_alias_score, (CASE family {" ".join(f"WHEN '{k}' THEN {_HAS('content', v)}" for k, v in _STATED.items())} END)::INT::DOUBLE AS statement_score, (CASE family {" ".join(f"WHEN '{k}' THEN contains(content, '{v[0]}')" for k, v in _STATED.items())} END)::INT::DOUBLE AS exact_statement_score,
+  (NOT contains(question, '合并') AND NOT contains(question, '母公司口径') AND NOT contains(question, '比亚迪集团') OR contains(question, '合并') AND contains(content, '合并') OR contains(question, '母公司口径') AND contains(content, '母公司') OR contains(question, '比亚迪集团') AND contains(content, '集团'))::INT::DOUBLE AS scope_score, contains(content, '2006')::INT::DOUBLE AS year_score, {_HAS('content', ranking.NOISE)}::INT::DOUBLE AS noise_score, contains(e.source, firm)::INT::DOUBLE AS company_source_score
+  FROM e JOIN pt USING (source, page_number) JOIN q USING (query_id)),
+s AS (SELECT *, {_r(" + ".join(f"{w}::DOUBLE * {f}" for f, w in parents.WEIGHTS.items()), 8)} AS parent_score FROM x)
+SELECT query_id, source, page_number, {", ".join(f"{_r(f, 8)} AS {f}" for f in parents.WEIGHTS)}, parent_score, row_number() OVER (PARTITION BY query_id ORDER BY parent_score DESC, source, page_number) AS rank FROM s QUALIFY rank <= 5"""
