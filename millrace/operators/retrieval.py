@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,43 +57,11 @@ def vector_validate(rows: DataFrame, dimension: int) -> DataFrame:
     return rows.withColumn("fault", F.when(e.isNull(), "null").when(F.size(e) == 0, "empty").when(F.size(e) != dimension, "dimension").when(bad, "not finite").otherwise("none"))
 
 
-def dense_knn(queries: DataFrame, vectors: DataFrame, k: int, max_query_mb: int = 64) -> DataFrame:
-    """(query_id, vec_id, distance): cosine distance of the k nearest vectors, a zero norm counts 1.0; ties to the smaller vec_id.
+def dense_knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, distance, rank): cosine distance of the k nearest vectors, a zero norm counts 1.0; ties to the smaller vec_id."""
+    from .vectors import exact_knn
 
-    The query matrix is broadcast if it is under max_query_mb, which is checked; larger query sets
-    go through in blocks, one pass over the vectors each. Every task keeps k rows per query.
-    """
-    dim, n = queries.agg(F.max(F.size("embedding")), F.count(F.lit(1))).first()
-    if not n:
-        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, distance double")
-    per_block = max(1, (max_query_mb << 20) // (8 * dim))
-    blocks = -(-n // per_block)
-    numbered = queries.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        rows = numbered.where(F.col("__b") == b).select("query_id", "embedding").toArrow()
-        ids = rows["query_id"].to_numpy()
-        mat = np.array(rows["embedding"].to_pylist(), float)
-        mat /= np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
-
-        def run(batches, ids=ids, mat=mat):
-            best: list[tuple] | None = None
-            for batch in batches:
-                v = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
-                norm = np.linalg.norm(v, axis=1, keepdims=True)
-                dist = np.where(norm.T > 0, 1 - mat @ (v / np.maximum(norm, 1e-300)).T, 1.0)
-                vid = np.broadcast_to(batch.column(0).to_numpy(), dist.shape)
-                if best is not None:
-                    dist, vid = np.hstack([best[0], dist]), np.hstack([best[1], vid])
-                order = np.lexsort((vid, dist), axis=1)[:, :k]
-                best = (np.take_along_axis(dist, order, 1), np.take_along_axis(vid, order, 1))
-            if best is not None:
-                m = best[0].shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(best[1].ravel()), pa.array(best[0].ravel())], ["query_id", "vec_id", "distance"])
-
-        part = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "query_id long, vec_id long, distance double")
-        out = part if out is None else out.unionByName(part)
-    return top_by(out, ["query_id"], [F.col("distance"), F.col("vec_id")], k)
+    return exact_knn(queries, vectors, k)
 
 
 def weighted_rrf(channels: dict[str, DataFrame], weights: dict[str, float], k: int = 60) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import text
-from millrace.operators import evaluate, pages, retrieval
+from millrace.operators import evaluate, pages, retrieval, vectors
 from millrace.operators.metrics import rounded
 from millrace.sources.facts import table
 
@@ -127,6 +127,15 @@ def dense_knn(s, d):
     return got.select("query_id", "vec_id", retrieval.vector_score(F.col("distance")).alias("vector_score"), "rank")
 
 
+def ivf_knn(s, d):
+    """The same queries through an inverted file that visits as many cells as a recall of 0.95 takes."""
+    v = table(s, d, "embeddings").where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
+    q = v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    index = vectors.build_index(v)
+    got = index.search(q, 10, index.probes_for(q, 10))
+    return got.select("query_id", "vec_id", retrieval.vector_score(F.col("distance")).alias("vector_score"), "rank")
+
+
 def vector_validate(s, d):
     return retrieval.vector_validate(table(s, d, "embeddings"), 64).groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
 
@@ -297,7 +306,7 @@ def fact_conflicts(s, d):
 
 QUERIES = {
     "x01_term_index": term_index, "j11_lexical_join": lexical_join, "x03_numeric_score": numeric_score, "t06_channel_topk": channel_topk, "a09_weighted_rrf": weighted_rrf, "t04_hybrid_topk": hybrid_topk, "w04_collapse_provenance": collapse_provenance,
-    "w05_dedupe_contexts": dedupe_contexts, "w06_citation_ledger": citation_ledger, "w07_context_budget": context_budget, "j12_dense_knn": dense_knn, "p14_vector_validate": vector_validate, "p11_active_version_filter": active_version_filter, "p12_content_split": content_split,
+    "w05_dedupe_contexts": dedupe_contexts, "w06_citation_ledger": citation_ledger, "w07_context_budget": context_budget, "j12_dense_knn": dense_knn, "j12_ivf_knn": ivf_knn, "p14_vector_validate": vector_validate, "p11_active_version_filter": active_version_filter, "p12_content_split": content_split,
     "x16_page_features": page_features, "x17_page_classify": page_classify, "w08_title_neighbors": title_neighbors, "w09_page_cap": page_cap, "a20_page_inventory": page_inventory, "x27_candidate_id": candidate_id, "x28_version_ids": version_ids, "p09_serialize_context": serialize_context,
     "s16_embedding_cache_lookup": embedding_cache_lookup, "s17_index_upsert": index_upsert, "j19_layer_identity": layer_identity, "j17_stale_versions": stale_versions, "a26_corpus_fingerprint": corpus_fingerprint, "j13_strict_hit_join": strict_hits, "w15_first_hit_rank": first_hit_rank,
     "a10_recall_mrr": recall_mrr, "a11_failure_stages": failure_stages, "a13_subset_metrics": subset_metrics, "a31_release_gate": release_gate, "a15_nearest_rank_percentile": percentile, "a16_reason_histogram": reason_histogram, "a17_token_cost": token_cost, "a25_load_summary": load_summary, "a27_dataset_profile": dataset_profile, "a30_fact_conflicts": fact_conflicts,
