@@ -33,15 +33,22 @@ def _pieces(text: str, size: int) -> list[str]:
     return [(sep or "").join(u for u, _ in units[i:j]).strip() for i, j in pairwise([*starts, len(units)])]
 
 
-def chunk_text(docs: DataFrame, size: int = 400) -> DataFrame:
-    """(doc_id, chunk_index, chunk) of every document; null and blank texts have none. One task per input partition, no shuffle."""
+def chunk_text(docs: DataFrame, size: int = 400, version: str | None = None) -> DataFrame:
+    """(doc_id, chunk_index, chunk) of every document; null and blank texts have none. One task per input partition, no shuffle.
+
+    version: a text column that goes with the chunks of its row.
+    """
+    more = [version] if version else []
 
     def run(batches):
         for b in batches:
-            rows = [(i, k, c) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, c in enumerate(_pieces(t or "", size))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "chunk_index", "chunk"])
+            parts = [_pieces(t or "", size) for t in b.column(1).to_pylist()]
+            row = pa.array([i for i, p in enumerate(parts) for _ in p], pa.int64())
+            places, texts = pa.array([k for p in parts for k in range(len(p))], pa.int32()), pa.array([c for p in parts for c in p], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), places, texts, *(b.column(2 + i).take(row) for i in range(len(more)))], ["doc_id", "chunk_index", "chunk", *more])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, chunk_index int, chunk string")
+    schema = ", ".join(["doc_id long, chunk_index int, chunk string", *(f"{m} string" for m in more)])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(F.col(m).cast("string") for m in more)).mapInArrow(run, schema)
 
 
 def chunk_overlap(chunks: DataFrame, overlap: int = 80) -> DataFrame:

@@ -98,6 +98,8 @@ class Index:
 
     def search(self, queries: DataFrame, k: int, probes: int, query_block: int = 512) -> DataFrame:
         """(query_id, vec_id, distance, rank) among the vectors of the `probes` cells nearest to each query."""
+        if not len(self.centres):
+            return queries.sparkSession.createDataFrame([], f"{_PAIRS}, rank int")
         near = nearest_cells(queries, "query_id", self.centres, probes)
         near = near.withColumn("__lot", F.pmod(F.xxhash64("query_id"), F.ceil(F.lit(queries.count()) / query_block)))
         dealt = near.join(self.blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
@@ -139,7 +141,7 @@ def build_index(vectors: DataFrame, cells: int | None = None, sample: int = 20_0
     centres = fit_centres(vectors, cells or max(1, min(4096, int(n**0.5))), sample)
     if not len(centres):
         empty = vectors.sparkSession.createDataFrame([], "cell int, blocks int")
-        return Index(vectors.select("vec_id", "embedding", F.lit(0).alias("cell"), F.lit(0).alias("block")), np.zeros((1, 1)), empty)
+        return Index(vectors.select("vec_id", "embedding", F.lit(0).alias("cell"), F.lit(0).alias("block")), centres, empty)
     placed = nearest_cells(vectors, "vec_id", centres, 1)
     blocks = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     return Index(placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).drop("blocks"), centres, blocks)  # at most 4,096 rows are broadcast

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -19,7 +20,18 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-millrace-")
-    return f"{base.rstrip('/')}/millrace-{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/millrace-{label}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_release, spark, path)
+    return path
+
+
+def _release(spark: SparkSession, path: str) -> None:
+    """Delete a folder of shared_folder when the program ends."""
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may already be gone
+        pass
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -45,13 +57,18 @@ def stream_route(messages: DataFrame, rules=routing.ROUTES) -> DataFrame:
 
 
 def ingest(docs: DataFrame, folder: str, size: int = 400) -> DataFrame:
-    """Chunk new documents once each: an idempotent batch writer keyed by batch id overwrites its own folder on a retry."""
+    """Chunk each document once, however often it comes, in this batch or a later one.
+
+    State keeps the hash of every (doc_id, text) seen, so a repeated document is dropped and two texts of one doc_id both stay,
+    each under its own index_version (the text's hash). The batch writer overwrites its own folder on a retry, so a restart adds nothing twice.
+    """
+    version = F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 16)
+    once = docs.select("doc_id", "text", version.alias("index_version")).dropDuplicates(["doc_id", "index_version"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        once = batch.dropDuplicates(["doc_id"])
-        rows = chunks.chunk_text(once, size).withColumn("index_version", F.lit(f"batch-{batch_id}"))
+        rows = chunks.chunk_text(batch, size, version="index_version")
         rows.write.mode("overwrite").parquet(f"{folder}/index/batch={batch_id}")
 
-    q = docs.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q = once.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return docs.sparkSession.read.parquet(f"{folder}/index")

@@ -41,9 +41,10 @@ def test_stream_ingests_each_document_once(spark, tmp_path):
     make = lambda ids: spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
     make([1, 2, 2]).coalesce(1).write.parquet(src)
     assert jobs.ingest(jobs.file_stream(spark, src), out).count() == 2
-    make([3]).write.mode("append").parquet(src)
+    make([3, 2]).write.mode("append").parquet(src)  # 2 comes again in a later batch
+    spark.createDataFrame([(1, "another text")], "doc_id long, text string").write.mode("append").parquet(src)
     got = jobs.ingest(jobs.file_stream(spark, src), out)
-    assert sorted(r.doc_id for r in got.collect()) == [1, 2, 3] and got.select("index_version").distinct().count() == 2
+    assert sorted((r.doc_id, r.chunk) for r in got.collect()) == [(1, "another text"), (1, "text 1"), (2, "text 2"), (3, "text 3")] and got.select("index_version").distinct().count() == 4
 
 
 def test_stream_routes_like_the_batch(spark, tmp_path):
