@@ -1,14 +1,13 @@
-"""Repeated byte strings over a corpus: longest-previous-factor arrays on shared segments.
+"""Repeated byte strings over a corpus, by ranks of windows on shared segments.
 
 A string of min_len bytes that stands twice has the same smallest k-gram hash (its anchor) at
 the same place both times. Windows of min_len bytes with one anchor form a run, about one per
 140 bytes of text. Runs whose anchor occurs once hold nothing that repeats. Runs of equal
 bytes fold into one segment with a count. Segments of anchors with several different
-contents are gathered by anchor and sorted into suffix order (ranks by prefix doubling, cut at
-min_len). In that order the previous smaller and next smaller positions of a window give
-its longest previous factor; where it reaches min_len the window has an earlier copy, and
-with positions reversed a later one. Inside an interval of common prefixes of min_len bytes the
-two reduce to its smallest and largest position, which is how they are computed.
+contents are gathered by anchor, and their windows ranked by prefix doubling over block hashes, cut at
+min_len. No previous-factor lengths are computed: whether a window's longest previous factor reaches
+min_len is whether its neighbour in that order has an equal key, so an interval of equal keys gives
+earlier and later copies by its smallest and largest position.
 
 An anchor with more than `segment_limit` contents is not cut: its windows are halved by their
 distance to the anchor, each half keyed by the bytes all its windows share, and halves of equal bytes
