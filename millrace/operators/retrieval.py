@@ -13,7 +13,8 @@ from .metrics import rounded
 
 def term_index(rows: DataFrame, key: str, content: str) -> DataFrame:
     """(key, term), one row per distinct term of each text."""
-    return rows.select(key, F.explode(text.terms(F.col(content))).alias("term"))
+    # the outer form: a plain explode gets a filter on the size of the array, which would work out all terms twice
+    return rows.select(key, F.explode_outer(text.terms(F.col(content))).alias("term")).where("term is not null")
 
 
 def lexical_join(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -30,8 +31,12 @@ def lexical_join(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def numeric_score(query: Column, content: Column) -> Column:
-    q = text.numbers(query)
-    return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(rounded(F.size(F.array_intersect(q, text.numbers(content))) / F.size(q), 4))
+    return shared_numbers(text.numbers(query), text.numbers(content))
+
+
+def shared_numbers(q: Column, content: Column) -> Column:
+    """The share of a query's numbers that a chunk's numbers hold, 4 digits; 0 for a query without numbers."""
+    return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(rounded(F.size(F.array_intersect(q, content)) / F.size(q), 4))
 
 
 def vector_score(distance: Column) -> Column:

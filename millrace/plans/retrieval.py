@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import text
-from millrace.operators import evaluate, pages, retrieval, vectors
+from millrace.operators import evaluate, lexical, pages, retrieval, vectors
 from millrace.operators.metrics import rounded
 from millrace.sources.facts import table
+from millrace.streaming.jobs import shared_folder
 
 #: Words of the invented prose that stand in for titles, metrics and units.
 TITLES, METRICS, UNITS = ("whtion", "license"), ("the", "der", "que"), ("of", "und", "la")
@@ -40,17 +41,15 @@ def lexical_join(s, d):
 
 
 def _pairs(s, d):
-    """Scored pairs with both texts, for the features that need them."""
-    q = _queries(s, d).withColumnRenamed("content", "question")
-    return retrieval.lexical_join(_queries(s, d), _chunks(s, d)).join(q, "query_id").join(_chunks(s, d), "chunk_id")
+    """Scored pairs with the numbers of both texts, for the features that need them."""
+    q = _queries(s, d).select("query_id", text.numbers(F.col("content")).alias("q_numbers"))
+    return retrieval.lexical_join(_queries(s, d), _chunks(s, d)).join(q, "query_id").join(_chunks(s, d).select("chunk_id", text.numbers(F.col("content")).alias("numbers")), "chunk_id")
 
 
 def _channels(s, d):
-    pairs = retrieval.lexical_join(_queries(s, d), _chunks(s, d))
-    lexical = retrieval.top_by(pairs.withColumn("score", F.col("lexical_score")), ["query_id"], [F.desc("score"), F.col("chunk_id")], 50)
-    size = retrieval.term_index(_chunks(s, d), "chunk_id", "content").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_terms"))
-    dense = pairs.join(size, "chunk_id").withColumn("score", rounded(F.col("n_matched") / F.col("n_terms"), 6))
-    return {"lexical": lexical, "overlap": retrieval.top_by(dense, ["query_id"], [F.desc("score"), F.col("chunk_id")], 30)}
+    q = _queries(s, d)
+    index = lexical.build(_chunks(s, d), shared_folder(s, "terms"), q)
+    return {"lexical": lexical.search(q, index, 50), "overlap": lexical.search(q, index, 30, lexical.OVERLAP)}
 
 
 _TERMS = """qt AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_.%-]+'), lambda t: len(t) >= 2)) AS term FROM benchmark WHERE item_id IS NOT NULL),
@@ -78,7 +77,7 @@ def _fused(s, d):
 
 def numeric_score(s, d):
     """Over every pair, however few words it shares."""
-    return _pairs(s, d).select("query_id", "chunk_id", retrieval.numeric_score(F.col("question"), F.col("content")).alias("numeric_score"))
+    return _pairs(s, d).select("query_id", "chunk_id", retrieval.shared_numbers(F.col("q_numbers"), F.col("numbers")).alias("numeric_score"))
 
 
 def channel_topk(s, d):
@@ -92,7 +91,7 @@ def weighted_rrf(s, d):
 
 def hybrid_topk(s, d):
     p = _pairs(s, d)
-    n, v = retrieval.numeric_score(F.col("question"), F.col("content")), F.lit(0.5)
+    n, v = retrieval.shared_numbers(F.col("q_numbers"), F.col("numbers")), F.lit(0.5)
     score = p.select("query_id", "chunk_id", "lexical_score", n.alias("numeric_score")).withColumn("relevance", retrieval.hybrid_score(v, F.col("lexical_score"), F.col("numeric_score"))).where("relevance >= 0.05")
     return retrieval.top_by(score, ["query_id"], [F.desc("relevance"), F.desc("numeric_score"), F.desc("lexical_score"), F.col("chunk_id")], 5).select("query_id", "chunk_id", "relevance", "rank")
 
