@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PLANS = ("business", "retrieval", "operations", "streams", "verification", "reports", "support", "files", "questions", "scoring")
+_PLANS = ("business", "retrieval", "operations", "streams", "verification", "reports", "support", "files", "questions", "scoring", "writers")
 
 
 def _all(name: str) -> dict:
