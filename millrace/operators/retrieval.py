@@ -78,6 +78,12 @@ def weighted_rrf(channels: dict[str, DataFrame], weights: dict[str, float], k: i
     return rows.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("rrf"), F.min("rank").alias("best_rank"), F.array_join(F.sort_array(F.collect_set("channel")), ",").alias("channels"))
 
 
+def channel_union(dense: DataFrame, lexical: DataFrame) -> DataFrame:
+    """Candidates of dense(query_id, chunk_id, rank, vector_score) and lexical(query_id, chunk_id, rank, lexical_score), once each with the fields of both; a rank is null and a score 0 where a channel lacks it."""
+    both = dense.withColumnRenamed("rank", "dense_rank").join(lexical.withColumnRenamed("rank", "lexical_rank"), ["query_id", "chunk_id"], "full_outer")
+    return both.select("query_id", "chunk_id", "dense_rank", F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"), "lexical_rank", F.coalesce("lexical_score", F.lit(0.0)).alias("lexical_score"))
+
+
 def collapse(rows: DataFrame, provenance: Column, k: int) -> DataFrame:
     """The first row of each provenance in rank order, then ranks anew up to k."""
     first = top_by(rows.withColumn("__p", provenance), ["query_id", "__p"], [F.col("rank")], 1, "__n").drop("__n", "__p")

@@ -147,3 +147,38 @@ def bulk_copy(tables: dict[str, DataFrame], existing: dict[str, DataFrame], repl
 
 def write_jdbc(rows: DataFrame, url: str, table: str, replace: bool, batch: int = 500) -> None:
     rows.write.mode("overwrite" if replace else "append").option("batchsize", batch).option("truncate", True).jdbc(url, table)
+
+
+def copy_database(spark: SparkSession, source: str, target: str, tables: dict[str, str], replace: bool = False, parts: int = 8, batch: int = 500) -> DataFrame:
+    """Copy tables (name to its numeric key, parents before children) between two JDBC databases; (table_name, n) of what was written.
+
+    Refused before anything is written: one database as both sides, a table that can't be read on either side, columns the target lacks, a target with rows unless it
+    is replaced. Replacing empties children before parents. Each table is read in `parts` ranges of its key; rows whose key is null go with the first. A written table
+    whose count differs is an error.
+    """
+    if source.split(";")[0].rstrip("/") == target.split(";")[0].rstrip("/"):
+        raise Refused("source and target are one database")
+    there = {}
+    for name in tables:
+        for url in (source, target):
+            try:
+                there[name, url] = spark.read.jdbc(url, name)
+            except Exception as e:  # each driver has errors of its own
+                raise Refused(f"{name} can't be read: {str(e)[:200]}") from e
+        lacks = sorted({c.lower() for c in there[name, source].columns} - {c.lower() for c in there[name, target].columns})
+        if lacks:
+            raise Refused(f"target's {name} lacks {lacks}")
+    bulk_copy({n: there[n, source] for n in tables}, {n: there[n, target] for n in tables}, replace)
+    if replace:
+        for name in reversed(list(tables)):
+            write_jdbc(there[name, target].where("false"), target, name, True, batch)
+    done = []
+    for name, key in tables.items():
+        ends = there[name, source].agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n")).first()
+        rows = there[name, source] if ends.low is None else spark.read.jdbc(source, name, column=key, lowerBound=int(ends.low), upperBound=int(ends.high) + 1, numPartitions=parts)
+        write_jdbc(rows, target, name, False, batch)
+        n = spark.read.jdbc(target, name).count()
+        if n != ends.n:
+            raise RuntimeError(f"{name}: {n} rows written of {ends.n}")
+        done.append((name, n))
+    return spark.createDataFrame(done, "table_name string, n long")
