@@ -1,13 +1,12 @@
-"""Repeated byte strings over a corpus, by ranks of windows on shared segments.
+"""Repeated byte strings over a corpus, by longest previous factors on shared segments.
 
 A string of min_len bytes that stands twice has the same smallest k-gram hash (its anchor) at
 the same place both times. Windows of min_len bytes with one anchor form a run, about one per
 140 bytes of text. Runs whose anchor occurs once hold nothing that repeats. Runs of equal
 bytes fold into one segment with a count. Segments of anchors with several different
-contents are gathered by anchor, and their windows ranked by prefix doubling over block hashes, cut at
-min_len. No previous-factor lengths are computed: whether a window's longest previous factor reaches
-min_len is whether its neighbour in that order has an equal key, so an interval of equal keys gives
-earlier and later copies by its smallest and largest position.
+contents are gathered by anchor, and their windows put into suffix order by bytes, by prefix doubling cut at
+min_len. Previous and next smaller positions in that order give each window's longest previous factor: one of
+min_len is a later copy, and the window it names has one.
 
 An anchor with more than `segment_limit` contents is not cut: its windows are halved by their
 distance to the anchor, each half keyed by the bytes all its windows share, and halves of equal bytes
@@ -143,33 +142,78 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block_hashes(text: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of the `size` bytes from every place on; past the end the text goes on with zeros."""
-    up, down = _powers()
-    out = np.empty(len(text), np.uint64)
-    for lo in range(0, len(text), PIECE):
-        part = np.concatenate((text[lo : lo + PIECE + size], np.zeros(max(0, lo + PIECE + size - len(text)), np.uint8)))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[part] * up[: len(part)], dtype=np.uint64)))
-        n = min(PIECE, len(text) - lo)
-        out[lo : lo + n] = _mix((sums[size : size + n] - sums[:n]) * down[:n])
-    return out
+def _ahead(r: np.ndarray, by: int) -> np.ndarray:
+    """r moved `by` places to the front; past the end it goes on with zeros."""
+    return np.concatenate((r[by:], np.zeros(min(by, len(r)), r.dtype)))
 
 
-def factor_flags(text: np.ndarray, at: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the windows that start at `at` (ascending): has an earlier copy, has a later copy.
+def suffix_order(text: np.ndarray, at: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the windows of min_len bytes that start at `at` (ascending), by bytes and then by position, and
+    the length of the prefix that each shares with the one before it in that order (0 for the first).
 
-    Ranks are doubled from those of blocks of a quarter of min_len, which are ordered by their hashes, not by their bytes.
+    Ranks of 8 bytes, read as big-endian numbers, are doubled while they fit into min_len; two that overlap give
+    the order of windows, and going down through the levels gives the shared prefix.
+    """
+    word = text.astype(np.uint64)
+    for by in (1, 2, 4):
+        word = (word << np.uint64(8 * by)) | _ahead(word, by)
+    levels, size = [_ranks(word)], 8
+    while 2 * size <= min_len:
+        levels.append(_ranks((levels[-1] << np.uint64(32)) | _ahead(levels[-1], size)))
+        size *= 2
+    key = (levels[-1][at] << np.uint64(32)) | levels[-1][at + (min_len - size)]
+    order = np.argsort(key, kind="stable")
+    equal = key[order[1:]] == key[order[:-1]]
+    p, q, shared = at[order[:-1]], at[order[1:]], np.zeros(len(equal), np.int64)
+    last = len(text) - 1
+    for r in reversed(levels):
+        shared += np.where(r[np.minimum(p + shared, last)] == r[np.minimum(q + shared, last)], size, 0)
+        size //= 2
+    for _ in range(7):  # within the 8 bytes that differ
+        shared += text[np.minimum(p + shared, last)] == text[np.minimum(q + shared, last)]
+    shared = np.where(equal, min_len, np.minimum(shared, min_len - 1))
+    return order, np.concatenate((np.zeros(min(1, len(at)), np.int64), shared))
+
+
+def _smaller_before(places: list[int], shared: list[int]) -> tuple[list[int], list[int]]:
+    """For each place of a list the index of the nearest smaller one before it (-1: none), and the least of
+    `shared` from there on, its own included (0: none)."""
+    index, length, open_at = [], [], []
+    for i, (p, low) in enumerate(zip(places, shared)):
+        while open_at and places[open_at[-1]] > p:
+            low = min(low, length[open_at.pop()])
+        index.append(open_at[-1] if open_at else -1)
+        length.append(low if open_at else 0)
+        open_at.append(i)
+    return index, length
+
+
+def previous_factors(text: np.ndarray, at: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the windows that start at `at` (ascending): the longest previous factor, at most min_len, and the index of a
+    window that it starts at (-1: nothing shared).
+
+    The window that starts earlier and shares most is the previous or the next smaller position in suffix order.
+    Of equal windows the nearest earlier one is named, so each but the last of them is named once.
     """
-    size = min_len // 4
-    r = _ranks(_block_hashes(text, size))
-    r = _ranks((r << np.uint64(32)) | np.concatenate((r[size:], np.zeros(min(size, len(r)), np.uint64))))
-    size *= 2
-    key = (r[at] << np.uint64(32)) | r[np.minimum(at + (min_len - size), len(r) - 1)]
-    order = np.argsort(key, kind="stable")  # suffix order; equal windows by position
-    same = key[order[1:]] == key[order[:-1]]
-    earlier, later = np.zeros(len(at), bool), np.zeros(len(at), bool)
-    earlier[order[1:][same]] = True
-    later[order[:-1][same]] = True
+    order, shared = suffix_order(text, at, min_len)
+    places = order.tolist()
+    before, b_len = (np.array(x, np.int64) for x in _smaller_before(places, shared.tolist()))
+    # from behind, the prefix shared with the one before is that of the place after
+    after, a_len = (np.array(x, np.int64)[::-1] for x in _smaller_before(places[::-1], [0, *shared[:0:-1].tolist()]))
+    after = np.where(after < 0, -1, len(places) - 1 - after)
+    nearest = np.where(b_len >= a_len, before, after)
+    length, source = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    length[order] = np.maximum(b_len, a_len)
+    source[order] = np.where((nearest >= 0) & (length[order] > 0), order[nearest], -1)
+    return length, source
+
+
+def factor_flags(text: np.ndarray, at: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the windows that start at `at` (ascending): has an earlier copy (a previous factor of min_len), has a later copy
+    (it is named by such a factor)."""
+    length, source = previous_factors(text, at, min_len)
+    earlier, later = length >= min_len, np.zeros(len(at), bool)
+    later[source[earlier]] = True
     return earlier, later
 
 

@@ -345,6 +345,27 @@ def test_suffix(docs, empty, limit):
     assert suffix.removal(empty).count() == 0
 
 
+@pytest.mark.parametrize("letters", [1, 2, 4, 200])
+def test_previous_factors(letters):
+    """Lengths equal those of comparing every pair of windows; sources are earlier and share as much."""
+    rng = np.random.default_rng(letters)
+    for trial in range(60):
+        n = int(rng.integers(20, 110))
+        size = int(rng.integers(17, min(n, 60) + 1))
+        text = rng.integers(0, letters, n).astype(np.uint8)
+        if trial % 3 == 0:
+            text[n // 2 :] = text[: n - n // 2]
+        at = np.flatnonzero(rng.random(n - size + 1) < (1 if trial % 2 else 0.7))
+        windows = [text[p : p + size].tobytes() for p in at]
+        shared = [[next((k for k in range(size) if x[k] != y[k]), size) for y in windows[:i]] for i, x in enumerate(windows)]
+        length, source = suffix.previous_factors(text, at, size)
+        assert length.tolist() == [max(x, default=0) for x in shared]
+        assert all(source[i] == -1 if not length[i] else shared[i][source[i]] == length[i] for i in range(len(at)))
+        earlier, later = suffix.factor_flags(text, at, size)
+        assert earlier.tolist() == [x in windows[:i] for i, x in enumerate(windows)]
+        assert later.tolist() == [x in windows[i + 1 :] for i, x in enumerate(windows)]
+
+
 def test_suffix_of_two_lengths(docs, empty):
     rows = docs.collect()
     texts = [(r.text or "").encode() for r in rows]
