@@ -188,30 +188,35 @@ def _smaller_before(places: list[int], shared: list[int]) -> tuple[list[int], li
     return index, length
 
 
-def previous_factors(text: np.ndarray, at: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
+def previous_factors(text: np.ndarray, at: np.ndarray, min_len: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """For the windows that start at `at` (ascending): the longest previous factor, at most min_len, and the index of a
-    window that it starts at (-1: nothing shared).
+    window that it starts at. Those under `least` are not wanted: 0 and -1.
 
     The window that starts earlier and shares most is the previous or the next smaller position in suffix order.
-    Of equal windows the nearest earlier one is named, so each but the last of them is named once.
+    Of equal windows the nearest earlier one is named, so each but the last of them is named once. Windows that
+    share less than `least` with both neighbours have no such factor and are no source of one.
     """
     order, shared = suffix_order(text, at, min_len)
+    shared = np.where(shared < least, 0, shared)
+    inside = np.flatnonzero(np.maximum(shared, np.append(shared[1:], 0)[: len(shared)]))
+    order, shared = order[inside], shared[inside]
     places = order.tolist()
     before, b_len = (np.array(x, np.int64) for x in _smaller_before(places, shared.tolist()))
     # from behind, the prefix shared with the one before is that of the place after
     after, a_len = (np.array(x, np.int64)[::-1] for x in _smaller_before(places[::-1], [0, *shared[:0:-1].tolist()]))
     after = np.where(after < 0, -1, len(places) - 1 - after)
-    nearest = np.where(b_len >= a_len, before, after)
-    length, source = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-    length[order] = np.maximum(b_len, a_len)
-    source[order] = np.where((nearest >= 0) & (length[order] > 0), order[nearest], -1)
+    nearest, longest = np.where(b_len >= a_len, before, after), np.maximum(b_len, a_len)
+    length, source = np.zeros(len(at), np.int64), np.full(len(at), -1)
+    hit = longest > 0
+    length[order[hit]] = longest[hit]
+    source[order[hit]] = order[nearest[hit]]
     return length, source
 
 
 def factor_flags(text: np.ndarray, at: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
     """For the windows that start at `at` (ascending): has an earlier copy (a previous factor of min_len), has a later copy
     (it is named by such a factor)."""
-    length, source = previous_factors(text, at, min_len)
+    length, source = previous_factors(text, at, min_len, least=min_len)
     earlier, later = length >= min_len, np.zeros(len(at), bool)
     later[source[earlier]] = True
     return earlier, later

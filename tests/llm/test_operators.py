@@ -361,6 +361,9 @@ def test_previous_factors(letters):
         length, source = suffix.previous_factors(text, at, size)
         assert length.tolist() == [max(x, default=0) for x in shared]
         assert all(source[i] == -1 if not length[i] else shared[i][source[i]] == length[i] for i in range(len(at)))
+        least = int(rng.integers(1, size + 1))
+        cut, source = suffix.previous_factors(text, at, size, least)
+        assert cut.tolist() == [x if x >= least else 0 for x in length.tolist()] and ((source >= 0) == (cut > 0)).all()
         earlier, later = suffix.factor_flags(text, at, size)
         assert earlier.tolist() == [x in windows[:i] for i, x in enumerate(windows)]
         assert later.tolist() == [x in windows[i + 1 :] for i, x in enumerate(windows)]
