@@ -11,10 +11,12 @@ from millrace.functions import text
 from .metrics import rounded
 
 LOW_TEXT, RATIO, LINES, CAP = 20, 0.18, 15, 80
+#: Words that name the period a page is of.
+PERIODS = ("生效日期", "更新日期", "截至", "Date", "Effective")
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
 
-def page_features(pages: DataFrame, titles: tuple[str, ...], metrics: tuple[str, ...], units: tuple[str, ...]) -> DataFrame:
+def page_features(pages: DataFrame, titles: tuple[str, ...], metrics: tuple[str, ...], units: tuple[str, ...], periods: tuple[str, ...] = PERIODS) -> DataFrame:
     """pages(doc, page_number, text) with counts, the share of digits, and the words found."""
     c = text.compact(F.col("text"))
     chars = F.length(c)
@@ -22,7 +24,7 @@ def page_features(pages: DataFrame, titles: tuple[str, ...], metrics: tuple[str,
     return pages.select(
         *pages.columns, chars.alias("text_chars"), F.length(F.regexp_replace(c, r"[^㐀-䶿一-鿿]", "")).alias("chinese_chars"), digits.alias("digit_chars"),
         rounded(digits / F.greatest(chars, F.lit(1)), 6).alias("numeric_ratio"), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), LINE_END), lambda x: x.rlike("\\S"))).alias("line_count"),
-        text.term_hits(F.col("text"), titles).alias("title_hits"), text.term_hits(F.col("text"), metrics).alias("metric_hits"), text.term_hits(F.col("text"), units).alias("unit_hits"),
+        text.term_hits(F.col("text"), titles).alias("title_hits"), text.term_hits(F.col("text"), metrics).alias("metric_hits"), text.term_hits(F.col("text"), units).alias("unit_hits"), text.term_hits(F.col("text"), periods).alias("period_hits"), (chars == 0).alias("empty_text"),
         F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])"), F.lit(0)))).alias("year_hits"), (chars < LOW_TEXT).alias("low_text"),
     )
 

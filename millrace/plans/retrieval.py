@@ -14,8 +14,8 @@ from millrace.operators.metrics import rounded
 from millrace.sources.facts import table
 from millrace.streaming.jobs import shared_folder
 
-#: Words of the invented prose that stand in for titles, metrics and units.
-TITLES, METRICS, UNITS = ("whtion", "license"), ("the", "der", "que"), ("of", "und", "la")
+#: Words of the invented prose that stand in for titles, metrics, units and periods.
+TITLES, METRICS, UNITS, PERIODS = ("whtion", "license"), ("the", "der", "que"), ("of", "und", "la"), ("ion", "les")
 
 
 def _queries(s, d):
@@ -126,14 +126,30 @@ def dense_knn(s, d):
     return got.select("query_id", "vec_id", retrieval.vector_score(F.col("distance")).alias("vector_score"), "rank")
 
 
-def channel_union(s, d):
+def _dense_and_lexical(s, d):
     """50 nearest by vector and 50 best by words of each question; a question's vector, and a chunk's, is the one of its id."""
     v = table(s, d, "embeddings").where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
     q = _queries(s, d)
     near = retrieval.dense_knn(v.join(q, v.vec_id == q.query_id, "left_semi").withColumnRenamed("vec_id", "query_id"), v, 50)
     dense = near.select("query_id", F.col("vec_id").alias("chunk_id"), "rank", retrieval.vector_score(F.col("distance")).alias("vector_score"))
     words = lexical.search(q, lexical.build(_chunks(s, d), shared_folder(s, "terms"), q), 50).withColumnRenamed("score", "lexical_score")
-    return retrieval.channel_union(dense, words)
+    return dense, words
+
+
+def channel_union(s, d):
+    return retrieval.channel_union(*_dense_and_lexical(s, d))
+
+
+def channel_topk_dense(s, d):
+    dense, words = _dense_and_lexical(s, d)
+    one = lambda rows, score, name: rows.select("query_id", "chunk_id", F.col(score).alias("score"), "rank", F.lit(name).alias("channel"))
+    return one(dense, "vector_score", "dense").unionByName(one(words, "lexical_score", "lexical"))
+
+
+def weighted_rrf_dense(s, d):
+    dense, words = _dense_and_lexical(s, d)
+    f = retrieval.weighted_rrf({"dense": dense, "lexical": words}, {"dense": 0.6, "lexical": 0.4}).withColumn("rrf", F.round("rrf", 9))
+    return retrieval.top_by(f, ["query_id"], [F.desc("rrf"), F.col("best_rank"), F.col("chunk_id")], 100).select("query_id", "chunk_id", "rrf", "best_rank", "channels")
 
 
 def ivf_knn(s, d):
@@ -163,12 +179,12 @@ def content_split(s, d):
 
 
 def _features(s, d):
-    return pages.page_features(_pages(s, d), TITLES, METRICS, UNITS)
+    return pages.page_features(_pages(s, d), TITLES, METRICS, UNITS, PERIODS)
 
 
 def page_features(s, d):
     j = lambda c: F.array_join(c, ",").alias(c)
-    return _features(s, d).select("doc", "page_number", F.col("text_chars").cast("long").alias("text_chars"), F.col("digit_chars").cast("long").alias("digit_chars"), "numeric_ratio", F.col("line_count").cast("long").alias("line_count"), j("title_hits"), j("metric_hits"), j("unit_hits"), j("year_hits"), "low_text")
+    return _features(s, d).select("doc", "page_number", F.col("text_chars").cast("long").alias("text_chars"), F.col("digit_chars").cast("long").alias("digit_chars"), "numeric_ratio", F.col("line_count").cast("long").alias("line_count"), j("title_hits"), j("metric_hits"), j("unit_hits"), j("period_hits"), j("year_hits"), "empty_text", "low_text")
 
 
 def page_classify(s, d):
@@ -315,7 +331,7 @@ def fact_conflicts(s, d):
 
 QUERIES = {
     "x01_term_index": term_index, "j11_lexical_join": lexical_join, "x03_numeric_score": numeric_score, "t06_channel_topk": channel_topk, "a09_weighted_rrf": weighted_rrf, "t04_hybrid_topk": hybrid_topk, "w04_collapse_provenance": collapse_provenance,
-    "w05_dedupe_contexts": dedupe_contexts, "w06_citation_ledger": citation_ledger, "w07_context_budget": context_budget, "j12_dense_knn": dense_knn, "j12_ivf_knn": ivf_knn, "u02_channel_union": channel_union, "p14_vector_validate": vector_validate, "p11_active_version_filter": active_version_filter, "p12_content_split": content_split,
+    "w05_dedupe_contexts": dedupe_contexts, "w06_citation_ledger": citation_ledger, "w07_context_budget": context_budget, "j12_dense_knn": dense_knn, "j12_ivf_knn": ivf_knn, "u02_channel_union": channel_union, "t06_channel_topk_dense": channel_topk_dense, "a09_weighted_rrf_dense": weighted_rrf_dense, "p14_vector_validate": vector_validate, "p11_active_version_filter": active_version_filter, "p12_content_split": content_split,
     "x16_page_features": page_features, "x17_page_classify": page_classify, "w08_title_neighbors": title_neighbors, "w09_page_cap": page_cap, "a20_page_inventory": page_inventory, "x27_candidate_id": candidate_id, "x28_version_ids": version_ids, "p09_serialize_context": serialize_context,
     "s16_embedding_cache_lookup": embedding_cache_lookup, "s17_index_upsert": index_upsert, "j19_layer_identity": layer_identity, "j17_stale_versions": stale_versions, "a26_corpus_fingerprint": corpus_fingerprint, "j13_strict_hit_join": strict_hits, "w15_first_hit_rank": first_hit_rank,
     "a10_recall_mrr": recall_mrr, "a11_failure_stages": failure_stages, "a13_subset_metrics": subset_metrics, "a31_release_gate": release_gate, "a15_nearest_rank_percentile": percentile, "a16_reason_histogram": reason_histogram, "a17_token_cost": token_cost, "a25_load_summary": load_summary, "a27_dataset_profile": dataset_profile, "a30_fact_conflicts": fact_conflicts,
@@ -332,6 +348,11 @@ f AS (SELECT *, len(c) AS text_chars, len(regexp_replace(c, '[^0-9]', '', 'g'))
 k AS (SELECT *, len(title_hits) > 0 AS title, numeric_ratio >= 0.18 AND line_count >= 15 AND len(metric_hits) > 0 AND len(unit_hits) > 0 AS numeric_page, text_chars < 20 AS low_text FROM f),
 nb AS (SELECT *, max(title::INT) OVER (PARTITION BY doc ORDER BY page_number RANGE BETWEEN 3 PRECEDING AND 1 FOLLOWING) = 1 AS near_title FROM k)"""
 
+_DENSE = (
+    "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL), x AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, 1 - list_cosine_similarity(q.v, e.v) AS distance FROM e q JOIN e ON q.vec_id IN (SELECT item_id FROM benchmark)), "
+    f"dn AS (SELECT query_id, chunk_id, {_r('greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - distance))', 4)} AS vector_score, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM x QUALIFY rank <= 50)"
+)
+
 SQL = {
     "x01_term_index": f"WITH {_TERMS} SELECT chunk_id, count(*) AS n_terms, sum(len(term))::BIGINT AS n_chars FROM ct GROUP BY 1",
     "j11_lexical_join": f"WITH {_PAIRS} SELECT * FROM pairs",
@@ -344,13 +365,13 @@ SQL = {
     "w06_citation_ledger": f"WITH {_FUSED}, p AS (SELECT fused.*, sha256(text) AS content_sha256 FROM fused JOIN documents ON chunk_id = doc_id WHERE rank <= 100 QUALIFY row_number() OVER (PARTITION BY query_id, sha256(text) ORDER BY rank) = 1) SELECT query_id, chunk_id, 'C' || row_number() OVER (PARTITION BY query_id ORDER BY rank) AS citation_id, content_sha256 FROM p",
     "w07_context_budget": f"WITH {_FUSED}, p AS (SELECT fused.*, source, substr(text, 1, 6000) AS content FROM fused JOIN documents ON chunk_id = doc_id WHERE rank <= 100 QUALIFY row_number() OVER (PARTITION BY query_id, sha256(text) ORDER BY rank) = 1), n AS (SELECT *, 'C' || row_number() OVER (PARTITION BY query_id ORDER BY rank) AS citation_id FROM p), z AS (SELECT query_id, citation_id, (sum(len(content) + len(source) + len(citation_id) + 64) OVER (PARTITION BY query_id ORDER BY rank))::BIGINT AS running_size FROM n) SELECT * FROM z WHERE running_size <= 24000",
     "j12_dense_knn": f"WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL), x AS (SELECT q.vec_id AS query_id, e.vec_id, 1 - list_cosine_similarity(q.v, e.v) AS distance FROM e q JOIN e ON q.vec_id % 50 = 0) SELECT query_id, vec_id, {_r('greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - distance))', 4)} AS vector_score, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM x QUALIFY rank <= 10",
-    "u02_channel_union": f"WITH {_CHANNELS}, e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL), x AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, 1 - list_cosine_similarity(q.v, e.v) AS distance FROM e q JOIN e ON q.vec_id IN (SELECT item_id FROM benchmark)), "
-    f"dn AS (SELECT query_id, chunk_id, {_r('greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - distance))', 4)} AS vector_score, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM x QUALIFY rank <= 50) "
-    "SELECT query_id, chunk_id, dn.rank AS dense_rank, coalesce(vector_score, 0.0::DOUBLE) AS vector_score, lex.rank AS lexical_rank, coalesce(lex.lexical_score, 0.0::DOUBLE) AS lexical_score FROM dn FULL JOIN lex USING (query_id, chunk_id)",
+    "u02_channel_union": f"WITH {_CHANNELS}, {_DENSE} SELECT query_id, chunk_id, dn.rank AS dense_rank, coalesce(vector_score, 0.0::DOUBLE) AS vector_score, lex.rank AS lexical_rank, coalesce(lex.lexical_score, 0.0::DOUBLE) AS lexical_score FROM dn FULL JOIN lex USING (query_id, chunk_id)",
+    "t06_channel_topk_dense": f"WITH {_CHANNELS}, {_DENSE} SELECT query_id, chunk_id, vector_score AS score, rank, 'dense' AS channel FROM dn UNION ALL SELECT query_id, chunk_id, score, rank, 'lexical' FROM lex",
+    "a09_weighted_rrf_dense": f"WITH {_CHANNELS}, {_DENSE}, ch AS (SELECT query_id, chunk_id, rank, 0.6::DOUBLE / (60 + rank) AS part, 'dense' AS channel FROM dn UNION ALL SELECT query_id, chunk_id, rank, 0.4::DOUBLE / (60 + rank), 'lexical' FROM lex), f AS (SELECT query_id, chunk_id, round(sum(part), 9) AS rrf, min(rank) AS best_rank, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels FROM ch GROUP BY 1, 2) SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, best_rank, chunk_id) <= 100",
     "p14_vector_validate": "SELECT CASE WHEN embedding IS NULL THEN 'null' WHEN len(embedding) = 0 THEN 'empty' WHEN len(embedding) <> 64 THEN 'dimension' WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0 THEN 'not finite' ELSE 'none' END AS fault, count(*) AS n FROM embeddings GROUP BY 1",
     "p11_active_version_filter": "SELECT doc_id, 'v' || doc_id % 3 AS index_version FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 = 1",
     "p12_content_split": "SELECT CASE WHEN doc_id % 5 = 0 THEN 'table' ELSE 'text' END AS channel, count(*) AS n FROM documents GROUP BY 1",
-    "x16_page_features": f"WITH {_PG} SELECT doc, page_number, text_chars, digit_chars, numeric_ratio, line_count, array_to_string(title_hits, ',') AS title_hits, array_to_string(metric_hits, ',') AS metric_hits, array_to_string(unit_hits, ',') AS unit_hits, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?:^|[^0-9])((?:19|20)[0-9][0-9])(?:$|[^0-9])', 1))), ',') AS year_hits, low_text FROM k",
+    "x16_page_features": f"WITH {_PG} SELECT doc, page_number, text_chars, digit_chars, numeric_ratio, line_count, array_to_string(title_hits, ',') AS title_hits, array_to_string(metric_hits, ',') AS metric_hits, array_to_string(unit_hits, ',') AS unit_hits, array_to_string(list_filter({list(PERIODS)}, lambda t: contains(lower(text), t)), ',') AS period_hits, text_chars = 0 AS empty_text, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?:^|[^0-9])((?:19|20)[0-9][0-9])(?:$|[^0-9])', 1))), ',') AS year_hits, low_text FROM k",
     "x17_page_classify": f"WITH {_PG} SELECT doc, page_number, array_to_string(list_filter([CASE WHEN title THEN 'ecommerce_table_title' END, CASE WHEN numeric_page THEN 'numeric_ecommerce_page' END, CASE WHEN low_text THEN 'low_text' END], lambda x: x IS NOT NULL), ',') AS reasons FROM k",
     "w08_title_neighbors": f"WITH {_PG} SELECT doc, page_number, near_title FROM nb",
     "w09_page_cap": f"WITH {_PG} SELECT doc, page_number, row_number() OVER (PARTITION BY doc ORDER BY (NOT title)::INT, numeric_ratio DESC, page_number) AS position, position > 10 AS dropped_by_cap FROM nb WHERE near_title OR title OR numeric_page OR low_text",

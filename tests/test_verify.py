@@ -81,3 +81,11 @@ def test_lines_of_pages(spark):
 
     rows = spark.createDataFrame([("d", 1, "a\r\n\t\r\nb\n \n"), ("d", 2, None)], "doc string, page_number int, text string")
     assert [r.line_count for r in pages.page_features(rows, ("x",), ("y",), ("z",)).orderBy("page_number").collect()] == [2, 0]
+
+
+def test_periods_of_pages(spark):
+    from millrace.operators import pages
+
+    rows = spark.createDataFrame([("d", 1, "effective DATE: 3 May"), ("d", 2, "截至2024年"), ("d", 3, " \n"), ("d", 4, None)], "doc string, page_number int, text string")
+    got = pages.page_features(rows, (), (), ()).orderBy("page_number").collect()
+    assert [(r.period_hits, r.empty_text) for r in got] == [(["Date", "Effective"], False), (["截至"], False), ([], True), ([], True)]
