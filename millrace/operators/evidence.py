@@ -64,8 +64,8 @@ def identity_match(rows: DataFrame) -> DataFrame:
 
 
 def values_in(segment: Column, fact_type: Column) -> Column:
-    """Typed values of a segment; digits of codes and dates are none."""
-    plain = F.regexp_replace(F.regexp_replace(segment, asked.SKU, " "), r"(?<!\d)20\d{2}(?:[-/.年]\d{1,2}(?:[-/.月]\d{1,2}日?)?)?(?!\d)", " ")
+    """Typed values of a segment; digits of codes and dates are none, amounts that look like dates (USD 2011.05) are."""
+    plain = F.regexp_replace(F.regexp_replace(segment, asked.SKU, " "), asked.DATE, " ")
     tokens = F.transform(F.regexp_extract_all(plain, F.lit(VALUE_TOKEN), F.lit(0)), lambda x: F.trim(x))  # F.trim alone would take the index for what to trim
     return let(fact_type, lambda t: F.filter(F.transform(tokens, lambda x: typed_value(x, t)), lambda v: v.isNotNull()))
 

@@ -28,7 +28,11 @@ TABLES = {
 PLATFORMS = ("天猫", "淘宝", "京东", "拼多多", "抖音", "Amazon", "亚马逊", "eBay", "Shopee", "Lazada", "AliExpress", "速卖通")
 MARKETS = {"中国": ("中国", "中国大陆", "国内", "CN"), "美国": ("美国", "US", "USA"), "英国": ("英国", "UK"), "欧盟": ("欧盟", "EU"), "中国香港": ("中国香港", "香港", "HK"), "日本": ("日本", "JP"), "新加坡": ("新加坡", "SG")}
 SKU = r"(?i)(SKU\s*(?:编号|编码|ID)?\s*[:：#-]?\s*[A-Z0-9][A-Z0-9._-]{1,63})"
-DATE = r"(?<!\d)(20\d{2})(?:[-/.年](\d{1,2})(?:[-/.月](\d{1,2})日?)?)?(?!\d)"
+# an amount is no date: a year and a dot with what is no month behind it, or a bare year or year and month beside a currency or unit of its own
+_MONEY, _UNIT = r"(?i:HK\$|CNY|RMB|USD|HKD|人民币|美元|港币|[￥¥$])", r"(?:元(?!旦)|(?i:business\s+days?|hours?|days?)|个?工作日|小时|[%％])"
+_BARE = r"20\d{2}(?:\.\d{1,2})?(?!\d|[-/.月]\d)"
+_AMOUNT = rf"(?!20\d{{2}}\.(?!(?:0?[1-9]|1[0-2])(?!\d))\d)(?!(?<=(?<!\d\s?){_MONEY}\s{{0,2}}){_BARE}(?!年))(?!{_BARE}\s*(?:{_UNIT}|{_MONEY}(?!\s*[+-]?\d)))"
+DATE = rf"(?<!\d){_AMOUNT}(20\d{{2}})(?:[-/.年](\d{{1,2}})(?:[-/.月](\d{{1,2}})日?)?)?(?!\d)"
 NOISE = r"^(?:请问|请查询|查询|根据|截至|在|该|这个|这款)+|(?:的)?(?:价格|售价|单价|多少钱|库存数量|现货数量|配送时长|交付时长|配送时间|送达时间|物流时效|关税税率|关税率|进口税率)?(?:是多少|有多少|需要多久|多久|吗|呢)[？?]?$"
 PUNCTUATION = r"[，。？?：:；;（）()、]"
 METRICS = {

@@ -140,3 +140,8 @@ def test_legacy_scores_read_the_text(spark):
     assert [x.numeric_correct for x in r] == [True, False, True, False, True] and not r[2].unit_correct and r[0].citation_valid is None and r[2].verification_errors == ["unknown_citation:C7"]
     with pytest.raises(ValueError):
         scored(spark, cases, "other")
+
+
+def test_prices_that_look_like_dates_are_supported(spark):
+    cases = [("2005-09-21 SKU-A100价格是多少？", f"价格为{p} [C1]。", [bare(value_text=p, date="2005-09-21")], [f"2005-09-21 SKU-A100 的价格为USD {p}。"]) for p in ("2011.71", "2011.05", "2099.00")]
+    assert [(r.errors, r.verified_citation_ids) for r in checked(spark, cases)] == [([], ["C1"])] * 3
