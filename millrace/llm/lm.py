@@ -11,7 +11,7 @@ broadcast is a dictionary of at most `max_vocabulary` frequent words, a cache on
 other words are joined, and where any of them is over 1 (a word seen once has the lower-order probability
 of one not seen) they go with the text to where its occurrences are sent. A context that would
 fill a shard alone is split by its successors' hash; the kinds of its successors are counted
-before, so every split backs off as the whole context does. A pair of words that would fill a part of
+before (summed within tasks, packed by bucket), so every split backs off as the whole context does. A pair of words that would fill a part of
 a shard alone (at most four for each shard) is broadcast with its probability and scored where it stands.
 """
 
@@ -38,6 +38,7 @@ END = b""  # no word is empty
 STEP = 0.04  # of log10, between quantised levels
 DISCOUNT = 0.75
 _SPREAD = 0x9E3779B1  # odd: a bijection of 32 bits
+_HELD = 1 << 20  # pairs that a task holds before it sends them on
 
 
 def _train_column(modulus: int, held: int):
@@ -264,7 +265,7 @@ def _model(counts: DataFrame, shards: int, texts_n: int, most: int) -> dict:
         often[_hash(bytes(r["word"]))] += r["n"]
     hot = {k: min(math.ceil(x / share), 4 * shards) for k, x in often.items() if x > share}
     return {
-        "n": n, "v": v, "words": pa.array([w for w, _ in top], pa.binary()), "counts": c, "hash": h, "codes": codes, "rare": int(quantise(np.log10(np.array([1 / (n + 1)])))[0]), "tail": again > int((c > 1).sum()), "share": share,
+        "n": n, "v": v, "words": pa.array([w for w, _ in top], pa.binary()), "counts": c, "hash": h, "codes": codes, "rare": int(quantise(np.log10(np.array([1 / (n + 1)])))[0]), "tail": again > int((c > 1).sum()), "share": share, "hot_tokens": sum(often[k] for k in hot),
         "hot_keys": np.array(sorted(hot), np.uint64), "hot_splits": np.array([hot[k] for k in sorted(hot)], np.uint64),
     }
 
@@ -306,6 +307,30 @@ def _hot_places(hot: np.ndarray, ctx: np.ndarray):
     return places, at[places]
 
 
+def _summed(key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, ascending, with the sum of its times."""
+    order = np.argsort(key, kind="stable")  # runs in order are merged
+    key, times = key[order], times[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(times, first) if len(first) else times
+
+
+def _packed_pairs(key: np.ndarray, times: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row for each bucket: its keys, ascending, and their times."""
+    pack = zstandard.ZstdCompressor(level=1)
+    bucket = ((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    key, times, at = key[order], times[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+    full = np.flatnonzero(np.diff(at))
+    rows = [pack.compress(np.stack((key[lo:hi], times[lo:hi].astype(np.uint64))).view(np.uint8).reshape(-1, 8).T.tobytes()) for lo, hi in zip(at[full].tolist(), at[full + 1].tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "pairs"])
+
+
+def _unpacked_pairs(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1).T.copy().view(np.uint64).reshape(2, -1)
+    return both[0], both[1].astype(np.int64)
+
+
 def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, max_vocabulary: int = 300_000, tokens_per_shard: int = 1_000_000, chunk_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -328,25 +353,40 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, max_vocabulary
         uid = np.arange(row, row + len(part)) + (TaskContext.get().partitionId() << 32)
         return uid, np.array([xxhash.xxh3_64_intdigest(x) for x in part], np.uint64).view(np.int64)
 
-    # 0. the successors of hot contexts, each counted once
+    # 0. the successors of hot contexts, each counted once: summed in their task, packed by bucket, summed again by bucket
+    buckets = max(partitions(spark), math.ceil(model["hot_tokens"] / tokens_per_shard))
+
     def pairs(batches):
-        m = sent.value
+        m, held = sent.value, []
         for _, part in words.chunks(batches, 1, chunk_bytes):
             ctx, succ, _, _ = _bigrams(m, part, {})
             places, _ = _hot_places(m["hot_keys"], ctx)
-            key, times = np.unique((ctx[places] << np.uint64(32)) | succ[places], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(times, pa.int64())], ["pair", "n"])
+            held.append(np.unique((ctx[places] << np.uint64(32)) | succ[places], return_counts=True))
+            if sum(len(key) for key, _ in held) >= _HELD:
+                held = [_summed(*map(np.concatenate, zip(*held)))]
+                if len(held[0][0]) >= _HELD // 2:
+                    yield _packed_pairs(*held.pop(), buckets)
+        if held:
+            yield _packed_pairs(*_summed(*map(np.concatenate, zip(*held))), buckets)
+
+    def successors(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, times = _summed(*map(np.concatenate, zip(*map(_unpacked_pairs, pdf["pairs"]))))
+        ctx, first = np.unique(key >> np.uint64(32), return_index=True)
+        large = times > sent.value["share"]
+        rows = [np.concatenate((key[lo:hi][large[lo:hi]], times[lo:hi][large[lo:hi]].astype(np.uint64))).tobytes() for lo, hi in zip(first.tolist(), np.append(first[1:], len(key)).tolist())]
+        return pd.DataFrame({"ctx": ctx.astype(np.int64), "kinds": np.diff(np.append(first, len(key))), "n": np.add.reduceat(times, first), "large": rows})
 
     # whole contexts' totals, and the pairs that would fill a part of a shard alone: at most 4 * shards
     totals, hot_pairs = {}, []
     if len(model["hot_keys"]):
         splits = dict(zip(model["hot_keys"].tolist(), model["hot_splits"].tolist()))
-        seen_pairs = texts.where("train").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-        large = F.collect_list(F.when(F.col("n") > model["share"], F.struct("pair", "n")))
-        for r in seen_pairs.groupBy(F.shiftrightunsigned("pair", 32).alias("ctx")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), large.alias("large")).collect():
+        seen_pairs = texts.where("train").mapInArrow(pairs, "bucket int, pairs binary").groupBy("bucket").applyInPandas(successors, "ctx long, kinds long, n long, large binary")
+        for r in seen_pairs.groupBy("ctx").agg(F.sum("kinds").alias("kinds"), F.sum("n").alias("n"), F.collect_list(F.when(F.octet_length("large") > 0, F.col("large"))).alias("large")).collect():
             parts = splits[r["ctx"]]
             totals |= dict.fromkeys(_spread(_split_key(np.full(parts, r["ctx"], np.uint64), np.arange(parts))).tolist(), (r["n"], r["kinds"]))
-            hot_pairs += [(x["pair"] % (1 << 64), (x["n"] - DISCOUNT) / r["n"], DISCOUNT * r["kinds"] / r["n"]) for x in r["large"]]
+            for x in r["large"]:
+                key, times = np.frombuffer(x, np.uint64).reshape(2, -1).tolist()
+                hot_pairs += [(k, (t - DISCOUNT) / r["n"], DISCOUNT * r["kinds"] / r["n"]) for k, t in zip(key, times)]
     hot_pairs.sort()
     pair_key = np.array([x for x, _, _ in hot_pairs], np.uint64)
     pair_p, pair_back = (_LEVEL[quantise(np.log10(np.array([x[k] for x in hot_pairs], float)))] for k in (1, 2))

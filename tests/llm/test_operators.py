@@ -262,6 +262,24 @@ def test_lm_scores_are_those_of_interpolated_bigrams(docs):
         assert collections.Counter((r.doc_id, round(r.score, 5)) for r in lm.score_texts(docs, tokens_per_shard=n_tokens).collect()) == want
 
 
+def test_successor_pairs_go_in_one_row_a_bucket(docs, monkeypatch):
+    """However many pairs a task sees, it sends a row for each bucket; sums are exact, also when it sends more than once."""
+    r = np.random.default_rng(5)
+    key, times = (r.integers(0, 40, 90_000).astype(np.uint64) << np.uint64(32)) | r.integers(0, 900, 90_000).astype(np.uint64), r.integers(1, 9, 90_000)
+    packed = lm._packed_pairs(*lm._summed(key, times), 7)
+    got = [lm._unpacked_pairs(x) for x in packed.column(1).to_pylist()]
+    want = collections.Counter()
+    for k, n in zip(key.tolist(), times.tolist()):
+        want[k] += n
+    assert packed.num_rows == 7 and len(np.concatenate([k for k, _ in got])) == len(want) and {a: b for k, n in got for a, b in zip(k.tolist(), n.tolist())} == want
+    assert lm._packed_pairs(*lm._summed(key[:0], times[:0]), 7).num_rows == 0
+    scores = []
+    for held in (1 << 20, 50):
+        monkeypatch.setattr(lm, "_HELD", held)
+        scores.append(sorted((r.doc_id, round(r.score, 6)) for r in lm.score_texts(docs, tokens_per_shard=300, chunk_bytes=2000).collect()))
+    assert scores[0] == scores[1]
+
+
 def test_elias_fano_and_trie():
     r = np.random.default_rng(3)
     v = np.sort(r.choice(1 << 22, 150_000, replace=False).astype(np.uint64))
