@@ -270,12 +270,16 @@ def _whole(column) -> pa.Array:
     return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
 
-def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_units: int = 400_000, max_fold: int = MAX_FOLD, part_bytes: int = 1 << 20) -> DataFrame:
+CODED = "doc_id long, text_bytes long, ids array<int>"
+
+
+def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_units: int = 400_000, max_fold: int = MAX_FOLD, part_bytes: int = 1 << 20, after=None, schema: str = CODED) -> DataFrame:
     """doc_id, text_bytes and ids of every row.
 
     ids is what the model's own encoder gives for the text. A null or empty text has no ids.
     Repeated rows are encoded each for itself; other columns are not read. A row is known by a hash of its
-    doc_id and text, so the order in which docs gives its rows does not matter.
+    doc_id and text, so the order in which docs gives its rows does not matter. after takes the batches of these columns
+    where they are made, in the same Python worker, and gives those of schema.
     """
     if not 2 <= max_fold <= MAX_FOLD:
         raise ValueError(f"need 2 <= max_fold <= {MAX_FOLD}: cuts are the bits of a long")
@@ -336,7 +340,8 @@ def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_unit
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, texts)), pa.int64()), lists], ["doc_id", "text_bytes", "ids"])
 
     texts = source.mapInArrow(number, "k1 long, k2 long, doc_id long, z binary").repartition(parts, "k1", "k2")
-    return texts.join(rest, ["k1", "k2"], "left").select("doc_id", "z", "more").mapInArrow(assemble, "doc_id long, text_bytes long, ids array<int>")
+    last = assemble if after is None else lambda batches: after(assemble(batches))
+    return texts.join(rest, ["k1", "k2"], "left").select("doc_id", "z", "more").mapInArrow(last, schema)
 
 
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
@@ -344,15 +349,16 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)))), np.asarray(pc.list_flatten(column))
 
 
-def decode(coded: DataFrame, path: str | None = None, together: int = 1 << 19) -> DataFrame:
-    """doc_id, ids and text of rows with ids; control ids give nothing, broken bytes the replacement character."""
+def decoder(path: str | None = None, together: int = 1 << 19):
+    """Batches with doc_id and ids to batches of doc_id, ids and text; control ids give nothing, broken bytes the replacement character."""
     raw = vocabulary(path or default_model())["raw"]
 
     def run(batches):
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         starts, pool = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(raw), np.uint8)
         for b in batches:
-            (at, ids), texts, lo = _lists(b.column(1)), [], 0
+            listed = b.column("ids")
+            (at, ids), texts, lo = _lists(listed), [], 0
             while lo < b.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(at, at[lo] + together, "right")) - 1)
                 own = ids[at[lo] : at[hi]]
@@ -365,9 +371,14 @@ def decode(coded: DataFrame, path: str | None = None, together: int = 1 << 19) -
                     x = joined[f:t].decode(errors="replace")
                     texts.append(x[1:] if x.startswith(" ") else x)
                 lo = hi
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), listed, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return run
+
+
+def decode(coded: DataFrame, path: str | None = None, together: int = 1 << 19) -> DataFrame:
+    """doc_id, ids and text of rows with ids, by decoder."""
+    return coded.select("doc_id", "ids").mapInArrow(decoder(path, together), "doc_id long, ids array<int>, text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -380,5 +391,6 @@ def query(spark, sf_dir: str) -> DataFrame:
             ids = ids.astype("<u4")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), pa.array([zlib.crc32(ids[f:t]) for f, t in zip(at[:-1].tolist(), at[1:].tolist())], pa.int64()), b.column(2)], ["doc_id", "n_pieces", "ids_crc32", "text"])
 
-    got = decode(encode(documents(spark, sf_dir))).mapInArrow(digest, "doc_id long, n_pieces long, ids_crc32 long, text string")
+    read = decoder()
+    got = encode(documents(spark, sf_dir), after=lambda batches: digest(read(batches)), schema="doc_id long, n_pieces long, ids_crc32 long, text string")
     return got.select("doc_id", "n_pieces", "ids_crc32", F.octet_length("text").cast("long").alias("decoded_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))

@@ -447,6 +447,15 @@ def test_pieces(docs, empty, spark):
     assert pieces.encode(empty).count() == 0
 
 
+def test_pieces_are_decoded_in_the_worker_that_makes_them(spark):
+    """op10 passed three Python workers a task at its end, whose memory added up."""
+    df = spark.createDataFrame([(1, "Hello  wörld 🙂\nagain"), (2, None), (None, "x" * 70 + " a b"), (1, "Hello  wörld 🙂\nagain")], "doc_id long, text string")
+    got = pieces.encode(df, after=pieces.decoder(), schema="doc_id long, ids array<int>, text string")
+    assert sorted(map(str, got.collect())) == sorted(map(str, pieces.decode(pieces.encode(df)).collect())) and {(r.doc_id, r.text) for r in got.collect()} == {(i, t or "") for i, t in df.collect()}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Exchange")[0].count("MapInArrow") == 1
+
+
 def test_pieces_of_long_units(spark):
     import sentencepiece
 
