@@ -5,7 +5,11 @@ or line end). A unit's substrings of bounded length are exploded
 and equi-joined to the piece table, the edges found are grouped by unit, and a fold over the
 lattice with the SQL function aggregate picks the pieces. For a unigram model the fold is
 Viterbi. The scores of a BPE model are merge ranks, on which Viterbi gives other pieces than
-the model's; there the fold merges, step by step, the adjacent pair with the best-scored edge.
+the model's; there the fold merges the adjacent pairs by the scores of their edges. A piece is
+made of one pair only; where every piece ranks behind the two it is made of, one pass over the
+edges by rank is the fold, and units with a piece that doesn't are merged step by step.
+Under a BPE model units are cut once more, into parts: between two characters where no pair
+meets that makes a piece, no merge can reach over. What follows holds for parts as for units.
 Frequent units (at most `max_units`) are encoded once and reach the texts by broadcast. The others
 are encoded per document: dealt by document first, so that edges and pieces are grouped where they are made
 and only the units and the compressed texts are shuffled. The cuts of a unit are the bits of a long, so units
@@ -71,42 +75,89 @@ def units(text: str) -> list[str]:
     return UNIT.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
 
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    rows = [(piece, i, float(score)) for piece, (i, score) in vocabulary(path)["pieces"].items()]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+def _made_of(piece: str, pieces: dict) -> list[str]:
+    """The symbols, two at most, that the merges of a BPE model leave of a piece before the last one; more if they never make it.
+
+    Where a piece is made inside a text, the same merges have gone before it, so it is made of no other pair."""
+    got = list(piece)
+    while len(got) > 2:
+        ranks = [(-pieces[x][1], a) for a in range(len(got) - 1) if (x := got[a] + got[a + 1]) in pieces]
+        if not ranks:
+            break
+        a = min(ranks)[1]
+        got[a : a + 2] = [got[a] + got[a + 1]]
+    return got
+
+
+@cache
+def merges(path: str) -> tuple[set[str], set[str]]:
+    """Of a BPE model the late pieces, which don't rank behind both symbols they are made of, and the pairs of characters that meet where a piece is made."""
+    pieces = vocabulary(path)["pieces"]
+    made = {p: m for p in pieces if len(m := _made_of(p, pieces)) == 2}
+    late = {p for p, m in made.items() if any(len(x) > 1 and pieces[x][1] <= pieces[p][1] for x in m)}
+    return late, {a[-1] + b[0] for a, b in made.values()}
+
+
+class _Joins:
+    """Pairs of characters between which a unit is not cut, by the classes of both; class 0 joins with none."""
+
+    def __init__(self, pairs: set[str]):
+        chars = sorted({c for p in pairs for c in p})
+        self.classes, self.open = np.zeros(0x110000, np.uint16), np.zeros((len(chars) + 1,) * 2, bool)
+        self.classes[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.classes[ord(" ")] = self.classes[ord(BLANK)]
+        for a, b in pairs:
+            self.open[self.classes[ord(a)], self.classes[ord(b)]] = True
+
+
+def piece_table(spark: SparkSession, path: str, kind: str = "bpe") -> DataFrame:
+    late = merges(path)[0] if kind == "bpe" else ()
+    rows = [(piece, i, float(score), piece in late) for piece, (i, score) in vocabulary(path)["pieces"].items()]
+    return spark.createDataFrame(rows, "piece string, id int, score double, late boolean")
 
 
 def _lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """words(unit, ...) with n (characters) and edges: (rank, s, e, id), the best-scored first, then the leftmost.
+    """words(unit, ...) with n (characters), edges: (rank, s, e, id, ends, inner), the best-scored first, then the leftmost,
+    and late: whether one of them is a late piece. ends and inner are the cuts at the ends of an edge and between them, as bits.
 
     The pieces are few and broadcast, so units stay where they are: a partitioning of words by
     any of its columns holds through the grouping, and edges are not shuffled.
     """
     keys, n = words.columns, F.length("unit")
+    table = table if "late" in table.columns else table.withColumn("late", F.lit(False))
     starts = words.select(*keys, n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = starts.select(*keys, "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, "n"))).alias("e"))
+    spans = starts.select(*keys, "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, "n"))).alias("e"))
     spans = spans.withColumn("piece", F.expr("substring(unit, s + 1, e - s)"))
-    # one row of each unit stays even where no piece fits
-    hits = spans.join(F.broadcast(table), "piece", "left").where("id is not null or (s = 0 and e = 1)").select(*keys, "n", F.struct((-F.col("score")).alias("rank"), "s", "e", "id").alias("x"))
-    return hits.groupBy(*keys, "n").agg(F.collect_list("x").alias("xs")).select(*keys, "n", F.array_sort(F.filter("xs", lambda x: x["id"].isNotNull())).alias("edges"))
+    # one row of each unit stays even where no piece fits; collect_list leaves its null out
+    hits = spans.join(F.broadcast(table), "piece", "left").where("id is not null or (s = 0 and e = 1)")
+    edge = F.struct((-F.col("score")).alias("rank"), "s", "e", "id", (_bit(F.col("s")) + _bit(F.col("e"))).alias("ends"), (_bit(F.col("e")) - _bit(F.col("s") + 1)).alias("inner"))
+    grouped = hits.select(*keys, "late", F.when(F.col("id").isNotNull(), edge).alias("x")).groupBy(*keys).agg(F.collect_list("x").alias("xs"), F.coalesce(F.bool_or("late"), F.lit(False)).alias("late"))
+    return grouped.select(*keys, F.length("unit").alias("n"), F.sort_array("xs").alias("edges"), "late")
 
 
 def _bit(i):
     return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
-def _merge_fold(edges, n):
-    """Cuts that stay of a unit under a BPE model, as bits 0 to n: n - 1 steps, each merging the best pair of neighbours, leftmost first.
+def _is_pair(cuts, x):
+    """An edge is a pair of neighbours if its ends are cuts and one cut lies between."""
+    return (F.bit_count(cuts.bitwiseAND(x["inner"])) == 1) & (cuts.bitwiseAND(x["ends"]) == x["ends"])
+
+
+def _merge_pass(edges, n):
+    """Cuts that stay of a unit under a BPE model, as bits 0 to n, if none of its pieces is late: a merge opens only pairs that
+    rank behind it, so merges come in the order of the edges, and each edge is looked at once."""
+    return F.aggregate(edges, _bit(n + 1) - 1, lambda c, x: F.when(_is_pair(c, x), c - c.bitwiseAND(x["inner"])).otherwise(c))
 
-    An edge is a pair of neighbours if its ends are cuts and one cut lies between."""
-    multi = F.transform(F.filter(edges, lambda x: x["e"] - x["s"] > 1), lambda x: F.struct((_bit(x["s"]) + _bit(x["e"])).alias("ends"), (_bit(x["e"]) - _bit(x["s"] + 1)).alias("inner")))
+
+def _merge_fold(edges, n):
+    """The same for any pieces: n - 1 steps, each merging the best pair of neighbours, leftmost first."""
 
     def step(state, _):
-        pair = lambda x: (state["c"].bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(state["c"].bitwiseAND(x["inner"])) == 1)
-        first = F.get(F.filter(state["x"], pair), F.lit(0))["inner"]
+        first = F.get(F.filter(state["x"], lambda x: _is_pair(state["c"], x)), F.lit(0))["inner"]
         return F.struct(state["c"].bitwiseAND(F.coalesce(F.bitwise_not(first), F.lit(-1).cast("long"))).alias("c"), state["x"].alias("x"))
 
-    start = F.struct((_bit(n + 1) - 1).alias("c"), multi.alias("x"))
+    start = F.struct((_bit(n + 1) - 1).alias("c"), F.filter(edges, lambda x: x["inner"] != 0).alias("x"))
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, lambda s: s["c"])
 
 
@@ -130,21 +181,19 @@ def _viterbi_fold(edges, n, longest: int, unknown_score: float):
 def encode_units(words: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
     """words(unit, ...) with ids (array<int>). Characters outside the vocabulary fall back to their bytes."""
     v = vocabulary(path)
-    whole = _lattice(words, piece_table(words.sparkSession, path), v["longest"])
-    worst = _worst(v)
-    cuts = _merge_fold(F.col("edges"), F.col("n")) if kind == "bpe" else _viterbi_fold(F.col("edges"), F.col("n"), v["longest"], worst)
+    whole = _lattice(words, piece_table(words.sparkSession, path, kind), v["longest"])
+    worst, given = _worst(v), (F.col("edges"), F.col("n"))
+    cuts = F.when(F.col("late"), _merge_fold(*given)).otherwise(_merge_pass(*given)) if kind == "bpe" else _viterbi_fold(*given, v["longest"], worst)
     whole = whole.withColumn("cuts", cuts)
-    is_cut = lambda i: F.getbit("cuts", i) == 1
-    inner = lambda x: F.col("cuts").bitwiseAND(_bit(x["e"]) - _bit(x["s"] + 1))
     # the edges between neighbouring cuts, by their place
-    used = F.array_sort(F.transform(F.filter("edges", lambda x: is_cut(x["s"]) & is_cut(x["e"]) & (inner(x) == 0)), lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))))
+    used = F.sort_array(F.transform(F.filter("edges", lambda x: F.col("cuts").bitwiseAND(x["ends"].bitwiseOR(x["inner"])) == x["ends"]), lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))))
     byte_ids = F.array(*map(F.lit, v["bytes"]))
 
     def in_bytes(i):  # a character that is no piece
         hexed = F.hex(F.encode(F.substr("unit", i + 1, F.lit(1)), "UTF-8"))
         return F.transform(F.sequence(F.lit(0), F.shiftright(F.length(hexed), 1) - 1), lambda j: F.get(byte_ids, F.conv(F.substr(hexed, (j * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
 
-    at = F.filter(F.sequence(F.lit(0), F.col("n") - 1), is_cut)
+    at = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.getbit("cuts", i) == 1)
     known = lambda i: F.get(F.filter("used", lambda x: x["s"] == i), F.lit(0))["id"]
     by_place = F.flatten(F.transform(at, lambda i: F.when(known(i).isNotNull(), F.array(known(i))).otherwise(in_bytes(i))))
     whole = whole.withColumn("used", used)
@@ -229,19 +278,37 @@ def split_units(texts: list[bytes]) -> Words:
     return Words(buf, at, None, np.searchsorted(at, begins))
 
 
+def split_parts(terms: pa.Array, joins: _Joins | None) -> Words:
+    """Parts of units, cut between two characters that never join; a unit is one part if joins is None."""
+    sizes = np.asarray(pc.binary_length(terms)).astype(np.int64)
+    begins, buf = np.cumsum(sizes) - sizes, np.zeros(0, np.uint8)
+    if len(terms):
+        at = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset :]
+        buf = np.frombuffer(terms.buffers()[2], np.uint8)[at[0] : at[len(terms)]]
+    start = np.zeros(len(buf), bool)
+    start[begins] = True
+    if joins is not None and len(buf):
+        kinds = joins.classes[np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)]
+        start[np.flatnonzero((buf & 0xC0) != 0x80)[1:]] |= ~joins.open.ravel()[kinds[:-1].astype(np.int64) * len(joins.open) + kinds[1:]]
+    at = np.flatnonzero(start)
+    return Words(buf, at, None, np.searchsorted(at, begins))
+
+
 def _named(terms: pa.Array) -> pa.Array:
     """Units as the model writes them."""
     return pc.replace_substring(terms.cast(pa.string()), " ", BLANK)
 
 
-def frequent_units(docs: DataFrame, most: int, least_here: int = 2, max_fold: int = MAX_FOLD) -> DataFrame:
-    """At most `most` units that are worth a place in the dictionary. Which they are changes the cost and no result,
+def frequent_units(docs: DataFrame, most: int, least_here: int = 2, max_fold: int = MAX_FOLD, joins=None) -> DataFrame:
+    """At most `most` units, or parts of them if joins is a broadcast _Joins, that are worth a place in the dictionary. Which they are changes the cost and no result,
     so units that a chunk of texts has less than least_here times are not counted."""
 
     def run(batches):
         for _, part in chunks(batches, 0, CHUNK):
             w = split_units(part)
-            n, named = np.bincount(w.codes, minlength=len(w.terms)), _named(w.terms)
+            p = split_parts(w.terms, joins and joins.value)
+            n = np.bincount(p.codes, np.repeat(np.bincount(w.codes, minlength=len(w.terms)), p.sizes), len(p.terms)).astype(np.int64)
+            named = _named(p.terms)
             keep = pa.array((n >= least_here) & (np.asarray(pc.utf8_length(named)) <= max_fold))
             yield pa.RecordBatch.from_arrays([named.filter(keep), pa.array(n).filter(keep)], ["unit", "n"])
 
@@ -285,7 +352,8 @@ def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_unit
         raise ValueError(f"need 2 <= max_fold <= {MAX_FOLD}: cuts are the bits of a long")
     path = path or default_model()
     spark = docs.sparkSession
-    frequent = encode_units(frequent_units(docs, max_units, max_fold=max_fold).repartition(max(1, max_units // 10_000), "unit"), path, kind).toArrow()
+    joins = spark.sparkContext.broadcast(_Joins(merges(path)[1]) if kind == "bpe" else None)
+    frequent = encode_units(frequent_units(docs, max_units, max_fold=max_fold, joins=joins).repartition(max(1, max_units // 10_000), "unit"), path, kind).toArrow()
     sent = spark.sparkContext.broadcast(_Dictionary(_whole(frequent["unit"]), _whole(frequent["ids"])))
     v = vocabulary(path)
     model = spark.sparkContext.broadcast({k: v[k] for k in ("pieces", "bytes", "longest")} | {"worst": _worst(v)})
@@ -301,10 +369,13 @@ def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_unit
         table = sent.value
         for b, texts in chunks(batches, 1, CHUNK):
             w = split_units(texts)
-            named = _named(w.terms)
-            new = (table.find(named) < 0) & (np.asarray(pc.utf8_length(named)) <= max_fold)
-            at = np.flatnonzero(new[w.codes])
-            pair = np.unique((np.repeat(np.arange(len(texts)), w.sizes)[at] << 32) | w.codes[at])
+            p = split_parts(w.terms, joins.value)
+            named = _named(p.terms)
+            new = ((table.find(named) < 0) & (np.asarray(pc.utf8_length(named)) <= max_fold))[p.codes]
+            # new parts of each unit, all in a row
+            n = np.bincount(np.repeat(np.arange(len(w.terms)), p.sizes)[new], minlength=len(w.terms))
+            codes, ends = w.spread(np.cumsum(n) - n, n, p.codes[new].astype(np.int64))
+            pair = np.unique((np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0)) << 32) | codes)
             keys = row_keys(b, texts)[pair >> 32]
             yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), named.take(pa.array(pair & 0xFFFFFFFF))], ["k1", "k2", "unit"])
 
@@ -322,7 +393,8 @@ def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_unit
         for b, packed in chunks(batches, 1, CHUNK // 2):
             texts = [unpack.decompress(z) for z in packed]
             w = split_units(texts)
-            named = _named(w.terms)
+            p = split_parts(w.terms, joins.value)
+            named = _named(p.terms)
             at = table.find(named)
             more = pc.list_flatten(b.column(2))
             own = _Dictionary(pc.struct_field(more, "unit"), pc.struct_field(more, "ids"))
@@ -335,7 +407,9 @@ def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe", max_unit
                 hit = place >= 0
                 starts[hit], sizes[hit] = base + d.starts[place[hit]], d.sizes[place[hit]]
             starts[lost], sizes[lost] = len(table.pool) + len(own.pool) + added.starts, added.sizes
-            ids, ends = w.spread(starts, sizes, np.concatenate((table.pool, own.pool, added.pool)))
+            ids, ends = p.spread(starts, sizes, np.concatenate((table.pool, own.pool, added.pool)))
+            sizes = np.diff(ends, prepend=0)
+            ids, ends = w.spread(ends - sizes, sizes, ids)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, texts)), pa.int64()), lists], ["doc_id", "text_bytes", "ids"])
 

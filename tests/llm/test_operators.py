@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -492,6 +493,35 @@ def test_units_of_bytes():
             at += n
 
 
+def test_parts_merge_as_their_unit():
+    """op10 took every unit into the lattice whole, so a word with each mark behind it was a new one."""
+    path = pieces.default_model()
+    found, joins, r = pieces.vocabulary(path)["pieces"], pieces._Joins(pieces.merges(path)[1]), random.Random(5)
+    words = ["".join(r.choices(["the", "tion", "Er", "é", "ßen", "ll", "$$$", "**", ",", "=", "漢", "字の", "🙂", "x", "9", "%"], k=r.randint(1, 6))) for _ in range(3000)]
+    units = [pieces.BLANK * r.randint(0, 3) + w for w in words] + ["\n", pieces.BLANK * 9]
+    p = pieces.split_parts(pa.array([u.replace(pieces.BLANK, " ").encode() for u in units], pa.binary()), joins)
+    named, at = pieces._named(p.terms).to_pylist(), 0
+    for u, n in zip(units, p.sizes.tolist()):
+        parts = [named[c] for c in p.codes[at : at + n]]
+        assert "".join(parts) == u and [x for q in parts for x in pieces._merged(q, found)] == pieces._merged(u, found)
+        at += n
+    assert len(named) < 0.8 * len(set(units))
+    assert pieces.split_parts(pa.array([], pa.binary()), joins).sizes.tolist() == [] and pieces.split_parts(pa.array([b"a$", b"b"]), None).sizes.tolist() == [1, 1]
+
+
+def test_one_pass_over_the_edges_is_the_fold(spark):
+    path, r = pieces.default_model(), random.Random(6)
+    found, late = pieces.vocabulary(path)["pieces"], pieces.merges(path)[0]
+    units = sorted({pieces.BLANK * r.choice([0, 1, 1, 4]) + "".join(r.choices(["the", "er", "in", "a", "aaa", "Str", "é", "tion", "s"], k=r.randint(1, 5))) for _ in range(300)})
+    lat = pieces._lattice(spark.createDataFrame([(u,) for u in units], "unit string").repartition(2), pieces.piece_table(spark, path), 16)
+    both = lat.select("unit", "late", pieces._merge_fold(F.col("edges"), F.col("n")).alias("fold"), pieces._merge_pass(F.col("edges"), F.col("n")).alias("once")).collect()
+    assert len(both) == len(units) and {x.late for x in both} == {True, False}
+    for x in both:
+        ends = np.cumsum([0, *map(len, pieces._merged(x.unit, found))])
+        assert x.fold == sum(1 << int(e) for e in ends) and (x.late or x.once == x.fold)
+        assert x.late == any(x.unit[a:b] in late for a in range(len(x.unit)) for b in range(a + 1, len(x.unit) + 1))
+
+
 def test_viterbi_fold(spark):
     words = spark.createDataFrame([("abc",), ("ab",), ("zab",)], "unit string")
     table = spark.createDataFrame([("a", 1, -1.0), ("b", 2, -1.0), ("c", 3, -1.0), ("ab", 4, -1.5), ("bc", 5, -0.2)], "piece string, id int, score double")
