@@ -32,7 +32,9 @@ SKU = r"(?i)(SKU\s*(?:编号|编码|ID)?\s*[:：#-]?\s*[A-Z0-9][A-Z0-9._-]{1,63}
 _MONEY, _UNIT = r"(?i:HK\$|CNY|RMB|USD|HKD|人民币|美元|港币|[￥¥$])", r"(?:元(?!旦)|(?i:business\s+days?|hours?|days?)|个?工作日|小时|[%％])"
 _BARE = r"20\d{2}(?:\.\d{1,2})?(?!\d|[-/.月]\d)"
 _AMOUNT = rf"(?!20\d{{2}}\.(?!(?:0?[1-9]|1[0-2])(?!\d))\d)(?!(?<=(?<!\d\s?){_MONEY}\s{{0,2}}){_BARE}(?!年))(?!{_BARE}\s*(?:{_UNIT}|{_MONEY}(?!\s*[+-]?\d)))"
-DATE = rf"(?<!\d){_AMOUNT}(20\d{{2}})(?:[-/.年](\d{{1,2}})(?:[-/.月](\d{{1,2}})日?)?)?(?!\d)"
+# digits of a code that goes on with a letter are no year: SKU-2045X
+_CODE = r"(?!(?<=(?i:SKU)\s{0,2}(?:编号|编码|(?i:ID))?\s{0,2}[:：#-]?\s{0,2})20\d{2}[A-Za-z_])"
+DATE = rf"(?<!\d){_AMOUNT}{_CODE}(20\d{{2}})(?:[-/.年](\d{{1,2}})(?:[-/.月](\d{{1,2}})日?)?)?(?!\d)"
 NOISE = r"^(?:请问|请查询|查询|根据|截至|在|该|这个|这款)+|(?:的)?(?:价格|售价|单价|多少钱|库存数量|现货数量|配送时长|交付时长|配送时间|送达时间|物流时效|关税税率|关税率|进口税率)?(?:是多少|有多少|需要多久|多久|吗|呢)[？?]?$"
 PUNCTUATION = r"[，。？?：:；;（）()、]"
 METRICS = {
