@@ -47,9 +47,7 @@ def _pairs(s, d):
 
 
 def _channels(s, d):
-    q = _queries(s, d)
-    index = lexical.build(_chunks(s, d), shared_folder(s, "terms"), q)
-    return {"lexical": lexical.search(q, index, 50), "overlap": lexical.search(q, index, 30, lexical.OVERLAP)}
+    return lexical.best(_queries(s, d), _chunks(s, d), shared_folder(s, "best"), {"lexical": (lexical.LEXICAL, 50), "overlap": (lexical.OVERLAP, 30)})
 
 
 _TERMS = """qt AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_.%-]+'), lambda t: len(t) >= 2)) AS term FROM benchmark WHERE item_id IS NOT NULL),
@@ -132,8 +130,8 @@ def _dense_and_lexical(s, d):
     q = _queries(s, d)
     near = retrieval.dense_knn(v.join(q, v.vec_id == q.query_id, "left_semi").withColumnRenamed("vec_id", "query_id"), v, 50)
     dense = near.select("query_id", F.col("vec_id").alias("chunk_id"), "rank", retrieval.vector_score(F.col("distance")).alias("vector_score"))
-    words = lexical.search(q, lexical.build(_chunks(s, d), shared_folder(s, "terms"), q), 50).withColumnRenamed("score", "lexical_score")
-    return dense, words
+    words = lexical.best(q, _chunks(s, d), shared_folder(s, "best"), {"lexical": (lexical.LEXICAL, 50)})
+    return dense, words["lexical"].withColumnRenamed("score", "lexical_score")
 
 
 def channel_union(s, d):
