@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .retrieval import top_by
 from .verify import strict_value_match, typed_value, values_equal
 
 # Scale words of amounts, in units.
@@ -15,14 +15,19 @@ SCALES = (("亿元", "100000000"), ("万元", "10000"), ("百万", "1000000"), (
 def catalog_answer_join(requests: DataFrame, products: DataFrame, most: int = 5) -> DataFrame:
     """requests(request_id, shop_id, category, max_price, power_w, in_stock_only) with the shop's cheapest fitting products.
 
-    An equi-join on the shop with the other filters as a residual; absent filters let all pass.
+    Absent filters let all pass. Products come in order of price, so the price only cuts their list off: the `most` cheapest of each shop
+    and kind asked for (category, power and stock, each given or any) are found first, and requests meet these alone, by equal keys.
     """
-    p = products.where("is_active").select(F.col("shop_id").alias("p_shop"), "id", "sku", "name", F.col("category").alias("p_category"), "price", "stock", F.get_json_object("specifications", "$.power_w").cast("int").alias("watts"))
-    either = lambda wanted, ok: F.col(wanted).isNull() | ok
-    fits = either("category", F.lower("category") == F.lower("p_category")) & either("max_price", F.col("price") <= F.col("max_price")) & either("power_w", F.col("watts") == F.col("power_w")) & (~F.col("in_stock_only") | (F.col("stock") > 0))
-    rows = requests.join(p, (F.col("shop_id") == F.col("p_shop")) & fits)
-    w = Window.partitionBy("request_id").orderBy("price", "id")
-    return rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= most).drop("p_shop", "p_category")
+    given = [F.col("category").isNotNull(), F.col("power_w").isNotNull(), F.coalesce("in_stock_only", F.lit(True))]
+    kinds = requests.select(*[g.alias(n) for g, n in zip(given, ("__c", "__w", "__s"))]).distinct()  # 8 rows at most
+    p = products.where("is_active").select(F.col("shop_id").alias("p_shop"), "id", "sku", "name", F.lower("category").alias("p_category"), "price", "stock", F.get_json_object("specifications", "$.power_w").cast("int").alias("watts"))
+    fits = (~F.col("__c") | F.col("p_category").isNotNull()) & (~F.col("__w") | F.col("watts").isNotNull()) & (~F.col("__s") | (F.col("stock") > 0))
+    p = p.join(F.broadcast(kinds), fits).withColumns({"p_category": F.when(F.col("__c"), F.col("p_category")), "p_watts": F.when(F.col("__w"), F.col("watts"))})
+    # a price that is not known comes first, but not under a highest price
+    first = top_by(p, ["p_shop", "p_category", "p_watts", "__s", F.col("price").isNull()], [F.col("price"), F.col("id")], most, "__n").drop("__n", "__c", "__w")
+    same = (F.col("shop_id") == F.col("p_shop")) & F.lower("category").eqNullSafe(F.col("p_category")) & F.col("power_w").eqNullSafe(F.col("p_watts")) & (given[2] == F.col("__s"))
+    rows = requests.join(first, same).where(F.col("max_price").isNull() | (F.col("price") <= F.col("max_price")))
+    return top_by(rows, ["request_id"], [F.col("price"), F.col("id")], most, "position").drop("p_shop", "p_category", "p_watts", "__s")
 
 
 def render_catalog(requests: DataFrame, answers: DataFrame) -> DataFrame:
