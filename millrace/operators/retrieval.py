@@ -92,9 +92,10 @@ def collapse(rows: DataFrame, provenance: Column, k: int) -> DataFrame:
 
 def citation_ledger(rows: DataFrame, identity: Column) -> DataFrame:
     """Distinct identities of a query numbered C1, C2, ... in rank order, with the hash of their content."""
-    first = top_by(rows.withColumn("__i", identity), ["query_id", "__i"], [F.col("rank")], 1, "__n").drop("__n", "__i")
+    hashed = rows.withColumn("__i", identity).withColumn("content_sha256", F.sha2("content", 256))  # so that contents no one asks for are not shuffled
+    first = top_by(hashed, ["query_id", "__i"], [F.col("rank")], 1, "__n").drop("__n", "__i")
     w = Window.partitionBy("query_id").orderBy("rank")
-    return first.withColumn("citation_id", F.concat(F.lit("C"), F.row_number().over(w))).withColumn("content_sha256", F.sha2("content", 256))
+    return first.withColumn("citation_id", F.concat(F.lit("C"), F.row_number().over(w)))
 
 
 def context_budget(ledger: DataFrame, item_chars: int = 6000, total_chars: int = 24000) -> DataFrame:
