@@ -140,9 +140,10 @@ def table_index(s, d):
 
 def nearest_context(s, d):
     """The nearest text block before and after each table block (every fifth document) of a source, cut to 200 characters."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    text = F.when(F.col("doc_id") % 5 != 0, F.substring("text", 1, 200))
-    rows = table(s, d, "documents").withColumn("before", F.last(text, True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.first(text, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    # what comes after is what comes before in the other order: a frame that shrinks from row to row would be read anew for each
+    w = lambda order: Window.partitionBy("source").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = table(s, d, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 5 != 0, F.substring("text", 1, 200)).alias("t"))
+    rows = rows.withColumn("before", F.last("t", True).over(w(F.col("doc_id")))).withColumn("after", F.last("t", True).over(w(F.desc("doc_id"))))
     return rows.where("doc_id % 5 = 0").select("doc_id", F.sha2("before", 256).alias("before"), F.sha2("after", 256).alias("after"))
 
 
