@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import terms as terms_of
+
 from . import intent as asked
 from .metrics import rounded
-from .ranking import NOISE, expected_statements, lexical_overlap, metric_names, named_in
+from .ranking import NOISE, expected_statements, metric_names, named_in, overlap_of
 from .retrieval import top_by
 
 # Weights of the features of a page.
@@ -40,7 +42,7 @@ def rank_parent_pages(found: DataFrame, pages: DataFrame, questions: DataFrame,
     questions(query_id, question) financial questions. A page without text, or without a row, scores by its ranks and source alone;
     repeated page rows count once. Order: score, source, page, which are unique.
     """
-    q = questions.select("query_id", "question", asked.financial_intent(F.col("question")).alias("intent"))
+    q = questions.select("query_id", terms_of(F.col("question")).alias("q_terms"), asked.financial_intent(F.col("question")).alias("intent"))  # once a question, not once a page found
     text = pages.groupBy("source", "page_number").agg(F.min("content").alias("content"))
     rows = parent_evidence(found).join(text, ["source", "page_number"], "left").join(q, "query_id")
     content, source, i = F.coalesce("content", F.lit("")), F.coalesce("source", F.lit("")), F.col("intent")
@@ -48,7 +50,7 @@ def rank_parent_pages(found: DataFrame, pages: DataFrame, questions: DataFrame,
     terms = expected_statements(i)
     rows = rows.withColumns(
         {
-            "parent_lexical_score": lexical_overlap(F.col("question"), content), "metric_alias_score": flag(named_in(metric_names(i), content)), "statement_score": flag(named_in(terms, content)), "exact_statement_score": flag(content.contains(F.get(terms, F.lit(0)))),
+            "parent_lexical_score": overlap_of(F.col("q_terms"), content), "metric_alias_score": flag(named_in(metric_names(i), content)), "statement_score": flag(named_in(terms, content)), "exact_statement_score": flag(content.contains(F.get(terms, F.lit(0)))),
             "scope_score": flag((F.size(i["scopes"]) == 0) | named_in(i["scopes"], content)), "year_score": flag(named_in(i["years"], content)), "noise_score": flag(asked.contains_any(content, NOISE)), "company_source_score": flag((F.size(i["company_terms"]) == 0) | named_in(i["company_terms"], source)),
         }
     )

@@ -41,9 +41,13 @@ def _flag(x: Column) -> Column:
 
 def lexical_overlap(question: Column, content: Column) -> Column:
     """Length of the question's terms that the content has over that of all its terms, 4 digits."""
+    return words.let(words.terms(question), lambda q: overlap_of(q, content))
+
+
+def overlap_of(terms: Column, content: Column) -> Column:
+    """As lexical_overlap, of a question's terms."""
     size = lambda t: F.aggregate(t, F.lit(0), lambda n, x: n + F.length(x))
-    part = lambda q: F.when(F.size(q) == 0, F.lit(0.0)).otherwise(rounded(size(F.array_intersect(q, words.terms(content))) / size(q), 4))
-    return words.let(words.terms(question), part)
+    return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(rounded(size(F.array_intersect(terms, words.terms(content))) / size(terms), 4))
 
 
 def shop_features(rows: DataFrame) -> DataFrame:
