@@ -98,7 +98,8 @@ def verify_answers(answers: DataFrame, ledger: DataFrame) -> DataFrame:
     checked as one. Facts and segments meet on (answer_id, citation_id); an answer's facts are few, so nothing large is gathered.
     """
     base = answers.dropDuplicates(["answer_id"]).select("answer_id", "question", F.coalesce("answer_text", F.lit("")).alias("answer_text"), F.coalesce(F.col("facts").cast(FACTS), F.array().cast(FACTS)).alias("facts"))
-    base = base.withColumn("intent", asked.shop_intent(F.col("question"))).withColumn("reason", asked.question_preflight(F.col("question"), F.col("intent")))
+    # the whole intent is worked out where facts are held against it, once; what decides whether there is a need to costs far less
+    base = base.withColumn("intent", asked.shop_intent(F.col("question"))).withColumn("reason", asked.shop_preflight(F.col("question")))
     invalid = F.exists("facts", lambda f: F.size(fact_violations(f["fact_type"], f["unit"], f["currency"])) > 0)
     base = base.withColumn("reason", F.coalesce("reason", F.when(invalid, "invalid_structured_output")))
     known = ledger.groupBy("answer_id").agg(F.collect_set("citation_id").alias("known"))

@@ -63,6 +63,8 @@ def places(text: Column, names: dict[str, tuple[str, ...]], skip: Column | None
         for alias in aliases:
             n = len(alias)
             at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)) == alias)
+            # most aliases are not there, and looking at every place is what costs
+            at = F.when(text.contains(alias), at).otherwise(F.array().cast("array<int>"))
             one = F.transform(at, lambda i: F.struct(F.lit(-n).alias("neg"), i.alias("start"), F.lit(kind).alias("kind"), (i + n).alias("stop")))
             found.append(F.when(skip, F.slice(one, 1, 0)).otherwise(one) if alias in loose else one)
     return F.array_sort(F.concat(*found))
@@ -229,5 +231,11 @@ def question_preflight(question: Column, intent: Column) -> Column:
     return let(F.size(intent["fact_types"]), lambda n: _preflight(low, n))
 
 
+def shop_preflight(question: Column) -> Column:
+    """question_preflight of a shop question from its facts alone, without the rest of its intent."""
+    text = half_width(F.coalesce(question, F.lit("")))
+    return let(F.size(let(F.lower(F.trim(text)), _facts)), lambda n: _preflight(F.lower(text), n))
+
+
 def _preflight(low: Column, n: Column) -> Column:
     return F.when(contains_any(low, UNSUPPORTED_SPECS), "unsupported_fact_type").when(contains_any(low, FORMULAS), "unsupported_complex_formula").when(n == 0, "unsupported_fact_type").when(n > 1, "unsupported_multi_fact")
